@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quayside.llm import fingerprints, line_dedup, mixing, near_dedup, packing, quality, url_filter
+from quayside.llm import disclosure, fingerprints, line_dedup, mixing, near_dedup, packing, page_text, quality, secret_scan, url_filter
 from quayside.llm.common import tokenizer_path
 
 URL_RULES = [
@@ -24,10 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = page_text.extract_main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.sha2(secret_scan.span_text(F.col("spans"), strong_only=True), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = disclosure.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [disclosure.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    base = F.sha2(disclosure.span_text(F.col("spans"), base_only=True), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), disclosure.span_text(F.col("spans")).alias("spans"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "cleaned.n_lines", "cleaned.n_dropped", F.sha2("cleaned.text", 256).alias("kept_sha256"))
@@ -72,7 +91,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest_url_differencing": op1_nearest_url_differencing,
+        "op2_multipart_secrets": op2_multipart_secrets,
         "op3_temperature_mixing": op3_temperature_mixing,
+        "op4_disclosure": op4_disclosure,
         "op5_line_dedup": op5_line_dedup,
         "op6_setsketch_near_dedup": op6_setsketch_near_dedup,
         "op7_compression_bands": op7_compression_bands,
