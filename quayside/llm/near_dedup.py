@@ -9,15 +9,17 @@ registers agree about as often as the sets overlap.
 1. One pass over the texts gives set size, sketch and a 128-bit key of the word
    sequence.  Rows with equal keys are copies; from here on one class stands
    for them, so copies are never paired with each other.
-2. Registers are banded.  In each bucket all members are compared with its
-   smallest key: as many pairs as members, however large the bucket.
+2. Registers are banded.  In each bucket all members are compared with one of
+   them, that which meets the most others in all its buckets: as many pairs as
+   members, however large the bucket.
 3. Each pair is estimated jointly from both sketches by maximum likelihood;
    what could reach the threshold is confirmed on the full sets.
-4. Confirmed links are closed to components.  In buckets whose members are not
-   yet in one component, every member outside the bucket's main component is
-   compared with all members of other components, and the new links are closed
-   again.  A pair of one bucket is left uncompared only if both are in one
-   component already, so no component is lost.
+4. Confirmed links are closed to components.  Where the members of a bucket are
+   not in one component yet, its members from different components meet again
+   in an exact prefix-filter join, which pairs what can still reach the
+   threshold; estimates and full sets confirm those pairs, and the links are
+   closed again.  Two texts that share a bucket thus stay apart only if no
+   chain of links joins them.
 
 With R registers a band and B bands, a pair at the threshold of 0.85 shares no
 bucket with probability (1 - 0.85^R)^B, 7e-9 for the defaults.
@@ -212,8 +214,8 @@ def _band_rows(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(bands).alias("bucket"), "key", "n")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose full sets reach the threshold; pairs must be distinct."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys whose joint estimate comes near the threshold."""
     side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
     sketched = pairs.join(side("a"), "a").join(side("b"), "b")
     floor = lowest_estimate(percent)
@@ -226,17 +228,47 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
             sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
             yield batch.select(["a", "b"]).filter(pa.array(jaccard_estimate(*regs, *sizes) >= floor))
 
-    hopeful = stored(sketched.mapInArrow(likely, "a binary, b binary"), "near-likely")
-    wanted = hopeful.select(F.col("a").alias("key")).union(hopeful.select("b")).distinct()
-    ids = stored(classes.join(wanted, "key", "left_semi").select(F.col("id").alias("__near_id")), "near-wanted")
+    return stored(sketched.mapInArrow(likely, "a binary, b binary"), "near-likely")
+
+
+def _sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, shingles) of the given keys, from the texts of one document of each."""
+    ids = stored(classes.join(keys, "key", "left_semi").select(F.col("id").alias("__near_id")), "near-wanted")
     texts = docs.join(ids, docs[id_col] == F.col("__near_id"), "left_semi")
-    sets = stored(full_sets(texts, text_col).dropDuplicates(["key"]), "near-sets")
+    return stored(full_sets(texts, text_col).dropDuplicates(["key"]), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     one = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = hopeful.join(one("a"), "a").join(one("b"), "b").withColumn("shared", F.size(F.array_intersect("s_a", "s_b")))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("shared", F.size(F.array_intersect("s_a", "s_b")))
     either = F.size("s_a") + F.size("s_b") - F.col("shared")
     return stored(both.where(100 * F.col("shared") >= percent * either).select("a", "b"), "near-links")
 
 
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``members`` (key, n, root) with different roots that may reach the threshold.
+
+    Exact prefix filtering.  Shingles are ordered from rare to frequent.  Two
+    sets that reach the threshold share a shingle among the first of either,
+    and what is left behind their first common shingle must be enough.  Members
+    of a large family share their frequent shingles, but those of a text that
+    was edited much stand too far back to pair it.
+    """
+    each = stored(sets.join(members, "key").select("key", "n", "root", F.explode("shingles").alias("s")), "near-shingles")
+    rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    listed = each.join(rare, "s").groupBy("key", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("xs"))
+    probe = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    front = listed.select("key", "n", "root", F.posexplode(F.slice("xs", F.lit(1), probe.cast("int"))).alias("i", "x"))
+    front = stored(front.where("x.df > 1").select("key", "n", "root", "i", F.col("x.s").alias("s")), "near-prefixes")
+    index = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
+    x = front.where(F.col("i") < index).select("s", *[F.col(c).alias(f"{c}_x") for c in ("key", "n", "root", "i")])
+    larger = (F.col("n_x") < F.col("n")) | ((F.col("n_x") == F.col("n")) & (F.col("key_x") < F.col("key")))
+    enough = F.least(F.col("n_x") - F.col("i_x"), F.col("n") - F.col("i")) * (100 + percent) >= percent * (F.col("n_x") + F.col("n"))
+    met = (x["s"] == front["s"]) & (F.col("root_x") != F.col("root")) & larger & enough
+    return x.join(front, met).select(F.least("key_x", "key").alias("a"), F.greatest("key_x", "key").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key in ``links`` (a, b): root is the smallest key it can reach.
 
@@ -264,25 +296,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = known.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = stored(classes, "near-classes")
     banded = _band_rows(classes)
-    heads = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "n")).alias("head")).where("size > 1")
-    heads = stored(heads.select("bucket", "head"), "near-buckets")
-    members = stored(banded.join(heads, "bucket").select("bucket", "key", "n", "head"), "near-members")
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    first = members.where((F.col("key") != F.col("head.key")) & close(F.col("n"), F.col("head.n"))).select(F.col("head.key").alias("a"), F.col("key").alias("b"))
-    first = stored(first.distinct(), "near-pairs")
-    links = _confirmed(first, classes, docs, id_col, text_col, percent)
+    sizes = stored(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    members = stored(banded.join(sizes, "bucket"), "near-members")
+    # The member that meets the most others over all its buckets stands nearest to the middle of a family: it leads its buckets.
+    met = members.groupBy("key").agg(F.sum("size").alias("met"))
+    led = stored(members.join(met, "key").groupBy("bucket").agg(F.max(F.struct("met", "key", "n")).alias("head")), "near-heads")
+    apart = (F.col("key") != F.col("head.key")) & (100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n"))
+    first = members.join(led, "bucket").where(apart).select(F.col("head.key").alias("a"), F.col("key").alias("b"))
+    hopeful = _likely(stored(first.distinct(), "near-pairs"), classes, percent)
+    wanted = hopeful.select(F.col("a").alias("key")).union(hopeful.select("b")).distinct()
+    links = _confirmed(hopeful, _sets_of(wanted, classes, docs, id_col, text_col), percent)
     roots = components(links)
     # Buckets that still hold several components.
-    rooted = stored(members.select("bucket", "key", "n").join(roots, "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root")), "near-rooted")
-    per_root = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-    several = per_root.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", F.col("root").alias("main"))).alias("x")).where("k > 1")
-    open_members = stored(rooted.join(stored(several.select("bucket", F.col("x.main").alias("main")), "near-several"), "bucket"), "near-open")
-    strays = open_members.where(F.col("root") != F.col("main")).select("bucket", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    apart = strays.join(open_members, "bucket").where((F.col("root") != F.col("root_x")) & close(F.col("n"), F.col("n_x")))
-    second = apart.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(second, "near-pairs")
-    if not second.isEmpty():
-        more = _confirmed(second, classes, docs, id_col, text_col, percent)
+    rooted = members.select("bucket", "key", "n").join(roots, "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
+    rooted = stored(rooted, "near-rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    unsettled = stored(rooted.join(stored(several, "near-several"), "bucket", "left_semi").select("key", "n", "root").distinct(), "near-unsettled")
+    if not unsettled.isEmpty():
+        sets = _sets_of(unsettled.select("key"), classes, docs, id_col, text_col)
+        second = _likely(stored(_across(unsettled, sets, percent), "near-pairs"), classes, percent)
+        more = _confirmed(second, sets, percent)
         if not more.isEmpty():
             roots = components(links.union(more))
     of_key = classes.select("key", "id").join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
