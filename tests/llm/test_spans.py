@@ -1,0 +1,95 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from quayside.llm import disclosure, secret_scan
+from quayside.llm import spans as S
+
+ASSIGN = re.compile(r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def base_secrets(t):
+    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    return out + [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_personal(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def noisy(seed):
+    rng = random.Random(seed)
+    bits = [
+        "token", "Secret", "PASSWORD", "api_key", "ſecret", "toKen", " = ", ":", '"', "'", " ", "\n", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "x", "é", "\U0001f600", "@", "a.b", "mail.example.com",
+        "-", ".", "+", "(", ")", "4111 1111 1111 1111", "1.2.3.4", "255", "256", "+49 30 1234567", "0", "user=bob", "https://h.example/x", "Zk9aQ2xP7rT5vW8yB3nM", "pwd: abcd12",
+    ]
+    return "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
+
+
+def test_base_spans_against_plain_patterns():
+    for seed in range(3000):
+        t = noisy(seed)
+        strong, weak = secret_scan.scan(t)
+        assert sorted(strong) == sorted(base_secrets(t)), t
+        assert sorted(disclosure.entities(t)) == sorted(base_personal(t)), t
+        assert all(not (a < d and c < b) for _, a, b in weak for _, c, d in strong)
+    assert len(list(S.ips("1" * 200_000))) == 0 and list(S.emails("a" * 200_000 + "@" * 1000)) == []
+
+
+def frame(spark):
+    texts = [noisy(s) for s in range(150)] + [None, "", "x" * 3000 + " token = 0123456789abcdefg " + "y" * 3000]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(5, texts[5], "clash"), (None, texts[7], "clash")]
+    return spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(3), rows
+
+
+def brute_linked(t, scope=secret_scan.SCOPE):
+    strong, weak = secret_scan.scan(t or "")
+    role = secret_scan._ROLE
+    every = strong + weak
+    return sorted([*strong, *(w for w in weak if any(role[w[0]] != role[p[0]] and abs(w[1] - p[1]) <= scope for p in every))])
+
+
+def test_secrets_are_linked_within_scopes(spark):
+    df, rows = frame(spark)
+    out = secret_scan.find_secrets(df).select("doc_id", "spans", secret_scan.span_text(F.col("spans"), strong_only=True).alias("base")).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, sorted((s.kind, s.start, s.end) for s in r.spans), r.base) for r in out)
+    want = sorted((-1 if i is None else i, brute_linked(t), S.write_spans(base_secrets(t or ""), secret_scan.KINDS)) for i, t, _ in rows)
+    assert got == want
+    assert any(k in ("user", "key", "host") for _, ss, _ in got for k, _, _ in ss)
+    alone = spark.createDataFrame([(1, "user=bob and nothing else"), (2, "user=bob at https://h.example/x")], "doc_id long, text string")
+    assert {r.doc_id: len(r.spans) for r in secret_scan.find_secrets(alone).collect()} == {1: 0, 2: 2}
+    assert secret_scan.find_secrets(df.limit(0)).count() == 0
+
+
+def test_disclosing_terms(spark):
+    texts = [f"please ask Kowalczyk at jan.k@mail.example.com about invoice {i}" for i in range(6)]
+    texts += [f"the invoice {i} went to other{i}@mail.example.com about lunch" for i in range(30)]
+    texts += [f"plain text about invoice {i}" for i in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in disclosure.find_personal_data(df).collect()}
+    assert found[0] == [("term", "please"), ("term", "ask"), ("term", "Kowalczyk"), ("email", "jan.k@mail.example.com")]
+    assert found[10] == [("email", "other4@mail.example.com")] and found[len(texts) - 2] == [] and len(found) == len(texts)
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(df).collect()}
+    assert clean[0] == "<word> <word> <name> at <email> about invoice 0" and clean[50] == texts[50] and clean[len(texts) - 2] is None
+    assert disclosure.find_personal_data(df.limit(0)).count() == 0
+
+
+def test_personal_data_base_digest(spark):
+    df, rows = frame(spark)
+    out = disclosure.find_personal_data(df).select("doc_id", disclosure.span_text(F.col("spans"), base_only=True).alias("base"))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, hashlib.sha256(r.base.encode()).hexdigest()) for r in out.collect())
+    want = sorted((-1 if i is None else i, S.digest(S.write_spans(base_personal(t or ""), disclosure.KINDS))) for i, t, _ in rows)
+    assert got == want
