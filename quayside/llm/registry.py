@@ -105,5 +105,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TRIMMED = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+LINE_DEDUP_SQL = f"""
+with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+lines as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from split),
+keyed as (select doc_id, line, pos, {_LOWER.format(_TRIMMED)} as k from lines),
+common as (select k, max(doc_id) as last from keyed where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+judged as (select l.doc_id, l.line, l.pos, coalesce(l.doc_id < c.last, false) as gone from keyed l left join common c on l.k = c.k)
+select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id"""
+
+URL_FILTER_SQL = f"""
+with rest as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+cut as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw_host from rest),
+sites as (select page_id, {_LOWER.format("raw_host")} as host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') as path from cut),
+rules(rh, rp, rv) as (values {", ".join(str(r) for r in URL_RULES)}),
+fit as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(rv, length(rh || rp)) as rv
+        from sites join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
+select s.page_id, s.host, s.path, f.rule, coalesce(f.rv, 'allow') as verdict from sites s left join fit f on s.page_id = f.page_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators tokenise, compress, sketch or match patterns, which SQL can't express; brute force tests them."""
+    return {"op5_line_dedup": LINE_DEDUP_SQL, "op10_url_filter": URL_FILTER_SQL}
