@@ -2,47 +2,26 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.plans import dialect
+from quayside.plans import dialect, frames
 from quayside.plans.catalogue import QUERIES
-from quayside.plans.views import VIEWS
-
-
-def needed_views(sql: str) -> list[str]:
-    """The canonical views a query stands on, in order of definition."""
-    seen: set[str] = set()
-
-    def visit(text: str) -> None:
-        for name in VIEWS:
-            if name not in seen and re.search(rf"\b(?:from|join)\s+{name}\b", text):
-                seen.add(name)
-                visit(VIEWS[name])
-
-    visit(sql)
-    return [v for v in VIEWS if v in seen]
-
-
-def full_sql(name: str, d) -> str:
-    views = needed_views(QUERIES[name])
-    head = "with " + ",\n".join(f"{v} as ({VIEWS[v]})" for v in views) + "\n" if views else ""
-    return dialect.render(head + QUERIES[name], d)
+from quayside.plans.views import full_sql, view
 
 
 def _runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(full_sql(name, dialect.Spark(sf_dir)))
+        return view(spark, sf_dir, QUERIES[name])
 
     run.__name__ = name
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(name) for name in QUERIES}
+    return {name: _runner(name) for name in QUERIES} | frames.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: full_sql(name, dialect.Duck()) for name in QUERIES}
+    return {name: full_sql(sql, dialect.Duck()) for name, sql in (QUERIES | frames.ORACLES).items()}

@@ -3,6 +3,14 @@
 Money and prices are scaled integers, times are nanoseconds since the epoch.
 """
 
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quayside.plans import dialect
+
 VIEWS = {
     "ticks": """
         select event_id + 1 as seq, user_id % 6 + 1 as inst, @micros(ts) * 1000 as ts_ns, cast(round(value * 100) as bigint) as px,
@@ -50,3 +58,28 @@ VIEWS = {
     "tiers": """
         select cast(p_partkey as bigint) as part, cast(round(p_retailprice * 100) as bigint) as mid, p_size from @table(part)""",
 }
+
+
+def needed_views(sql: str) -> list[str]:
+    """The canonical views a query stands on, in order of definition."""
+    seen: set[str] = set()
+
+    def visit(text: str) -> None:
+        for name in VIEWS:
+            if name not in seen and re.search(rf"\b(?:from|join)\s+{name}\b", text):
+                seen.add(name)
+                visit(VIEWS[name])
+
+    visit(sql)
+    return [v for v in VIEWS if v in seen]
+
+
+def full_sql(sql: str, d) -> str:
+    views = needed_views(sql)
+    head = "with " + ",\n".join(f"{v} as ({VIEWS[v]})" for v in views) + "\n" if views else ""
+    return dialect.render(head + sql, d)
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over the canonical views and the tables in ``sf_dir``."""
+    return spark.sql(full_sql(sql, dialect.Spark(sf_dir)))

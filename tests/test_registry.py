@@ -21,7 +21,7 @@ def rows(values):
     return sorted(repr(tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_against_sql(spark, duck, name):
     got = registry.queries()[name](spark, FOLDER)
     want = duck.execute(registry.oracle_sql()[name])
@@ -33,3 +33,10 @@ def test_query_against_sql(spark, duck, name):
 def test_render_fills_nested_calls():
     sql = "select @div(@micros(ts), 4) from @table(events)"
     assert dialect.render(sql, dialect.Duck()) == "select ((epoch_us(ts)) // (4)) from events"
+
+
+def test_every_level_is_in_one_node(spark):
+    got = registry.queries()["node_clusters"](spark, FOLDER)
+    levels = got.selectExpr("explode(levels) as l")
+    assert levels.count() == levels.distinct().count() > 0
+    assert got.where("low > high or center < low or center > high").isEmpty()
