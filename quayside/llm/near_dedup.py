@@ -21,8 +21,8 @@ registers agree about as often as the sets overlap.
    closed again.  Two texts that share a bucket thus stay apart only if no
    chain of links joins them.
 
-With R registers a band and B bands, a pair at the threshold of 0.85 shares no
-bucket with probability (1 - 0.85^R)^B, 7e-9 for the defaults.
+With R registers a band and B bands, a pair of similarity J shares no bucket with
+probability (1 - J^R)^B: 3e-6 at the default threshold of 0.8, 7e-9 at 0.85.
 
 Defined results: null and empty texts, and texts of white space, have an empty
 set and are linked with nothing; fewer than five words form one shingle; each
@@ -53,7 +53,7 @@ BASE, TOP = 1.001, 65_535
 #: Rate of the exponential hashes: keeps registers of sets of 1 to 10^12 elements inside their range.
 RATE = 1 / 40
 #: Links: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+PERCENT = 80
 #: Standard deviations that a joint estimate may fall short of the threshold.
 SLACK = 5.0
 #: Rows that one task of the first pass hashes together, in words.

@@ -19,6 +19,9 @@ URL_RULES = [
     ("org", "/es/", "block"),
 ]
 
+#: Links of op6: 100 * intersection >= NEAR_PERCENT * union.
+NEAR_PERCENT = 85
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,7 +56,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=NEAR_PERCENT)
 
 
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

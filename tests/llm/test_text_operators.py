@@ -44,7 +44,7 @@ def test_line_dedup_against_brute_force(docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
-def brute_components(rows):
+def brute_components(rows, percent):
     sets = []
     for _, t in rows:
         w = WORD.findall(lower(t or ""))
@@ -59,7 +59,7 @@ def brute_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -69,9 +69,10 @@ def brute_components(rows):
 
 def test_near_duplicates_against_brute_force(docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = brute_components(rows)
-    out = near_dedup.near_duplicates(docs)
-    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    out = near_dedup.near_duplicates(docs, percent=85)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(brute_components(rows, 85))
+    want = brute_components(rows, 80)
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect()) == sorted(want)
     assert len({w[2] for w in want}) < len(want) - 20
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[2] for w in want}
