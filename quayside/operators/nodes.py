@@ -1,46 +1,170 @@
-"""Clusters of price levels into nodes.
+"""Nodes of price levels: clusters of each generation, and which node of the last one they continue.
 
-Levels of one instrument are taken by reference price and id.  A level joins
-the youngest node that lies within the merge threshold of it and holds no level
-of the same exclusive group; otherwise it opens a node of its own.  The outcome
-depends on the order, so an instrument's active levels are folded one after the
-other; their number is that of a few sessions' levels, not of its ticks.
+A generation is the set of an instrument's active levels after one change of the
+book.  Its levels are taken in order of lower edge, upper edge, price and id; a
+level joins the youngest cluster that lies within the merge threshold and that
+holds neither a level of its exclusive group nor, against an upper boundary, a
+lower one.  Generations are clustered apart from each other, in parallel: one
+row holds one generation, whose size is that of the active levels, not of the
+history.
+
+Identity is a chain through all generations of an instrument.  They are sorted
+inside partitions by instrument and generation and streamed through one fold
+that remembers the last generation only, so a long history needs no memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.functions.scalars import merge_threshold
 
-def merge_threshold(atr: Column, noise: Column, tick: Column, *, ppm: int = 150_000, noise_times: int = 2, ticks: int = 2) -> Column:
-    """The largest of a share of the average range, of the noise and of the tick."""
-    return F.greatest(F.floor(atr * ppm / 1_000_000).cast("long"), noise * noise_times, tick * ticks)
+__all__ = ["cluster", "clusters", "corridors", "genealogy", "locate", "merge_threshold"]
+
+LOWER, CENTER, UPPER, NEUTRAL = -1, 1, 2, 0
+CLUSTER = "low bigint, high bigint, center bigint, sides array<int>, members array<bigint>"
 
 
 def gap_between(low_a: int, high_a: int, low_b: int, high_b: int) -> int:
     return max(low_b - high_a, low_a - high_b, 0)
 
 
-def cluster(levels: pd.DataFrame) -> pd.DataFrame:
-    nodes: list[dict] = []
-    for row in levels.sort_values(["price", "level_id"]).itertuples():
-        for node in reversed(nodes):
-            if gap_between(row.lower, row.upper, node["low"], node["high"]) <= row.threshold and row.group_id not in node["groups"]:
+def _opposed(sides: set[int], side: int) -> bool:
+    return (side == LOWER and UPPER in sides) or (side == UPPER and LOWER in sides)
+
+
+def cluster(levels: list, threshold: int) -> list[dict]:
+    """levels: (lower, upper, price, level_id, group_id, side) of one generation, in order."""
+    out: list[dict] = []
+    for lower, upper, price, level_id, group, side in levels:
+        for c in reversed(out):
+            if gap_between(c["low"], c["high"], lower, upper) <= threshold and not (group and group in c["groups"]) and not _opposed(c["sides"], side):
+                c["low"], c["high"] = min(c["low"], lower), max(c["high"], upper)
+                c["center"] = c["low"] + (c["high"] - c["low"]) // 2
                 break
         else:
-            node = {"low": row.lower, "high": row.upper, "groups": set(), "levels": []}
-            nodes.append(node)
-        node["low"], node["high"] = min(node["low"], row.lower), max(node["high"], row.upper)
-        node["groups"].add(row.group_id)
-        node["levels"].append(row.level_id)
-    nodes.sort(key=lambda n: (n["low"] + (n["high"] - n["low"]) // 2, n["low"], n["high"]))
-    inst = int(levels["inst"].iloc[0]) if len(levels) else 0
-    rows = [(inst, i + 1, n["low"], n["high"], n["low"] + (n["high"] - n["low"]) // 2, len(n["levels"]), sorted(n["levels"])) for i, n in enumerate(nodes)]
-    return pd.DataFrame(rows, columns=["inst", "node", "low", "high", "center", "n_levels", "levels"])
-
-
-def cluster_levels(levels: DataFrame) -> DataFrame:
-    """levels: inst, level_id, price, lower, upper, group_id, threshold (all bigint), one row for each active level."""
-    return levels.groupBy("inst").applyInPandas(cluster, "inst bigint, node bigint, low bigint, high bigint, center bigint, n_levels bigint, levels array<bigint>")
+            c = {"low": lower, "high": upper, "center": price, "groups": set(), "sides": set(), "members": []}
+            out.append(c)
+        c["groups"].add(group)
+        c["sides"].add(side)
+        c["members"].append(level_id)
+    out.sort(key=lambda c: (c["center"], c["low"], c["high"]))
+    return [{"low": c["low"], "high": c["high"], "center": c["center"], "sides": sorted(c["sides"]), "members": sorted(c["members"])} for c in out]
+
+
+def clusters(levels: DataFrame) -> DataFrame:
+    """(inst, generation, at_ns, threshold, clusters) of every generation.
+
+    levels: inst, generation, at_ns, threshold, level_id, lower, upper, price,
+    group_id (0: none), side (LOWER, UPPER, CENTER, NEUTRAL); one row for each
+    active level of a generation.
+    """
+    each = F.struct("lower", "upper", "price", "level_id", "group_id", "side")
+    listed = levels.groupBy("inst", "generation", "at_ns", "threshold").agg(F.sort_array(F.collect_list(each)).alias("levels"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [cluster([tuple(x[k] for k in ("lower", "upper", "price", "level_id", "group_id", "side")) for x in ls], t) for ls, t in zip(rows["levels"], rows["threshold"], strict=True)]
+            yield rows[["inst", "generation", "at_ns", "threshold"]].assign(clusters=found)
+
+    return listed.mapInPandas(run, f"inst bigint, generation bigint, at_ns bigint, threshold bigint, clusters array<struct<{CLUSTER.replace(' ', ':').replace(',:', ',')}>>")
+
+
+NODE = "node:bigint,low:bigint,high:bigint,center:bigint,sides:array<int>,members:array<bigint>,created_ns:bigint,updated_ns:bigint"
+EVENT = "event:string,node:bigint,others:array<bigint>"
+CHAIN = f"inst bigint, generation bigint, nodes array<struct<{NODE}>>, events array<struct<{EVENT}>>"
+
+
+class _Chain:
+    """The nodes of an instrument's last generation, and the number of its next new node."""
+
+    def __init__(self, inst: int):
+        self.inst, self.number, self.nodes = inst, 1, []
+
+    def step(self, found: list[dict], at_ns: int, threshold: int) -> tuple[list[dict], list[dict]]:
+        last = self.nodes
+        shared = [[len(set(c["members"]) & set(p["members"])) for p in last] for c in found]
+        related = [
+            [k for k, p in enumerate(last) if shared[i][k] or (gap_between(c["low"], c["high"], p["low"], p["high"]) <= threshold and not any(_opposed(set(p["sides"]), s) for s in c["sides"]))]
+            for i, c in enumerate(found)
+        ]
+        free, nodes = set(range(len(last))), []
+        for i, c in enumerate(found):
+            open_ = [k for k in related[i] if k in free]
+            best = min(open_, key=lambda k: (-shared[i][k], abs(c["center"] - last[k]["center"]), last[k]["node"]), default=None)
+            free.discard(best)
+            nodes.append(c | {"node": None if best is None else last[best]["node"], "created_ns": at_ns if best is None else last[best]["created_ns"], "updated_ns": at_ns})
+        for n in nodes:
+            if n["node"] is None:
+                n["node"] = (self.inst << 32) | (self.number & 0xFFFFFFFF)
+                self.number += 1
+        events = []
+        for n, ks in zip(nodes, related, strict=True):
+            kind = "created" if not ks else "merged" if len(ks) > 1 else "preserved"
+            events.append({"event": kind, "node": n["node"], "others": sorted({last[k]["node"] for k in ks} - {n["node"]}) if kind == "merged" else []})
+        for k, p in enumerate(last):
+            heirs = [n["node"] for n, ks in zip(nodes, related, strict=True) if k in ks]
+            if len(heirs) != 1:
+                events.append({"event": "split" if heirs else "expired", "node": p["node"], "others": heirs})
+        self.nodes = sorted(nodes, key=lambda n: (n["center"], n["low"], n["high"], n["node"]))
+        return self.nodes, events
+
+
+def genealogy(generations: DataFrame) -> DataFrame:
+    """(inst, generation, nodes, events) from the result of ``clusters``.
+
+    A cluster continues that free node of the last generation with which it
+    shares the most levels, then the nearest, then the oldest.  events tell
+    which nodes were created, preserved, merged, split and expired.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = None
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if chain is None or chain.inst != r.inst:
+                    chain = _Chain(int(r.inst))
+                found = [{"low": c["low"], "high": c["high"], "center": c["center"], "sides": list(c["sides"]), "members": list(c["members"])} for c in r.clusters]
+                out.append((r.inst, r.generation, *chain.step(found, int(r.at_ns), int(r.threshold))))
+            yield pd.DataFrame(out, columns=["inst", "generation", "nodes", "events"])
+
+    return generations.repartition("inst").sortWithinPartitions("inst", "generation").mapInPandas(run, CHAIN)
+
+
+def corridors(nodes: DataFrame, atr: str = "atr") -> DataFrame:
+    """(inst, generation, lower_node, upper_node, lower_edge, upper_edge, width, width_ppm) between neighbours of ``nodes`` and the average range ``atr``."""
+    from quayside.functions.scalars import ratio_ppm
+
+    ns = F.col("nodes")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(ns) - 1), lambda i: F.struct(F.element_at(ns, i).alias("a"), F.element_at(ns, i + 1).alias("b")))
+    rows = nodes.where(F.size(ns) > 1).select("inst", "generation", atr, F.inline(pairs))
+    width = F.greatest(F.col("b.low") - F.col("a.high"), F.lit(0).cast("long"))
+    return rows.select("inst", "generation", F.col("a.node").alias("lower_node"), F.col("b.node").alias("upper_node"), F.col("a.high").alias("lower_edge"), F.col("b.low").alias("upper_edge"), width.alias("width"), ratio_ppm(width, F.col(atr)).alias("width_ppm"))
+
+
+def locate(priced: DataFrame, price: str = "px") -> DataFrame:
+    """``priced`` (with a column ``nodes`` of one generation) and where the price stands: place, lower_node, upper_node, to_lower, to_upper.
+
+    Inside a node (the narrowest, then the oldest) both are that node; else the
+    neighbours by center.  Without nodes the place is ``unavailable``.
+    """
+    px, ns = F.col(price), F.col("nodes")
+    zero = F.lit(0).cast("long")
+    holding = F.filter(ns, lambda n: (px >= n["low"]) & (px <= n["high"]))
+    inside = F.array_min(F.transform(holding, lambda n: F.struct((n["high"] - n["low"]).alias("w"), n["node"].alias("node"), n["low"].alias("low"), n["high"].alias("high"))))
+    below = F.filter(ns, lambda n: n["center"] < px)
+    above = F.filter(ns, lambda n: n["center"] >= px)
+    under, over = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    place = F.when(F.coalesce(F.size(ns), F.lit(0)) == 0, "unavailable").when(inside.isNotNull(), "inside").when(under.isNull(), "below").when(over.isNull(), "above").otherwise("between")
+    return (
+        priced.withColumn("place", place)
+        .withColumn("lower_node", F.coalesce(inside["node"], under["node"]))
+        .withColumn("upper_node", F.coalesce(inside["node"], over["node"]))
+        .withColumn("to_lower", F.when(inside.isNotNull(), px - inside["low"]).when(under.isNotNull(), F.greatest(px - under["high"], zero)))
+        .withColumn("to_upper", F.when(inside.isNotNull(), inside["high"] - px).when(over.isNotNull(), F.greatest(over["low"] - px, zero)))
+    )

@@ -132,11 +132,11 @@ QUERIES = {
     "prev_session": "select inst, s_open, hi, lo, lag(hi) over (partition by inst order by s_open) as prev_hi, lag(lo) over (partition by inst order by s_open) as prev_lo from (select inst, s_open, max(h) as hi, min(l) as lo from m4 group by inst, s_open) s",
     "opening_range": """
         select inst, s_open, max(h) as hi, min(l) as lo, min(l) + @div(max(h) - min(l), 2) as mid, count(*) as n from
-        (select inst, s_open, open_ns, h, l, min(open_ns) over (partition by inst, s_open) as first_open from m4) x where open_ns < s_open + 7200000000000 and first_open < s_open + 7200000000000 group by inst, s_open""",
+        m4 where open_ns < s_open + 1200000000000 group by inst, s_open""",
     "range_projection": """
         select inst, open_ns, fraction, lo + @div((hi - lo) * fraction, 1000000) as price from
         (select inst, open_ns, max(h) over w as hi, min(l) over w as lo, count(*) over w as n from m4 window w as (partition by inst order by open_ns rows between 19 preceding and current row)) x
-        @each(fraction, 0, 125000, 250000, 375000, 625000, 750000, 875000, 1000000) where n >= 2""",
+        @each(fraction, 0, 213000, 333000, 500000, 666000, 750000, 900000, 1000000) where n >= 2""",
     "level_ids": "select inst, s_open, 281474976710656 + inst * 4294967296 + case when r = 1 then 1 else 4 + (r - 2) * 6 + 1 end as first_id from (select inst, s_open, cast(dense_rank() over (partition by inst order by s_open) as bigint) as r from (select distinct inst, s_open from m4) d) x",
     "corridors": """
         select inst, center, next_center, greatest(next_low - hi, 0) as width, case when hi = lo then 0 else @div(greatest(next_low - hi, 0) * 1000000, hi - lo) end as ppm from

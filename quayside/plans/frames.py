@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.operators import joins, nodes
+from quayside.operators import joins, levels, nodes, structure
 from quayside.plans.views import view
 from quayside.streaming import bars
 
@@ -33,11 +33,34 @@ def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlaps(spans, on=["o_custkey"], start="from_us", end="to_us")
 
 
-def node_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session highs and lows of each instrument merged into nodes."""
-    extremes = view(spark, sf_dir, "select inst, s_open, max(h) as hi, min(l) as lo from m4 group by inst, s_open")
-    level = lambda side, px: extremes.select("inst", (F.xxhash64("inst", "s_open", F.lit(side))).alias("level_id"), F.col(px).alias("price"), F.col(px).alias("lower"), F.col(px).alias("upper"), F.col("s_open").alias("group_id"), F.lit(25).cast("long").alias("threshold"))
-    return nodes.cluster_levels(level("high", "hi").unionByName(level("low", "lo")))
+def _m4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "select inst, s_open, s_close, open_ns, close_ns, o, h, l, c from m4")
+
+
+def structure_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every level that the bars give rise to."""
+    return levels.versions(structure.mutations(_m4(spark, sf_dir)))
+
+
+def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes after each bar that changed a level."""
+    return structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "at_ns", F.inline("nodes"))
+
+
+def node_genealogy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "bar_ns", F.inline("events"))
+
+
+def node_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.corridors(structure.structure(_m4(spark, sf_dir)))
+
+
+def price_in_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tick against the nodes known when it came: those after the last bar closed by then."""
+    known = structure.structure(_m4(spark, sf_dir)).select("inst", "at_ns", "generation", "atr", "nodes")
+    ticks = view(spark, sf_dir, "select seq, inst, ts_ns, px from ticks")
+    met = joins.asof_join(ticks, known, on=["inst"], left_at="ts_ns", right_at="at_ns", take=["at_ns", "generation", "nodes"], cell=24 * HOUR)
+    return nodes.locate(met.withColumnRenamed("asof_nodes", "nodes")).drop("nodes", "asof_at_ns")
 
 
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +81,7 @@ def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("inst", "open_ns", "close_ns", "o", "h", "l", "c", "n", "revision")
 
 
-QUERIES = {f.__name__: f for f in (interval_join_cells, asof_quotes, overlapping_orders, node_clusters, streamed_bars)}
+QUERIES = {f.__name__: f for f in (interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars)}
 
 ORACLES = {
     "interval_join_cells": "select seq, inst, ts_ns, s_open as open_ns, s_close as close_ns from in_session",

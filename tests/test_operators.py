@@ -1,8 +1,6 @@
 import json
 
-import pandas as pd
-
-from quayside.operators import joins, nodes
+from quayside.operators import joins
 from quayside.sources import decoders
 from quayside.streaming import bars
 
@@ -28,14 +26,6 @@ def test_asof_join(spark):
     assert [r.k for r in joins.missing(left.select("k").distinct(), right, ["k"]).collect()] == ["y"]
 
 
-def test_levels_merge_into_nodes(spark):
-    rows = [(1, 1, 1000, 1000, 1000, 7, 5), (1, 2, 1003, 1003, 1003, 8, 5), (1, 3, 1004, 1004, 1004, 7, 5), (1, 4, 1020, 1018, 1022, 9, 5), (2, 5, 10, 10, 10, 1, 5)]
-    df = spark.createDataFrame(rows, "inst long, level_id long, price long, lower long, upper long, group_id long, threshold long")
-    got = sorted((r.inst, r.low, r.high, r.levels) for r in nodes.cluster_levels(df).collect())
-    assert got == [(1, 1000, 1003, [1, 2]), (1, 1004, 1004, [3]), (1, 1018, 1022, [4]), (2, 10, 10, [5])]
-    assert len(nodes.cluster(pd.DataFrame(columns=df.columns))) == 0
-
-
 def receipts(spark, *payloads):
     return spark.createDataFrame([(i, p if isinstance(p, str) else json.dumps(p)) for i, p in enumerate(payloads)], "receipt_id long, payload string")
 

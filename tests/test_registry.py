@@ -35,8 +35,10 @@ def test_render_fills_nested_calls():
     assert dialect.render(sql, dialect.Duck()) == "select ((epoch_us(ts)) // (4)) from events"
 
 
-def test_every_level_is_in_one_node(spark):
-    got = registry.queries()["node_clusters"](spark, FOLDER)
-    levels = got.selectExpr("explode(levels) as l")
-    assert levels.count() == levels.distinct().count() > 0
+def test_structure_queries(spark):
+    known = registry.queries()
+    got = known["structure_nodes"](spark, FOLDER)
+    members = got.selectExpr("inst", "generation", "explode(members) as level_id")
+    assert members.count() == members.distinct().count() > 0
     assert got.where("low > high or center < low or center > high").isEmpty()
+    assert known["price_in_structure"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
