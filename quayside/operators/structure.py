@@ -19,6 +19,7 @@ from quayside.functions.scalars import midpoint, rotated, whole_quotient
 from quayside.operators import levels as book
 from quayside.operators import nodes
 from quayside.operators.nodes import CENTER, LOWER, NEUTRAL, UPPER
+from quayside.sources.shared import written
 
 SESSION, OPENING, PROJECTION = 1, 2, 3
 #: Sessions whose extreme bands stay after their end.
@@ -135,6 +136,7 @@ def projection_mutations(bars: DataFrame, lookback: int = LOOKBACK, fractions: t
 
 def mutations(bars: DataFrame) -> DataFrame:
     """All producers' mutations, numbered by generation: inst, generation, bar_ns, ordinal, kind, level_id, ..."""
+    bars = written(bars, "structure-bars")
     every = session_mutations(bars).unionByName(opening_mutations(bars)).unionByName(projection_mutations(bars))
     return every.withColumn("generation", F.dense_rank().over(Window.partitionBy("inst").orderBy("bar_ns")).cast("long"))
 
@@ -150,11 +152,12 @@ def average_range(bars: DataFrame) -> DataFrame:
 
 def structure(bars: DataFrame, *, noise: int = 1, tick: int = 1) -> DataFrame:
     """(inst, generation, bar_ns, at_ns, atr, nodes, events): the nodes after every bar that changed a level."""
-    log = mutations(bars)
+    bars = written(bars, "structure-bars")
+    log = written(mutations(bars), "structure-log")
     ranges = average_range(bars).select("inst", F.col("open_ns").alias("bar_ns"), F.col("close_ns").alias("at_ns"), "atr")
     generations = log.select("inst", "generation", "bar_ns").distinct().join(ranges, ["inst", "bar_ns"])
     one = lambda n: F.lit(n).cast("long")
-    generations = generations.withColumn("threshold", nodes.merge_threshold(F.col("atr"), one(noise), one(tick)))
+    generations = written(generations.withColumn("threshold", nodes.merge_threshold(F.col("atr"), one(noise), one(tick))), "structure-generations")
     live = book.active(book.versions(log), generations.select("inst", "generation", "at_ns", "threshold"))
     chained = nodes.genealogy(nodes.clusters(live))
     return generations.select("inst", "generation", "bar_ns", "at_ns", "atr").join(chained, ["inst", "generation"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.operators import joins, levels, nodes, structure
 from quayside.plans.views import view
+from quayside.sources import shared
 from quayside.streaming import bars
 
 HOUR = 3_600_000_000_000
@@ -74,8 +74,7 @@ def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = raw.select((F.col("event_id") + 1).alias("seq"), (F.col("user_id") % 6 + 1).alias("inst"), (micros * 1000).alias("ts_ns"), F.round(F.col("value") * 100).cast("long").alias("px"))
     day = F.floor(F.col("ts_ns") / (24 * HOUR)).cast("long") * (24 * HOUR)
     ticks = ticks.withColumn("s_open", day + (F.col("inst") % 3) * HOUR).withColumn("s_close", (day + 22 * HOUR + HOUR // 2).cast("long"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quayside-")
-    folder = os.path.join(root, f"bars-{uuid.uuid4().hex}")
+    folder = os.path.join(shared.folder(spark), f"bars-{uuid.uuid4().hex}")
     bars.stream_bars(ticks, folder).awaitTermination()
     out = spark.read.schema(bars.EMITTED).parquet(f"{folder}/emitted")
     return out.select("inst", "open_ns", "close_ns", "o", "h", "l", "c", "n", "revision")
