@@ -21,7 +21,8 @@ MAX_REPEATS = 1.5
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands and base rules reject go."""
-    return quality.keep_good(docs)
+    limits = quality.limits_for(spark, docs, sf_dir)
+    return quality.keep_good(docs, lang_col=quality.lang_of(docs), limits=limits)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

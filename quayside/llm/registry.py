@@ -60,8 +60,9 @@ def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", quality.quality(F.col("text")).alias("q"))
-    return docs.select("doc_id", "q.*")
+    docs = table(spark, sf_dir, "documents")
+    limits = quality.limits_for(spark, docs, sf_dir)
+    return docs.select("doc_id", quality.quality(F.col("text"), F.col("lang"), limits).alias("q")).select("doc_id", "q.*")
 
 
 def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

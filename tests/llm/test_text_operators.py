@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quayside.llm import fingerprints, line_dedup, mixing, near_dedup, packing, quality
+from quayside.llm import fingerprints, line_dedup, mixing, near_dedup, packing, quality, registry
 from quayside.llm.common import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,6 +126,29 @@ def test_compression_bands_reject_noise_and_repetition():
     assert list(quality.report([noise, again, prose])["kept"]) == [False, False, True]
 
 
+def labelled(spark, tmp_path):
+    """Good prose of two languages with labels, and symbol junk of the same lengths without; the junk's ids."""
+    import random
+
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(stems) for _ in range(n))
+    junk = lambda n: " ".join(rng.choice(stems[:60]) if rng.random() < 0.7 else rng.choice("#|*$") * 3 for _ in range(n))
+    rows = [(i, prose(rng.randint(300, 340)), "en" if i % 2 else "fr") for i in range(120)] + [(200 + i, junk(350), "en") for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(200, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return rows
+
+
+def test_calibrated_bands_decide(spark, tmp_path):
+    rows = labelled(spark, tmp_path)
+    got = {r.doc_id: r for r in registry.op7_compression_bands(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert not any(r.kept for i, r in got.items() if i >= 200) and all(got[i].kept for i in range(100))
+    kept = corpus_pipeline.good_quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_packing_round_trip(docs, no_docs):
     import random
 
