@@ -149,6 +149,19 @@ def test_calibrated_bands_decide(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_chunks_cover_the_text():
+    import random
+
+    rng = random.Random(4)
+    assert all(sum(quality.chunk_sizes(n)) == n for n in range(1300, 9000, 7)) and quality.chunk_sizes(1200) == []
+    stems = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(stems) for _ in range(n))[:n]
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(3_000))
+    out = quality.report([prose(7_000), prose(4_000) + " " + noise, prose(8_192) + noise, prose(8_000) + " " + "again and " * 400])
+    assert list(out["kept"]) == [True, False, False, False] and not out["base_failed"].any()
+    assert out["chunks_outside"][0] == 0 and out["chunks_outside"][2] == 3 / 11
+
+
 def test_packing_round_trip(docs, no_docs):
     import random
 
