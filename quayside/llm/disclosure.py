@@ -8,17 +8,22 @@ corpus as pointwise mutual information against the entity's own information,
 
     PMI(e; t) = log(p(e, t) / (p(e) p(t))),   IC(e) = -log p(e),
 
-with document frequencies for p.  A term discloses e when PMI >= ``SHARE`` * IC
-and both stand together in at least ``MIN_TOGETHER`` documents.  Terms are
-weighed in the context of a mention, the ``CONTEXT`` words on either side.
+with document frequencies for p: a term and an entity stand together in the
+documents that hold both, wherever in the text.  A term discloses e when PMI >=
+``SHARE`` * IC and both stand together in at least ``MIN_TOGETHER`` documents.
 
 Entities are removed (replaced by their kind).  A disclosing term is
 generalised to its word class (a name, a number, a word), which stands beside
-so many entities that it tells about none of them.
+so many entities that it tells about none of them.  That is done wherever the
+term stands, in documents without the entity too.
 
-The texts are scanned once, which yields mentions with their context; document
-frequencies of the context terms need one more pass over the texts with
-map-side counts.  Nothing is collected: terms and entities meet by joins.
+The first pass over the texts yields entities, the words of the documents with
+entities, and the document frequencies of all words.  PMI >= share * IC means
+n_term <= n_both * (n_all / n_entity) ** (1 - share), and n_both <= n_entity, so
+words that are too frequent for every entity of their document are left out
+before pairs are made.  The second pass finds the disclosing terms in all
+texts; a bitmap of their hashes (``BITS``, 1 MB) drops most other words at once,
+the rest by an equi-join.
 
 Defined results: a null text counts as empty and has no spans; each row is a
 document of its own, also repeated rows and rows with a null id; terms that
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,12 +49,15 @@ from quayside.llm import spans as S
 from quayside.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 6
 SHARE = 0.9
 MIN_TOGETHER = 3
 MIN_TERM_CHARS = 3
-#: Distinct terms that one task of the counting pass keeps before it passes its counts on.
-TASK_TERMS = 200_000
+#: Distinct terms that one task of the counting pass keeps before it passes its counts on, and those of one row.
+TASK_TERMS, ROW_TERMS = 200_000, 10_000
+#: Bits of the bitmap of disclosing terms, and those of one of its pieces.
+BITS, PIECE = 1 << 23, 1 << 15
+#: Parts in which the rows of one term are joined.
+SALT = 16
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _FIND = (S.emails, S.ips, S.cards, S.phones)
@@ -63,118 +72,148 @@ def word_class(term: str) -> str:
     return "<number>" if term[:1].isdigit() else "<name>" if term[:1].isupper() else "<word>"
 
 
-def context_terms(text: str, found: list[S.Span], context: int) -> list[list[tuple[str, int, int]]]:
-    """The words around each span that touch no span."""
-    marks = sorted((a, b) for _, a, b in found)
+def free_words(text: str, found: list[S.Span]) -> Iterator[tuple[str, int, int]]:
+    """The words that touch no span, in lower case."""
     covers: list[list[int]] = []
-    for a, b in marks:
+    for a, b in sorted((a, b) for _, a, b in found):
         if covers and a < covers[-1][1]:
             covers[-1][1] = max(b, covers[-1][1])
         else:
             covers.append([a, b])
-    out = []
-    reach = 48 * context
     starts = [c[0] for c in covers]
+    for m in _WORD.finditer(text):
+        if m.end() - m.start() >= MIN_TERM_CHARS:
+            i = bisect.bisect_left(starts, m.end())
+            if not i or covers[i - 1][1] <= m.start():
+                yield m[0].lower(), m.start(), m.end()
 
-    def free(a: int, b: int) -> bool:
-        i = bisect.bisect_left(starts, b)
-        return not i or covers[i - 1][1] <= a
 
-    for _, a, b in found:
-        lead = max(0, a - reach)
-        # A word cut by the edge of the reach is not a word of the context.
-        before = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text, lead, a) if (m.start() > lead or lead == 0) and free(m.start(), m.end())]
-        after = [(m[0], m.start(), m.end()) for m in _WORD.finditer(text, b, min(len(text), b + reach)) if (m.end() < b + reach or b + reach >= len(text)) and free(m.start(), m.end())]
-        out.append([t for t in before[-context:] + after[:context] if len(t[0]) >= MIN_TERM_CHARS])
-    return out
+def terms_of(text: str, found: list[S.Span]) -> set[str]:
+    if found:
+        return {w for w, _, _ in free_words(text, found)}
+    return {w.lower() for w in set(_WORD.findall(text)) if len(w) >= MIN_TERM_CHARS}
 
 
-_MENTION = "struct<kind:string,start:bigint,end:bigint,entity:string,terms:array<struct<term:string,start:bigint,end:bigint>>>"
-_TERM = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_MENTION_ARROW = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.string()), ("terms", pa.list_(_TERM))])
+_SEEN = "entities array<string>, terms array<string>, counts array<struct<term:string,n:bigint>>"
+_COUNT = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
 
 
-def mentions(docs: DataFrame, id_col: str, text_col: str, context: int) -> DataFrame:
-    """(row, doc_id, mentions) of every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def seen_terms(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, entities, terms, counts): the distinct entities of each document and, if it has any, its words.
+
+    Further rows have counts only: in how many documents of a task's run each word stands.
+    """
+
+    def told(entities: list, terms: list, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(counts, _COUNT)], names=["entities", "terms", "counts"])
+
+    def counted(counts: Counter) -> Iterator[pa.RecordBatch]:
+        every = [{"term": t, "n": n} for t, n in counts.items()]
+        for i in range(0, len(every), ROW_TERMS):
+            yield told([None], [None], [every[i : i + ROW_TERMS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            out = []
-            for t in batch.column(1):
+            held, words = [], []
+            for t in batch.column(0):
                 text = t.as_py() or ""
                 found = entities(text)
-                near = context_terms(text, found, context) if found else []
-                out.append(
-                    [
-                        {"kind": k, "start": a, "end": b, "entity": k + ":" + _normal(k, text[a:b]), "terms": [{"term": w.lower(), "start": x, "end": y} for w, x, y in ts]}
-                        for (k, a, b), ts in zip(found, near, strict=True)
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(_MENTION_ARROW))], names=["doc_id", "mentions"])
+                terms = terms_of(text, found)
+                counts.update(terms)
+                held.append(sorted({k + ":" + _normal(k, text[a:b]) for k, a, b in found}))
+                words.append(list(terms) if found else [])
+                if len(counts) >= TASK_TERMS:
+                    yield from counted(counts)
+                    counts = Counter()
+            yield told(held, words, [None] * len(held))
+        yield from counted(counts)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, mentions array<{_MENTION}>").withColumn("row", F.monotonically_increasing_id())
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, _SEEN).withColumn("row", F.monotonically_increasing_id())
 
 
 def _normal(kind: str, value: str) -> str:
     return value.lower() if kind in ("email", "ip") else "".join(c for c in value if c.isdigit())
 
 
-def term_documents(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """(term, n): in how many documents of the whole corpus each wanted word stands.
+def disclosing_terms(docs: DataFrame, text_col: str, share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
+    """(entity, term, bits): terms that reveal an entity over the threshold."""
+    seen = stored(seen_terms(docs, text_col), "pii-seen")
+    rows = seen.where(F.col("counts").isNull())
+    holders = rows.where(F.size("terms") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    total = rows.agg(F.count(F.lit(1)).alias("n_all"))  # one row
+    # The most documents that a disclosing term of the entity can stand in; the last factor is for rounding.
+    most = F.col("n_entity") * F.pow(F.col("n_all") / F.col("n_entity"), F.lit(1 - share)) * F.lit(1 + 1e-9)
+    known = holders.where(F.col("n_entity") >= together).join(F.broadcast(total)).where(F.col("n_all") > F.col("n_entity")).withColumn("most", most)
+    held = stored(rows.select("row", F.explode("entities").alias("entity")).join(known, "entity"), "pii-held")
+    reach = held.groupBy("row").agg(F.max("most").alias("reach"))
+    words = rows.join(reach, "row").select("row", "reach", F.explode("terms").alias("term"))
+    counts = seen.where(F.col("counts").isNotNull()).select(F.inline("counts")).groupBy("term").agg(F.sum("n").alias("n"))
+    widest = known.agg(F.max("most").alias("widest"))  # one row
+    rare = counts.where(F.col("n") >= together).join(F.broadcast(widest)).where(F.col("n") <= F.col("widest"))
+    salted = rare.select("term", "n", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    near = words.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["term", "salt"]).where(F.col("n") <= F.col("reach")).select("row", "term", "n")
+    pairs = near.join(held, "row").where(F.col("n") <= F.col("most"))
+    rated = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), *[F.first(c).alias(c) for c in ("n", "n_entity", "n_all")]).where(F.col("n_both") >= together)
+    pmi = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_entity") * F.col("n")))
+    own = F.log2(F.col("n_all") / F.col("n_entity"))
+    return rated.where(pmi >= share * own).select("entity", "term", pmi.alias("bits"))
 
-    Tasks pass on partial counts; those of wanted words are summed after the shuffle.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                counts.update({w.lower() for w in set(_WORD.findall(t.as_py() or "")) if len(w) >= MIN_TERM_CHARS})
-                if len(counts) >= TASK_TERMS:
-                    yield _counted(counts)
-                    counts = Counter()
-        if counts:
-            yield _counted(counts)
+def bitmap_of(terms: DataFrame) -> dict[int, bytes]:
+    """The pieces of a bitmap with the hash of each term set: ``BITS`` bits at most reach the driver."""
+    at = terms.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BITS)).alias("at"))
+    pieces = at.groupBy(F.expr(f"at div {PIECE}").alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % PIECE).alias("bits"))
+    return {r["piece"]: bytes(r["bits"]) for r in pieces.collect()}
 
-    partial = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n bigint")
-    return partial.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
 
+_HIT = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+_SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
+def found_spans(docs: DataFrame, id_col: str, text_col: str, bitmap: dict[int, bytes]) -> DataFrame:
+    """(row, doc_id, base, hits) of every row: the spans of its entities, and the words whose hash is set in ``bitmap``."""
+    id_type = docs.schema[id_col].dataType.simpleString()
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
-    """(entity, term, bits): terms that reveal an entity over the threshold.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
 
-    found: rows of (row, entity, term), one for each term in a mention's context.
-    """
-    pairs = found.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    # Most terms stand beside an entity once; only the others need the corpus counts.
-    pairs = stored(pairs.where(F.col("n_both") >= together), "pii-pairs")
-    holders = found.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = pairs.select("term").distinct()
-    counts = term_documents(docs, wanted, text_col)
-    total = docs.agg(F.count(F.lit(1)).alias("n_all"))  # one row
-    rated = pairs.join(holders, "entity").join(counts, "term").join(F.broadcast(total))
-    pmi = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_entity") * F.col("n")))
-    own = F.log2(F.col("n_all") / F.col("n_entity"))
-    return rated.where((pmi >= share * own) & (own > 0)).select("entity", "term", pmi.alias("bits"))
+        def is_set(word: str) -> bool:
+            at = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BITS
+            piece = bitmap.get(at // PIECE)
+            return piece is not None and bool(piece[at % PIECE // 8] >> at % 8 & 1)
+
+        for batch in batches:
+            base, hits = [], []
+            for t in batch.column(1):
+                text = t.as_py() or ""
+                found = entities(text)
+                base.append([{"start": a, "end": b, "kind": k} for k, a, b in found])
+                if len(known) >= TASK_TERMS:
+                    known.clear()
+                wanted = False
+                for w in set(_WORD.findall(text)) if bitmap else ():
+                    if w not in known:
+                        known[w] = is_set(w)
+                    wanted = wanted or known[w]
+                hits.append([{"term": w, "start": a, "end": b} for w, a, b in free_words(text, found) if known.get(text[a:b])] if wanted else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT))], names=["doc_id", "base", "hits"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, base {_SPANS}, hits array<struct<term:string,start:bigint,end:bigint>>").withColumn("row", F.monotonically_increasing_id())
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
     """(row, doc_id, spans): array<struct<start, end, kind>> of the entities and the disclosing terms of each row."""
-    rows = stored(mentions(docs, id_col, text_col, context), "pii-mentions")
-    each = rows.select("row", "doc_id", F.explode("mentions").alias("m"))
-    around = each.select("row", F.col("m.entity").alias("entity"), F.explode("m.terms").alias("t")).select("row", "entity", "t.term", "t.start", "t.end")
-    telling = stored(disclosing_terms(around, docs, text_col, share, together), "pii-terms")
-    terms = around.join(telling, ["entity", "term"]).select("row", "start", "end").distinct()
+    telling = stored(disclosing_terms(docs, text_col, share, together).select("term").distinct(), "pii-terms")
+    rows = stored(found_spans(docs, id_col, text_col, bitmap_of(telling)), "pii-found")
+    hits = rows.select("row", F.inline("hits")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
+    salted = telling.select("term", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    terms = hits.join(salted, ["term", "salt"])
     added = terms.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"))).alias("added"))
-    base = F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind")))
     both = rows.join(added, "row", "left")
-    return both.select("row", "doc_id", F.array_sort(F.concat(base, F.coalesce("added", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")))).alias("spans"))
+    return both.select("row", "doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
 
 
 def span_text(spans: Column, base_only: bool = False) -> Column:

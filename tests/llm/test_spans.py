@@ -87,6 +87,16 @@ def test_disclosing_terms(spark):
     assert disclosure.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_disclosing_terms_are_found_everywhere(spark):
+    far = " ".join(f"filler{k}" for k in range(40))
+    texts = [f"Kowalczyk wrote {far} and the address is jan.k@mail.example.com" for _ in range(6)]
+    texts += [f"yours, KOWALCZYK {i} {far}" for i in range(2)] + [f"plain text {i} {far}" for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in disclosure.find_personal_data(df).collect()}
+    assert ("term", "Kowalczyk") in found[0] and ("email", "jan.k@mail.example.com") in found[0]
+    assert found[6] == [("term", "KOWALCZYK")] and found[7] == found[6] and found[8] == []
+
+
 def test_personal_data_base_digest(spark):
     df, rows = frame(spark)
     out = disclosure.find_personal_data(df).select("doc_id", disclosure.span_text(F.col("spans"), base_only=True).alias("base"))
