@@ -140,7 +140,7 @@ def disclosing_terms(docs: DataFrame, text_col: str, share: float = SHARE, toget
     """(entity, term, bits): terms that reveal an entity over the threshold."""
     seen = stored(seen_terms(docs, text_col), "pii-seen")
     rows = seen.where(F.col("counts").isNull())
-    holders = rows.where(F.size("terms") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    holders = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = rows.agg(F.count(F.lit(1)).alias("n_all"))  # one row
     # The most documents that a disclosing term of the entity can stand in; the last factor is for rounding.
     most = F.col("n_entity") * F.pow(F.col("n_all") / F.col("n_entity"), F.lit(1 - share)) * F.lit(1 + 1e-9)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -97,6 +98,17 @@ def test_disclosing_terms_are_found_everywhere(spark):
     assert found[6] == [("term", "KOWALCZYK")] and found[7] == found[6] and found[8] == []
 
 
+def test_document_frequencies_are_of_one_unit(spark):
+    far = " ".join(f"filler{k}" for k in range(40))
+    texts = [f"Kowalczyk jan.k@mail.example.com {far}" for _ in range(3)] + [f"Kowalczyk {far} jan.k@mail.example.com" for _ in range(7)]
+    texts += ["bo@mail.example.com" for _ in range(10)] + [f"{far} bo@mail.example.com Novak" for _ in range(4)] + [far] * 976
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = {(r.entity, r.term): r.bits for r in disclosure.disclosing_terms(df, "text").collect()}
+    assert bits.keys() == {("email:jan.k@mail.example.com", "kowalczyk"), ("email:bo@mail.example.com", "novak")}
+    assert abs(bits["email:jan.k@mail.example.com", "kowalczyk"] - math.log2(10 * 1000 / (10 * 10))) < 1e-9
+    assert abs(bits["email:bo@mail.example.com", "novak"] - math.log2(4 * 1000 / (14 * 4))) < 1e-9
+
+
 def test_personal_data_base_digest(spark):
     df, rows = frame(spark)
     out = disclosure.find_personal_data(df).select("doc_id", disclosure.span_text(F.col("spans"), base_only=True).alias("base"))
