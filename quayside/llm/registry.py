@@ -33,7 +33,7 @@ def op1_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents"), from_ends=True)
     counts = [secret_scan.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = F.sha2(secret_scan.span_text(F.col("spans"), strong_only=True), 256)
     return out.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))

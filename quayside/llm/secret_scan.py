@@ -6,12 +6,13 @@ an access key id, a long hexadecimal run).  Weak parts are candidates only: a
 user or client id, a short or unnamed secret, a host or connection URL.  A weak
 part is reported when a part of another role stands in the same scope, which is
 a span of the text: two parts are in one scope when at most ``SCOPE`` code
-points lie between their starts.
+points lie between the end of one and the start of the next (``from_ends``, as
+the registered query has it), or between both starts.
 
-Texts are scanned once.  The parts become rows; each is dealt to its own cell of
-``SCOPE`` code points and to both neighbours, and the interval join of parts is
-an equi-join on (document, cell) done by grouping: a cell holds three scopes'
-worth of parts at most, however long the document is.
+Texts are scanned once.  The parts become rows; each is dealt to the cells of
+``SCOPE`` code points that it touches and to one cell more on either side, and
+the interval join of parts is an equi-join on (document, cell) done by grouping:
+a cell holds the parts within three scopes only, however long the document is.
 
 Defined results: a null text counts as empty and has no spans; each row is
 scanned on its own, also repeated rows and rows with a null id; the same span
@@ -33,15 +34,15 @@ from pyspark.sql import functions as F
 from quayside.llm import spans as S
 
 KINDS = ("assign", "access", "hex", "user", "key", "host")
-#: Code points between the starts of two parts of one credential, at most.
+#: Code points between two parts of one credential, at most.
 SCOPE = 160
 #: Bits a character that an unnamed secret has at least.
 MIN_ENTROPY = 3.5
 
-_USER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,64})", re.A | re.I)
-_WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-_SHORT_KEY = re.compile(r"\b(?:pwd|pass|password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([^\s\"']{4,64})", re.A | re.I)
-_HOST = re.compile(r"\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,200}|(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{4,200})", re.A | re.I)
+_USER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.A | re.I)
+_WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_SHORT_KEY = re.compile(r"\b(?:pwd|pass|password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([^\s\"']{4,})", re.A | re.I)
+_HOST = re.compile(r"\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{4,})", re.A | re.I)
 _HINTS = (b"user", b"login", b"account", b"client", b"access", b"pwd", b"pass", b"secret", b"token", b"api", b"host", b"endpoint", b"server", b"url", b"://")
 _ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "user": "id", "host": "endpoint"}
 
@@ -106,23 +107,25 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, parts array<{_PART}>").withColumn("row", F.monotonically_increasing_id())
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, from_ends: bool = False) -> DataFrame:
     """(doc_id, spans): array<struct<kind, start, end, linked>> of each row's strong parts and linked weak parts, by start.
 
-    ``linked`` tells whether parts of another role stand in the span's scope.
+    ``linked`` tells whether parts of another role stand in the span's scope, which
+    is counted from a part's end if ``from_ends``, else from its start.
     """
-    cell = F.expr(f"p.start div {scope}")
+    far = "end" if from_ends else "start"
+    first, last = F.expr(f"p.start div {scope}"), F.expr(f"p.{far} div {scope}")
     each = parts(docs, id_col, text_col).select("row", "doc_id", F.explode_outer("parts").alias("p"))
-    # Each part stands in its own cell, where it is judged, and in both neighbours, where it is a partner only.
-    dealt = each.select("row", "doc_id", "p", F.explode(F.when(F.col("p").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(cell, cell - 1, cell + 1))).alias("cell"))
-    cells = dealt.groupBy("row", "doc_id", "cell").agg(F.collect_list("p").alias("ps"))
-    near = lambda p, q: (p["role"] != q["role"]) & (F.abs(p["start"] - q["start"]) <= scope)
-    own = F.filter("ps", lambda p: F.col("cell") == F.floor(p["start"] / scope))
-    judged = F.transform(own, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["strong"].alias("strong"), F.exists("ps", lambda q: near(p, q)).alias("linked")))
-    kept = F.filter(judged, lambda p: p["strong"] | p["linked"])
-    spans = F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), p["strong"].alias("strong"), p["linked"].alias("linked")))
-    out = cells.select("row", "doc_id", spans.alias("spans")).groupBy("row", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return out.select("doc_id", "spans")
+    # Each part stands in the cells it touches, where it is judged, and in the ones beside them, where it is a partner only.
+    cells_of = F.when(F.col("p").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(first - 1, last + 1))
+    cells = each.select("row", "doc_id", "p", F.explode(cells_of).alias("cell")).groupBy("row", "doc_id", "cell").agg(F.collect_list("p").alias("ps"))
+    near = lambda p, q: (p["role"] != q["role"]) & (q["start"] - p[far] <= scope) & (p["start"] - q[far] <= scope)
+    own = F.filter("ps", lambda p: F.col("cell").between(F.floor(p["start"] / scope), F.floor(p[far] / scope)))
+    judged = F.transform(own, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), p["strong"].alias("strong"), F.exists("ps", lambda q: near(p, q)).alias("linked")))
+    key = ("start", "end", "kind", "strong")
+    one = cells.select("row", "doc_id", F.explode_outer(judged).alias("s")).groupBy("row", "doc_id", *[F.col(f"s.{c}").alias(c) for c in key]).agg(F.max("s.linked").alias("linked"))
+    kept = F.when(F.col("strong") | F.col("linked"), F.struct(*key, "linked"))
+    return one.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(kept)).alias("spans")).select("doc_id", "spans")
 
 
 def span_text(spans: F.Column, strong_only: bool = False) -> F.Column:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quayside.llm import disclosure, secret_scan
+from quayside.llm import disclosure, registry, secret_scan
 from quayside.llm import spans as S
 
 ASSIGN = re.compile(r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -75,6 +75,20 @@ def test_secrets_are_linked_within_scopes(spark):
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
 
 
+def test_long_parts_are_linked_and_reported_whole(spark, tmp_path):
+    import base64
+
+    blob = base64.b64encode(random.Random(6).randbytes(150)).decode().rstrip("=")
+    texts = ["endpoint: https://" + "h" * 170 + "\nuser: bob", "user: " + "u" * 90 + "\npwd: " + "p!" * 60, "user: bob\n" + blob, "host: " + "h" * 1500 + " user: bob", "user: bob " + "- " * 90 + "host: example"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in registry.op2_multipart_secrets(spark, str(tmp_path)).collect()}
+    got = {i: {(k, texts[i][int(a) : int(b)]) for k, a, b in xs} for i, xs in spans.items()}
+    assert {k for k, _ in got[0]} == {"host", "user"} and ("user", "user: bob") in got[0]
+    assert got[1] == {("user", "user: " + "u" * 90), ("key", "pwd: " + "p!" * 60)}
+    assert got[2] == {("user", "user: bob"), ("key", blob)} and got[4] == set()
+    assert got[3] == {("host", "host: " + "h" * 1500), ("user", "user: bob")}
+
+
 def test_disclosing_terms(spark):
     texts = [f"please ask Kowalczyk at jan.k@mail.example.com about invoice {i}" for i in range(6)]
     texts += [f"the invoice {i} went to other{i}@mail.example.com about lunch" for i in range(30)]
