@@ -5,8 +5,8 @@ word is hashed.  A k-mer of K consecutive words is kept when its smallest inner
 hash stands at its first or its last word: a closed syncmer with inner
 substrings of one word.  Whether a k-mer is kept depends on its own words
 alone, so an edit elsewhere moves no anchor.  The fingerprint lists the hashes
-of the kept k-mers in text order; the position of each anchor is known from
-``anchors``, which lines up shared passages of two texts.
+of the kept k-mers in text order; ``anchors`` gives the position of each.  The
+likenesses compare distinct hashes only, not positions or order.
 
 Everything runs as DataFrame expressions over whole texts.
 
