@@ -1,17 +1,20 @@
 """Line dedup: drop lines that many documents share.
 
 Lines are normalised (ASCII white space stripped at both ends, A-Z lower-cased)
-and hashed with 128 bits.  The distinct documents of each hash are counted with
+and hashed with 128 bits; the hashes of each document are written once.  Documents
+are made distinct for each hash by the pair of both, and then counted with
 map-side partial sums, so a line that stands in a third of all documents costs
 one row per task.  Hashes over the threshold go to a written table; joining it
 back gives each document the hashes that it loses, and the kept lines are put
 together again in their order.  Only hashes are shuffled by line; texts move
 once at most, by document.
 
-Defined results: a null or empty text is one empty line; each row counts as one
-document, and rows with the same ``id_col`` are one holder when the largest
-holder is chosen; rows with a null id count as documents but keep all their
-lines; other columns pass through untouched, whatever they are called.
+Defined results: a null or empty text is one empty line; rows with the same id
+are one document, which counts once for a line and loses the same lines in all
+its rows; each row with a null id is a document of its own that counts but keeps
+all its lines; a line that stands several times in a document counts once and
+is dropped or kept in all its places; other columns pass through untouched, but
+for one that is named as ``into``, which is replaced.
 """
 
 from __future__ import annotations
@@ -71,13 +74,16 @@ def without_lines(text: Column, dropped: Column, min_chars: int) -> Column:
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, into: str = "cleaned") -> DataFrame:
-    """``docs`` with one more column ``into``: struct<n_lines, n_dropped, text>.
+    """``docs`` with the column ``into``: struct<n_lines, n_dropped, text>.
 
     Keys found in at least ``min_docs`` documents lose their lines everywhere
     except in the largest id that holds them.
     """
-    held = docs.select(F.col(id_col).alias("id"), F.explode(distinct_hashes(F.col(text_col), min_chars)).alias("h"))
-    common = stored(held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("h", "last"), "common-lines")
+    row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    held = stored(docs.select(F.col(id_col).alias("id"), row.alias("row"), F.explode(distinct_hashes(F.col(text_col), min_chars)).alias("h")), "line-hashes")
+    once = held.distinct()
+    common = once.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    common = stored(common.where(F.col("n") >= min_docs).select("h", "last"), "common-lines")
     dropped = held.join(common, "h").where(F.col("id") < F.col("last")).groupBy("id").agg(F.collect_set("h").alias(_DROPPED)).withColumnRenamed("id", _ID)
     out = docs.join(dropped, docs[id_col] == dropped[_ID], "left")
     return out.withColumn(into, without_lines(F.col(text_col), F.col(_DROPPED), min_chars)).drop(_DROPPED, _ID)
