@@ -15,11 +15,14 @@ WHITE = r"\x20\x09-\x0D"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) a fresh temporary
-    folder is made and remembered in the session.
+    Where that setting is absent, a single-machine session gets a fresh temporary
+    folder, which the session remembers; on a cluster that is an error, as
+    executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quayside.local.folder", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quayside-")
         spark.conf.set("quayside.local.folder", root)
     return root
@@ -31,11 +34,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     A lost executor then costs a re-read of replicated files, not a re-run of
     everything above, and both uses of a twice-used result see the same rows.
     """
-    path = os.path.join(shared_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders written by this process and not removed yet.
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all that operators have written so far; their results must have been read or written elsewhere by then."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file: ``CORPUS_TOKENIZER``, or the one of the installed public tokenizers."""
     import public_tokenizers
