@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import stored
@@ -161,25 +161,31 @@ def lowest_estimate(percent: int = PERCENT) -> float:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, key, registers) of every row; key and registers are null for an empty set."""
+    """(doc_id, digest, n_shingles, key, registers) of every row; key and registers are null for an empty set, digest names the text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, rows in word_batches(batch.column(1)):
+            for start, rows in word_batches(batch.column(2)):
                 sets = shingle_sets(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, len(rows)),
+                        batch.column(1).slice(start, len(rows)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(map(sequence_key, rows), pa.binary()),
                         pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "key", "registers"],
+                    names=["doc_id", "digest", "n_shingles", "key", "registers"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, key binary, registers binary")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest_of(text).alias("digest"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, digest binary, n_shingles bigint, key binary, registers binary")
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def word_batches(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -289,8 +295,8 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def _with_components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, digest, n_shingles, component_id (null where the set is empty or the id is null)."""
     rows = stored(sketches(docs, id_col, text_col), "near-sketches")
     known = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
@@ -321,13 +327,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_key = classes.select("key", "id").join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     smallest = of_key.groupBy("root").agg(F.min("id").alias("component"))
     of_key = stored(of_key.join(smallest, "root").select("key", "component"), "near-components")
-    out = rows.join(of_key, "key", "left")
-    component = F.coalesce("component", "doc_id")
+    return rows.join(of_key, "key", "left").select("doc_id", "digest", "n_shingles", F.col("component").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    component = F.coalesce("component_id", "doc_id")
+    out = _with_components(docs, id_col, text_col, percent)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with all columns, one document of each component left: that with the smallest id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__near_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__near_gone"), "left_anti")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with all columns, one row of each component left.
+
+    The smallest id stays, of several texts with that id the one with the
+    smallest digest, and of rows equal in both one.  Rows with an empty set or a
+    null id are in no component and all stay.
+    """
+    gone, again = "__near_gone", "__near_again"
+    linked = stored(_with_components(docs, id_col, text_col, percent).where(F.col("component_id").isNotNull()).select("component_id", "doc_id", "digest"), "near-linked")
+    one = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+    # Rows that resemble nothing are their component's only one and need no join of the texts.
+    several = linked.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("component_id")).join(one, "component_id")
+    is_one = (F.col("doc_id") == F.col("one.doc_id")) & (F.col("digest") == F.col("one.digest"))
+    marked = stored(several.where(~is_one | (F.col("n") > 1)).select(F.col("doc_id").alias(gone), F.col("digest").alias(again), is_one.alias("is_one")), "near-marked")
+    named = (docs[id_col] == F.col(gone)) & (digest_of(docs[text_col].cast("string")) == F.col(again))
+    rest = docs.join(marked, named, "left_anti")
+    repeated = marked.where("is_one")
+    if repeated.isEmpty():
+        return rest
+    return rest.unionByName(docs.join(repeated, named, "left_semi").dropDuplicates([id_col, text_col]))
