@@ -1,19 +1,28 @@
 """Document fingerprints by closed syncmers.
 
-A text is cut into words (runs of anything but ASCII white space) and every
-word is hashed.  A k-mer of K consecutive words is kept when its smallest inner
-hash stands at its first or its last word: a closed syncmer with inner
-substrings of one word.  Whether a k-mer is kept depends on its own words
-alone, so an edit elsewhere moves no anchor.  The fingerprint lists the hashes
-of the kept k-mers in text order; ``anchors`` gives the position of each.  The
-likenesses compare distinct hashes only, not positions or order.
+A text is cut into letters, which are words (runs of anything but ASCII white
+space) and, for words of over ``LONG_WORD`` code points and all of a text of at
+most ``SHORT_TEXT``, single code points; every letter is hashed.  A k-mer of K
+consecutive letters is kept when its smallest inner hash stands at its first or
+its last letter: a closed syncmer with inner substrings of one letter.  Whether
+a k-mer is kept depends on its own letters alone, so an edit elsewhere moves no
+anchor.  The fingerprint lists the 32-bit hashes of the kept k-mers in text
+order; ``anchors`` has the position of each.
+
+Likeness is the share of distinct anchors that two fingerprints have in common.
+Positional matching says how much of that stands in the same place: a shift is
+taken from the first, the middle and the last anchor in common, and of the
+anchors whose positions differ by that shift the largest share counts.
 
 Everything runs as DataFrame expressions over whole texts.
 
 Defined results: a null text counts as empty; an empty text, or one of white
 space only, has no anchor and an empty fingerprint; a text of fewer than K
-words has one anchor over all its words; equal texts have equal fingerprints;
+letters has one anchor over all of them; equal texts have equal fingerprints;
 two empty fingerprints are alike (1.0), an empty and another one are not (0.0).
+Rows are ordered by descending id, null ids last, rows of one id by a hash of
+the text; repeated rows follow one another, so all but the last are followed by
+their own text; the last row of all is followed by the first.
 """
 
 from __future__ import annotations
@@ -21,19 +30,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.llm.common import stored
+
 K = 5
+#: Code points over which a word counts as so many letters, and up to which a text does.
+LONG_WORD, SHORT_TEXT = 16, 128
+#: Characters that one task orders, and the most tasks.
+RANGE_CHARS, MOST_RANGES = 32_000_000, 100_000
+#: Repeated rows from which on they are ordered as one row with a count.
+REPEATS = 1_000
+
+
+def letters(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    spelt = F.filter(F.split(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), "", -1), lambda c: c != "")
+    some_long = F.exists(words, lambda w: F.char_length(w) > LONG_WORD)
+    split_long = F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG_WORD, F.split(w, "", -1)).otherwise(F.array(w))))
+    long_spelt = F.when(some_long, F.filter(split_long, lambda c: c != "")).otherwise(words)
+    return F.when(F.char_length(text) <= SHORT_TEXT, spelt).otherwise(long_spelt)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+def letter_hashes(text: Column) -> Column:
+    return F.transform(letters(text), lambda w: F.xxhash64(w))
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def _low(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def anchors(hashes: Column, k: int = K) -> Column:
-    """array<struct<pos, hash>> of the closed syncmers of a word-hash array, in order."""
+    """array<struct<pos, hash>> of the closed syncmers of an array of letter hashes, in order."""
     n = F.size(hashes)
     starts = F.when(n >= k, F.sequence(F.lit(1), n - F.lit(k - 1))).otherwise(F.array().cast("array<int>"))
 
@@ -44,16 +71,16 @@ def anchors(hashes: Column, k: int = K) -> Column:
         return (F.least(first, last) <= least)
 
     def taken(i: Column) -> Column:
-        return F.struct((i - 1).alias("pos"), F.xxhash64(*[F.element_at(hashes, i + F.lit(j)) for j in range(k)]).alias("hash"))
+        return F.struct((i - 1).alias("pos"), _low(F.xxhash64(*[F.element_at(hashes, i + F.lit(j)) for j in range(k)])).alias("hash"))
 
-    short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(hashes).alias("hash")))
+    short = F.array(F.struct(F.lit(0).alias("pos"), _low(F.xxhash64(hashes)).alias("hash")))
     none = F.array().cast("array<struct<pos:int,hash:bigint>>")
     return F.when(n >= k, F.transform(F.filter(starts, closed), taken)).when(n > 0, short).otherwise(none)
 
 
 def fingerprint_text(found: Column) -> Column:
     """The anchors' hashes in order, eight hexadecimal digits each."""
-    return F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a["hash"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+    return F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a["hash"]), 8, "0")), "")
 
 
 def likeness(n_a: Column, n_b: Column, shared: Column) -> Column:
@@ -62,46 +89,86 @@ def likeness(n_a: Column, n_b: Column, shared: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): the text of the next row by descending id; the last row gets the first's.
+def placed(a: Column, b: Column, in_both: Column) -> Column:
+    """Share of the anchors of ``a`` or ``b`` (arrays of pos, hash) that agree on one shift; in_both: their hashes in common, by place in ``a``."""
+    n = F.size(in_both)
 
-    Rows are dealt into id ranges whose bounds are ids themselves, about as
-    many as shuffle partitions.  Each range finds its neighbours alone; the
-    text that follows a range is that of the bound below it, one row per range.
-    Ties of the id are ordered by the text; a null id stands after all others.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def at(shift: Column) -> Column:
+        moved = F.transform(b, lambda x: F.struct((x["pos"] + shift).alias("pos"), x["hash"].alias("hash")))
+        return F.size(F.array_intersect(a, moved))
+
+    def first_of(found: Column, h: Column) -> Column:
+        return F.element_at(found, F.array_position(F.transform(found, lambda x: x["hash"]), h).cast("int"))["pos"]
+
+    shifts = [first_of(a, h) - first_of(b, h) for h in (F.element_at(in_both, i) for i in (F.lit(1), F.floor((n + 1) / 2).cast("int"), n))]
+    best = F.when(n > 0, F.greatest(*[at(s) for s in shifts])).otherwise(F.lit(0))
+    return likeness(F.size(a), F.size(b), best)
+
+
+def _split_bounds(docs: DataFrame) -> tuple[list[int], list[tuple[int | None, int]]]:
+    """Ids that bound ranges of about ``RANGE_CHARS`` characters, and the ids (None: null) with so many rows that they fill several, with their numbers."""
+    sizes = docs.agg(F.sum(F.char_length("text")).alias("chars"), F.count("doc_id").alias("ids"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    ranges = min(MOST_RANGES, max(8, (sizes["chars"] or 0) // RANGE_CHARS + 1))
+    hot: list[tuple[int | None, int]] = []
+    if n_null := sizes["n"] - sizes["ids"]:
+        hot.append((None, max(1, round(ranges * n_null / sizes["n"]))))
+    if not sizes["ids"]:
+        return [], hot
     at = F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(ranges + 1)]), F.lit(20 * ranges))
-    seen = rows.agg(at.alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    bounds = sorted({seen["low"], seen["high"], *seen["b"]}) if seen["b"] else []  # about 2 x shuffle partitions
+    seen = docs.agg(at.alias("b")).first()["b"]  # bounded by MOST_RANGES
+    repeats: dict[int, int] = {}
+    for b in seen:
+        repeats[b] = repeats.get(b, 0) + 1
+    return sorted({sizes["low"], sizes["high"], *seen}), hot + [(b, n) for b, n in repeats.items() if n > 2]
+
+
+def _number(bounds: list[int], hot: list[tuple[int | None, int]]) -> Column:
+    """A row's range: numbers grow with the id; ids in ``hot`` are cut by the tie-break into several."""
     wide = max(1, int(len(bounds) ** 0.5))
     chunks = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    # Range number: how many bounds lie below the id, looked up in two steps. Its largest id is a bound.
-    coarse = F.size(F.filter(_longs([c[-1] for c in chunks]), lambda b: b < F.col("doc_id")))
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
+    coarse = below(_longs([c[-1] for c in chunks]))
     chunk = F.get(F.array(*[_longs(c) for c in chunks]) if chunks else F.array(_longs([])), coarse)
-    number = coarse * F.lit(wide) + F.coalesce(F.size(F.filter(chunk, lambda b: b < F.col("doc_id"))), F.lit(0))
-    dealt = rows.withColumn("rng", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(number))
-    order = Window.partitionBy("rng").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    whole = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(coarse * F.lit(wide) + F.coalesce(below(chunk), F.lit(0)))
+    # Parts of a hot id: the numbers behind the ids of its range that are smaller, in order of the tie-break.
+    parts = F.lit(0)
+    for b, n in hot:
+        own = F.col("doc_id").isNull() if b is None else F.col("doc_id") == F.lit(b)
+        parts = F.when(own, F.lit(1) + F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * n).cast("int")).otherwise(parts)
+    return F.struct(whole.alias("range"), parts.alias("part"))
+
+
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, next_text): the text of the next row by descending id; the last row gets the first's.
+
+    Rows are dealt into ranges of the id that hold about as many characters, and
+    those of an id that fills several ranges are dealt by their tie-break too.
+    Each range finds its neighbours alone; what follows a range is the first row
+    of the next lower one: one row per range, joined back.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # Very often repeated rows stand as one with a count, so none of them fills a range.
+    often = stored(rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATS).select("doc_id", "tie"), "syncmer-often")
+    rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    if not often.isEmpty():
+        same = rows["doc_id"].eqNullSafe(often["doc_id"]) & (rows["tie"] == often["tie"])
+        counted = rows.join(often, same, "left_semi").groupBy("doc_id", "text", "tie").agg(F.count(F.lit(1)).alias("copies"))
+        rows = rows.join(often, same, "left_anti").unionByName(counted)
+    bounds, hot = _split_bounds(rows.select("doc_id", "text"))
+    dealt = rows.withColumn("rng", _number(bounds, hot))
+    order = Window.partitionBy("rng").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc())
     dealt = dealt.withColumn("after", F.lead("text").over(order))
-    # What follows a range: the first row of the next lower range that has rows, or of the highest one.
-    heads = rows.where(F.col("doc_id").isin(bounds)).groupBy("doc_id").agg(F.max("text").alias("head")) if bounds else None
-    null_head = rows.where(F.col("doc_id").isNull()).agg(F.max("text").alias("head")).where(F.col("head").isNotNull())
-    has_null = not null_head.select(F.lit(1)).isEmpty()
-    follows = [(i, bounds[i - 1]) for i in range(1, len(bounds))]  # range i is followed by bound i - 1
-    if bounds:
-        follows += [(-1, bounds[-1])] if has_null else [(0, bounds[-1])]
-    told = F.array(*[F.struct(F.lit(r).alias("to_rng"), F.lit(b).cast("long").alias("head_id")) for r, b in follows])
-    pairs = spark.range(1).select(F.inline(told)) if follows else None
-    if heads is None:
-        edge = null_head.select(F.lit(-1).alias("to_rng"), "head")
-    else:
-        edge = pairs.join(heads, F.col("head_id") == heads["doc_id"]).select("to_rng", "head")
-        if has_null:
-            edge = edge.unionByName(null_head.select(F.lit(0).alias("to_rng"), "head"))
+    # The first row of each range: ids and ties only, then its text.
+    top = dealt.groupBy("rng").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
+    heads = stored(top.select("rng", "top.*", F.row_number().over(Window.orderBy(F.col("rng.range").desc(), F.col("rng.part").desc())).alias("i")), "syncmer-ranges")  # one row for each range
+    many = heads.count()
+    first = heads.select(F.col("i").alias("head"), F.col("doc_id").alias("head_id"), F.col("tie").alias("head_tie"))
+    texts = rows.join(F.broadcast(first), F.col("head_id").eqNullSafe(rows["doc_id"]) & (F.col("head_tie") == rows["tie"])).groupBy("head").agg(F.max("text").alias("head_text"))
+    edge = heads.select(F.col("rng").alias("to_rng"), (F.col("i") % F.lit(many) + 1).alias("head")).join(texts, "head").select("to_rng", "head_text")
     out = dealt.join(edge, F.col("rng") == F.col("to_rng"), "left")
-    return out.select("doc_id", "text", F.coalesce("after", "head").alias("next_text"))
+    following = F.coalesce("after", "head_text")
+    out = out.select("doc_id", "text", "copies", following.alias("following"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("i"))
+    return out.select("doc_id", "text", F.when(F.col("i") < F.col("copies"), F.col("text")).otherwise(F.col("following")).alias("next_text"))
 
 
 def _longs(values: list[int]) -> Column:
@@ -112,26 +179,29 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
     """Adds fingerprints and likenesses to rows of (doc_id, text, next_text).
 
     Added: edited_text, fingerprint, edited_fingerprint, near_edited, near_next,
-    and the anchors of the text with their word positions.
+    placed_edited, placed_next (positional matching), and the anchors of the
+    text with their positions in letters.
     """
     out = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     names = {"text": "a", "edited_text": "e", "next_text": "n"}
     for source, c in names.items():
-        out = out.withColumn(f"{c}_words", word_hashes(F.col(source)))
+        out = out.withColumn(f"{c}_letters", letter_hashes(F.col(source)))
     for c in names.values():
-        out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_words"), k)).drop(f"{c}_words")
+        out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_letters"), k)).drop(f"{c}_letters")
     for c in names.values():
         out = out.withColumn(f"{c}_set", F.array_distinct(F.col(f"{c}_anchors.hash")))
     for c in ("e", "n"):
-        out = out.withColumn(f"{c}_shared", F.size(F.array_intersect("a_set", f"{c}_set")))
+        out = out.withColumn(f"{c}_shared", F.array_intersect("a_set", f"{c}_set"))
     return out.select(
         "doc_id",
         "text",
         "edited_text",
         fingerprint_text(F.col("a_anchors")).alias("fingerprint"),
         fingerprint_text(F.col("e_anchors")).alias("edited_fingerprint"),
-        likeness(F.size("a_set"), F.size("e_set"), F.col("e_shared")).alias("near_edited"),
-        likeness(F.size("a_set"), F.size("n_set"), F.col("n_shared")).alias("near_next"),
+        likeness(F.size("a_set"), F.size("e_set"), F.size("e_shared")).alias("near_edited"),
+        likeness(F.size("a_set"), F.size("n_set"), F.size("n_shared")).alias("near_next"),
+        placed(F.col("a_anchors"), F.col("e_anchors"), F.col("e_shared")).alias("placed_edited"),
+        placed(F.col("a_anchors"), F.col("n_anchors"), F.col("n_shared")).alias("placed_next"),
         F.col("a_anchors").alias("anchors"),
     )
 

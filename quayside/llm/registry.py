@@ -75,6 +75,9 @@ def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         "near_edited",
         "near_next",
+        "placed_edited",
+        "placed_next",
+        F.transform("anchors", lambda a: a["pos"]).alias("positions"),
     )
 
 

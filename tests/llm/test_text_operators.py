@@ -24,26 +24,42 @@ def collected(df, key="doc_id"):
     return sorted(df.collect(), key=lambda r: (r[key] is None, r[key] or 0))
 
 
-def test_line_dedup_against_brute_force(docs, no_docs):
-    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+def brute_lines(rows):
+    """doc_id, n_lines, n_dropped, text of each row, by plain loops."""
     key = lambda line: lower(line.strip(WHITE))
-    count, last = Counter(), {}
-    for i, t in rows:
-        for k in {key(x) for x in t.split("\n")}:
-            count[k] += 1
-            last[k] = max(last.get(k, -1), i)
-    want = []
+    holders = {}
+    for n, (i, t) in enumerate(rows):
+        for k in {key(x) for x in (t or "").split("\n")}:
+            holders.setdefault(k, set()).add((i, n if i is None else -1))
+    out = []
     for i, t in rows:
-        lines = t.split("\n")
-        keep = [x for x in lines if not (len(key(x)) >= 20 and count[key(x)] >= 3 and last[key(x)] > i)]
-        want.append((i, len(lines), len(lines) - len(keep), "\n".join(keep)))
+        lines = (t or "").split("\n")
+        gone = lambda x: len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and i is not None and max(d for d, _ in holders[key(x)] if d is not None) > i  # noqa: B023, E731
+        keep = [x for x in lines if not gone(x)]
+        out.append((-1 if i is None else i, len(lines), len(lines) - len(keep), "\n".join(keep)))
+    return sorted(out)
+
+
+def test_line_dedup_against_brute_force(docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = line_dedup.dedup_lines(docs, into="out")
-    assert sorted((r.doc_id, r.out.n_lines, r.out.n_dropped, r.out.text) for r in out.collect()) == sorted(want)
-    assert sum(w[2] for w in want) > 5
+    assert sorted((r.doc_id, r.out.n_lines, r.out.n_dropped, r.out.text) for r in out.collect()) == brute_lines(rows)
+    assert sum(w[2] for w in brute_lines(rows)) > 5
     assert line_dedup.replace_text(docs).columns == docs.columns
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "this line is long enough to be counted"
+    long = "\n".join(f"line number {i} of a very long text" for i in range(30_000))
+    rows = [(1, f"a\n{line}"), (1, f"{line}\nb\n{line}"), (2, line), (3, "other line that three rows hold"), (3, "other line that three rows hold"), (4, "other line that three rows hold")]
+    rows += [(None, "a line of rows without any id"), (None, "a line of rows without any id"), (7, "a line of rows without any id"), (8, "A line of rows without any id ")] + [(10 + i, long + f"\n{i}") for i in range(3)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), into="text2").collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text2.n_lines, r.text2.n_dropped, r.text2.text) for r in out)
+    assert got == brute_lines(rows)
+    assert {r[0] for r in got if r[2]} == {7, 10, 11}
+
+
 def brute_components(rows, percent):
     sets = []
     for _, t in rows:
@@ -79,6 +95,40 @@ def test_near_duplicates_against_brute_force(docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    x, y = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(2, x), (5, x + " end"), (5, y), (7, "seven of one text and one id"), (7, "seven of one text and one id"), (9, ""), (9, ""), (None, x), (11, y + " end"), (5, y)]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in kept.collect())
+    assert got == sorted([(2, x), (5, y), (7, "seven of one text and one id"), (9, ""), (9, ""), (-1, x)])
+
+
+def test_near_duplicates_finish_families_and_frequent_shingles(spark, monkeypatch):
+    """Families whose members are edited to different degrees, and texts that share passages without being alike, need the second round."""
+    import random
+
+    calls = []
+    across = near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda members, *a: calls.append(members.count()) or across(members, *a))
+    rng = random.Random(8)
+    fresh = iter(range(10**9))
+    passages = [[f"p{k}w{i}" for i in range(40)] for k in range(6)]
+    rows = []
+    base = [f"b{i}" for i in range(100)]
+    for n in range(80):
+        words = list(base)
+        for _ in range(rng.choice((0, 1, 2, 4, 6))):
+            words[rng.randrange(100)] = f"n{next(fresh)}"
+        rows.append(" ".join(words))
+    for n in range(60):  # one passage of three quarters, another of the rest: alike in part only
+        rows.append(" ".join(passages[0] + passages[1] + passages[2] + [f"own{next(fresh)}" for _ in range(35)]))
+    for n in range(60):
+        rows.append(" ".join(w for k in rng.sample(range(6), 3) for w in passages[k]))
+    rows = list(enumerate(rows))
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_components(rows, 80)) and calls and calls[0] > 10
+
+
 def test_near_duplicates_null_id(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
@@ -188,32 +238,92 @@ def test_packing_round_trip(docs, no_docs):
     assert packing.pack_power_of_two(no_docs, tokenizer_path()).count() == 0
 
 
-def test_fingerprints(docs, no_docs):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
-    want = {}
-    for (d, t), (_, nxt) in zip(rows, rows[1:] + rows[:1], strict=True):
+def neighbours(spark, rows):
+    """(doc_id, text, next text) by plain loops, in the documented order."""
+    tie = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)
+    return [(d, t, nxt) for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True)]
+
+
+def brute_anchors(spark, text):
+    """Positions and 32-bit hashes of the closed syncmers, by a loop over all k-mers."""
+    words = WORD.findall(text)
+    flat = [c for w in words for c in w] if len(text) <= 128 else [c for w in words for c in (w if len(w) > 16 else [w])]
+    if not flat:
+        return []
+    h = [r.h for r in spark.createDataFrame([(i, w) for i, w in enumerate(flat)], "i int, w string").select("i", F.xxhash64("w").alias("h")).orderBy("i").collect()]
+    if len(h) < 5:
+        rows = [(0, h)]
+        hashed = spark.createDataFrame(rows, "i int, h array<bigint>").select("i", F.xxhash64("h").alias("k"))
+    else:
+        rows = [(i, h[i : i + 5]) for i in range(len(h) - 4) if min(h[i], h[i + 4]) <= min(h[i + 1 : i + 4])]
+        hashed = spark.createDataFrame(rows, "i int, h array<bigint>").select("i", F.xxhash64(*[F.col("h")[j] for j in range(5)]).alias("k"))
+    return sorted((r.i, r.k & 0xFFFFFFFF) for r in hashed.collect())
+
+
+def split_prints(fingerprint):
+    return [int(fingerprint[i : i + 8], 16) for i in range(0, len(fingerprint), 8)]
+
+
+def shares(a, b):
+    """Likeness and positional likeness of two lists of (position, hash), by plain sets and loops."""
+    x, y = {h for _, h in a}, {h for _, h in b}
+    near = len(x & y) / len(x | y) if x | y else 1.0
+    common = list(dict.fromkeys(h for _, h in a if h in y))
+    best = 0
+    for h in [common[0], common[(len(common) + 1) // 2 - 1], common[-1]] if common else ():
+        shift = next(p for p, g in a if g == h) - next(p for p, g in b if g == h)
+        best = max(best, len(set(a) & {(p + shift, g) for p, g in b}))
+    either = len(a) + len(b) - best
+    return near, best / either if either else 1.0
+
+
+def test_fingerprints_against_plain_loops(spark, docs, no_docs, monkeypatch):
+    frame = docs.select("doc_id", "text")
+    ties = [(7, f"rows of one id number {i} " + "tell more " * i) for i in range(30)] + [(None, "no id"), (None, "no id"), (None, "none either"), (9, None)]
+    frame = frame.unionByName(spark.createDataFrame(ties, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text or "") for r in frame.collect()]
+    want = Counter(neighbours(spark, rows))
+    for chars, repeats in ((32_000_000, 1_000), (300, 2)):  # one range, and many with ids that fill several
+        monkeypatch.setattr(fingerprints, "RANGE_CHARS", chars)
+        monkeypatch.setattr(fingerprints, "REPEATS", repeats)
+        assert Counter(tuple(r) for r in fingerprints.with_next(frame).collect()) == want
+    assert fingerprints.with_next(no_docs).count() == 0
+    out = fingerprints.compare(fingerprints.with_next(frame)).collect()
+    edits = Counter()
+    for d, t, nxt in want.elements():
         half = len(t) // 2
-        want.setdefault(d, []).append((t[: len(t) - half] + nxt[:half], nxt))
-    out = fingerprints.compare(fingerprints.with_next(docs)).collect()
+        edits[d, t, t[: len(t) - half] + nxt[:half]] += 1
+    assert Counter((r.doc_id, r.text, r.edited_text) for r in out) == edits
+    following = {(d, t): n for d, t, n in want}
+    picked = [r for r in out if len(r.text) > 400][:6] + [r for r in out if "\u65e5" in r.text or r.text in ("", "one", "x" * 5000)] + out[::40]
+    for r in picked:
+        own, edited = brute_anchors(spark, r.text), brute_anchors(spark, r.edited_text)
+        assert [(a.pos, a.hash) for a in r.anchors] == own
+        assert split_prints(r.fingerprint) == [h for _, h in own] and split_prints(r.edited_fingerprint) == [h for _, h in edited]
+        assert (r.near_edited, r.placed_edited) == pytest.approx(shares(own, edited))
+        if want[r.doc_id, r.text, following[r.doc_id, r.text]] == sum(n for k, n in want.items() if k[:2] == (r.doc_id, r.text)):
+            assert (r.near_next, r.placed_next) == pytest.approx(shares(own, brute_anchors(spark, following[r.doc_id, r.text])))
     by_text = {}
     for r in out:
-        assert r.edited_text in [w[0] for w in want[r.doc_id]]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         by_text.setdefault(r.text, set()).add(r.fingerprint)
-        if r.text == r.edited_text:
-            assert r.near_edited == 1.0 and r.fingerprint == r.edited_fingerprint
-        n = len(WORD.findall(r.text))
-        if n >= 5:
-            assert all(0 <= a.pos <= n - 5 for a in r.anchors)
-    assert len(out) == len(rows) and all(len(v) == 1 for v in by_text.values())
+        assert r.text != r.edited_text or (r.near_edited == r.placed_edited == 1.0)
+    assert all(len(v) == 1 for v in by_text.values())
     long = [r for r in out if len(r.text) > 400 and len(WORD.findall(r.text)) > 40 and len(set(r.text.split())) > 20]
     assert sum(r.near_edited > 0.15 for r in long) >= 0.95 * len(long)
-    assert fingerprints.with_next(no_docs).count() == 0
+
+
+def test_fingerprints_without_spaces_and_with_shifts(spark):
+    cjk = "".join(chr(0x4E00 + 7 * i % 5000) for i in range(400))
+    body = " ".join(f"w{i * i % 997}" for i in range(300))
+    rows = [(1, cjk, cjk[:200] + "x" * 200), (2, "new words first " + body, body), (3, body, " ".join(reversed(body.split())))]
+    got = {r.doc_id: r for r in fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string, next_text string")).collect()}
+    assert got[1].near_next > 0.3 and got[2].near_next > 0.9 and got[2].placed_next > 0.9 and got[3].placed_next < 0.05
 
 
 def test_anchor_choice_is_context_free(spark):
     df = spark.createDataFrame([("a b c d e f g h i j k l m n o p",), ("x y a b c d e f g h i j k l m n o p",)], "t string")
-    one, two = (r[0] for r in df.withColumn("h", fingerprints.word_hashes(F.col("t"))).select(fingerprints.anchors(F.col("h"))).collect())
+    one, two = (r[0] for r in df.withColumn("h", fingerprints.letter_hashes(F.col("t"))).select(fingerprints.anchors(F.col("h"))).collect())
     assert {(a.pos + 2, a.hash) for a in one} <= {(a.pos, a.hash) for a in two}
 
 
