@@ -8,53 +8,84 @@ PAIRS = "array<struct<id:bigint,payload:string>>"
 SCHEMA = f"epoch_id long, account_id long, started_ns long, received_ns long, config string, instruments string, account_state string, positions string, orders string, order_history string, executions string, details {PAIRS}, quotes {PAIRS}"
 
 
+BINDINGS = {"DE30": (4, 100), "OIL": (6, 1_000)}
+
+
+def reply(payload):
+    return json.dumps({"s": "ok", "d": payload})
+
+
+def tables(columns=COLUMNS):
+    """A short position in oil with its working order, and a part-filled order in the index; one row is of an unbound instrument."""
+    held = {"id": 9_180, "tradableInstrumentId": 58, "side": "sell", "qty": 3.25, "avgPrice": 78.412, "unrealizedPl": -41.5, "openDate": 1_712_345_678_901}
+    orders = [
+        {"id": 7_204, "tradableInstrumentId": 58, "positionId": 9_180, "side": "sell", "type": "stop", "status": "Accepted", "qty": 3.25, "filledQty": 3.25, "avgPrice": 78.412, "createdDate": 1_712_345_600_000, "isOpen": False},
+        {"id": 7_311, "tradableInstrumentId": 31, "positionId": None, "side": "buy", "type": "limit", "status": "New", "qty": 1.5, "filledQty": 0.5, "avgPrice": 18_122.75, "createdDate": 1_712_349_000_000, "isOpen": True},
+    ]
+    trade = {"id": 60_017, "tradableInstrumentId": 58, "orderId": 7_204, "positionId": 9_180, "side": "sell", "qty": 3.25, "price": 78.412, "createdDate": 1_712_345_678_850}
+    placed = lambda layout, rows: [[r.get(c) for c in columns[layout]] for r in rows]
+    return {
+        "positions": {"positions": placed("positionsConfig", [held, held | {"id": 9_181, "tradableInstrumentId": 77}])},
+        "orders": {"orders": placed("ordersConfig", orders[1:])},
+        "order_history": {"ordersHistory": placed("ordersHistoryConfig", orders[:1])},
+        "executions": {"executions": placed("filledOrdersConfig", [trade])},
+    }
+
+
 def epoch(number, columns=COLUMNS, **changes):
-    d = lambda x: json.dumps({"s": "ok", "d": x})
-    row = lambda layout, values: [values.get(c) for c in columns[layout]]
-    position = {"id": 501, "tradableInstrumentId": 101, "side": "buy", "qty": 0.2, "avgPrice": 20000.5, "unrealizedPl": 10.0, "openDate": 1_700_000_000_000}
-    order = {"id": 401, "tradableInstrumentId": 101, "positionId": 501, "side": "buy", "type": "limit", "status": "New", "qty": 0.2, "filledQty": 0.0, "avgPrice": 0.0, "createdDate": 1_700_000_000_000, "isOpen": True}
-    fill = {"id": 601, "tradableInstrumentId": 101, "orderId": 401, "positionId": 501, "side": "sell", "qty": 0.2, "price": 20000.5, "createdDate": 1_700_000_000_100}
+    listed = [(31, "DE30", 5, 6), (58, "OIL", 7, 8), (77, "WHEAT", 1, 2)]
     out = {
-        "epoch_id": number, "account_id": 77, "started_ns": 1000, "received_ns": 2000,
-        "config": d({k: {"columns": [{"id": c} for c in cs]} for k, cs in columns.items()}),
-        "instruments": d({"instruments": [{"tradableInstrumentId": 101, "name": "NAS", "routes": [{"id": 201, "type": "INFO"}, {"id": 202, "type": "TRADE"}]}, {"tradableInstrumentId": 9, "name": "OTHER", "routes": []}]}),
-        "account_state": d({"accountDetailsData": [10_000.0, 10_025.0, 9_000.0, 25.0, -2.0, 10.0]}),
-        "positions": d({"positions": [row("positionsConfig", position), row("positionsConfig", position | {"tradableInstrumentId": 9})]}),
-        "orders": d({"orders": [row("ordersConfig", order)]}), "order_history": d({"ordersHistory": []}), "executions": d({"executions": [row("filledOrdersConfig", fill)]}),
-        "details": [(101, d({"tradeSessionId": 301, "minLot": 0.01, "lotStep": 0.01, "tickSize": [{"leftRangeLimit": None, "tickSize": "0.01"}, {"leftRangeLimit": 20000, "tickSize": 0.25}, {"leftRangeLimit": 90000, "tickSize": 5}], "symbolStatus": "FULLY_OPEN"}))],
-        "quotes": [(101, d({"bp": 20_010.0, "ap": 20_011.0}))],
-    }
+        "epoch_id": number,
+        "account_id": 4_120,
+        "started_ns": 5_500,
+        "received_ns": 6_900,
+        "config": reply({k: {"columns": [{"id": c} for c in cs]} for k, cs in columns.items()}),
+        "instruments": reply({"instruments": [{"tradableInstrumentId": i, "name": n, "routes": [{"id": t, "type": "TRADE"}, {"id": f, "type": "INFO"}]} for i, n, f, t in listed]}),
+        "account_state": reply({"accountDetailsData": [52_310.4, 52_268.9, 47_000.25, -41.5, -3.2, -41.5]}),
+        **{name: reply(rows) for name, rows in tables(columns).items()},
+        "details": [
+            (31, reply({"sessionId": 12, "minQty": 0.1, "qtyStep": 0.1, "priceIncrement": 0.5, "tradable": False, "symbolStatus": "FULLY_OPEN"})),
+            (58, reply({"tradeSessionId": 40, "minLot": 0.25, "lotStep": 0.05, "tickSize": [{"leftRangeLimit": None, "tickSize": "0.001"}, {"leftRangeLimit": 60, "tickSize": 0.004}, {"leftRangeLimit": 140, "tickSize": 2}], "symbolStatus": "FULLY_OPEN"})),
+        ],
+        "quotes": [(31, reply({"bp": 18_120.25, "ap": 18_121.75})), (58, reply({"bp": 79.1, "ap": 79.14}))],
+    }
     return tuple((out | changes).values())
 
 
 def test_epochs_are_taken_whole(spark):
     turned = COLUMNS | {"positionsConfig": COLUMNS["positionsConfig"][::-1]}
     short = COLUMNS | {"ordersConfig": tuple(c for c in COLUMNS["ordersConfig"] if c != "status")}
+    one_quote = [(31, reply({"bp": 18_120.25, "ap": 18_121.75}))]
     rows = [
-        epoch(1), epoch(2, turned), epoch(3, short), epoch(4, quotes=[]), epoch(5, started_ns=3000), epoch(6, instruments='{"s":"ok","d":{"instruments":[]}}'), epoch(7, executions='{"s":"error","d":{"executions":[]}}'),
-        epoch(8, details=[(101, '{"d":{"tickSize":0.1,"tradeSessionId":1}}')]), epoch(9, positions="junk"), epoch(10, account_state='{"d":{"accountDetailsData":[1]}}'),
+        epoch(11), epoch(12, turned), epoch(13, short), epoch(14, quotes=one_quote), epoch(15, started_ns=7_000), epoch(16, instruments=reply({"instruments": []})), epoch(17, executions='{"s":"late","d":{"executions":[]}}'),
+        epoch(18, details=[(31, reply({"priceIncrement": 0.5, "sessionId": 12})), (58, reply({}))]), epoch(19, positions="<html>"), epoch(20, account_state=reply({"accountDetailsData": [3.5]})),
     ]
-    decoded = venue.decode(spark.createDataFrame(rows, SCHEMA), {"NAS": (1, 10_000)})
+    decoded = venue.decode(spark.createDataFrame(rows, SCHEMA), BINDINGS)
     got = {r.epoch_id: r for r in decoded.collect()}
-    assert {k: r.rejected for k, r in got.items()} == {1: None, 2: None, 3: "orders", 4: "quotes", 5: "times", 6: "instruments", 7: "executions", 8: "contracts", 9: "positions", 10: "account"}
-    one = got[1]
-    assert [p.id for p in one.positions] == [p.id for p in got[2].positions] == [501] and one.positions[0].qty == 0.2
-    assert one.account.projectedBalance == 10_025_000_000 and tuple(one.quotes[0]) == (1, 200_100_000, 200_110_000, 200_105_000)
-    assert tuple(one.contracts[0])[:8] == (1, "NAS", 101, 201, 202, 301, 10_000, 10_000)
-    assert (one.contracts[0].tick_nanos, one.contracts[0].precision, one.contracts[0].session_open) == (250_000_000, 2, True)
-    known = spark.createDataFrame([(77, 401)], "account_id long, id long")
+    assert {k: r.rejected for k, r in got.items()} == {11: None, 12: None, 13: "orders", 14: "quotes", 15: "times", 16: "instruments", 17: "executions", 18: "contracts", 19: "positions", 20: "account"}
+    one = got[11]
+    assert [p.id for p in one.positions] == [p.id for p in got[12].positions] == [9_180] and one.positions[0].qty == 3.25
+    assert one.account.projectedBalance == 52_268_900_000 and one.account.todayFees == -3_200_000
+    assert sorted(map(tuple, one.quotes)) == [(4, 1_812_025, 1_812_175, 1_812_100), (6, 79_100, 79_140, 79_120)]
+    index, oil = one.contracts
+    assert tuple(index)[:8] == (4, "DE30", 31, 5, 6, 12, 100_000, 100_000) and (index.tick_nanos, index.precision, index.session_open) == (500_000_000, 1, False)
+    assert tuple(oil)[:8] == (6, "OIL", 58, 7, 8, 40, 250_000, 50_000) and (oil.tick_nanos, oil.precision, oil.session_open) == (4_000_000, 3, True)
+    known = spark.createDataFrame([(4_120, 7_311)], "account_id long, id long")
     assert venue.unknown_objects(decoded, known, "orders").isEmpty()
     unknown = venue.unknown_objects(decoded, known, "positions")
-    assert sorted(map(tuple, unknown.collect())) == [(1, 501), (2, 501)]
+    assert sorted(map(tuple, unknown.collect())) == [(11, 9_180), (12, 9_180)]
 
     made = venue_ledger.entries(decoded, unknown)
-    mine = {r.kind: r for r in made.where("epoch_id = 1").collect()}
-    assert mine["reconciliation"].status == "incident" and mine["order"].correlation == mine["position"].correlation == mine["fill"].correlation
-    assert mine["order"].body == "Venue order 401 BUY 0.200000 limit @ 0.00000 / status New." and mine["order"].status == "pending"
-    assert mine["position"].body == "Venue position 501 BUY 0.200000 @ 20000.50000 / open P&L +10.00 USD."
-    assert mine["fill"].body == "Venue execution 601 filled order 401 / position 501 / SELL 0.200000 @ 20000.50000." and mine["fill"].event_ns == 1_700_000_000_100_000_000
+    mine = {(r.kind, r.status): r for r in made.where("epoch_id = 11").collect()}
+    bodies = {r.body for r in mine.values()}
+    assert any(k == ("reconciliation", "incident") for k in mine)
+    assert "Venue order 7311 BUY 1.500000 limit @ 18122.75000 / status New." in bodies
+    assert "Venue position 9180 SELL 3.250000 @ 78.41200 / open P&L -41.50 USD." in bodies
+    assert "Venue execution 60017 filled order 7204 / position 9180 / SELL 3.250000 @ 78.41200." in bodies
+    fill, held = (next(r for (k, _), r in mine.items() if k == kind) for kind in ("fill", "position"))
+    assert fill.correlation == held.correlation and fill.event_ns == 1_712_345_678_850_000_000
     fresh = venue_ledger.append_once(made.where("kind = 'order'"), made)
-    assert sorted((r.epoch_id, r.kind) for r in fresh.collect()) == [(1, "fill"), (1, "position"), (1, "reconciliation"), (2, "reconciliation")]
+    assert sorted((r.epoch_id, r.kind) for r in fresh.collect()) == [(11, "fill"), (11, "position"), (11, "reconciliation"), (12, "reconciliation")]
 
 
 def test_reconciliation(spark):
