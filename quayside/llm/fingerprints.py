@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import stored
+from quayside.llm.common import WHITE, stored
 
 K = 5
 #: Code points over which a word counts as so many letters, and up to which a text does.
@@ -41,18 +41,19 @@ RANGE_CHARS, MOST_RANGES = 32_000_000, 100_000
 REPEATS = 1_000
 
 
-def letters(text: Column) -> Column:
+def words(text: Column) -> Column:
+    """The words of a text; the code points of a short one."""
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    spelt = F.filter(F.split(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), "", -1), lambda c: c != "")
-    some_long = F.exists(words, lambda w: F.char_length(w) > LONG_WORD)
-    split_long = F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG_WORD, F.split(w, "", -1)).otherwise(F.array(w))))
-    long_spelt = F.when(some_long, F.filter(split_long, lambda c: c != "")).otherwise(words)
-    return F.when(F.char_length(text) <= SHORT_TEXT, spelt).otherwise(long_spelt)
+    cut = lambda t: F.filter(F.split(t, rf"[{WHITE}]+", -1), lambda w: w != "")
+    spread = F.regexp_replace(text, "(?s)(.)", "$1 ")  # a blank after every code point
+    return F.when(F.char_length(text) <= SHORT_TEXT, cut(spread)).otherwise(cut(text))
 
 
-def letter_hashes(text: Column) -> Column:
-    return F.transform(letters(text), lambda w: F.xxhash64(w))
+def letter_hashes(found: Column) -> Column:
+    """Hashes of the letters of ``words``, which should be a column, as it is read twice."""
+    is_long = lambda w: F.char_length(w) > LONG_WORD
+    spelt = F.flatten(F.transform(found, lambda w: F.when(is_long(w), F.filter(F.split(w, "", -1), lambda c: c != "")).otherwise(F.array(w))))
+    return F.transform(F.when(F.exists(found, is_long), spelt).otherwise(found), lambda w: F.xxhash64(w))
 
 
 def _low(h: Column) -> Column:
@@ -89,20 +90,29 @@ def likeness(n_a: Column, n_b: Column, shared: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
 
 
-def placed(a: Column, b: Column, in_both: Column) -> Column:
-    """Share of the anchors of ``a`` or ``b`` (arrays of pos, hash) that agree on one shift; in_both: their hashes in common, by place in ``a``."""
+def shifts(a: Column, b: Column, in_both: Column) -> Column:
+    """How far the first, the middle and the last anchor in common stand apart in ``a`` and ``b`` (arrays of pos, hash); in_both: their hashes in common, by place in ``a``."""
     n = F.size(in_both)
 
-    def at(shift: Column) -> Column:
-        moved = F.transform(b, lambda x: F.struct((x["pos"] + shift).alias("pos"), x["hash"].alias("hash")))
-        return F.size(F.array_intersect(a, moved))
-
     def first_of(found: Column, h: Column) -> Column:
-        return F.element_at(found, F.array_position(F.transform(found, lambda x: x["hash"]), h).cast("int"))["pos"]
+        return F.element_at(found, F.array_position(found["hash"], h).cast("int"))["pos"]
+
+    picked = [F.element_at(in_both, i) for i in (F.lit(1), F.floor((n + 1) / 2).cast("int"), n)]
+    return F.when(n > 0, F.array_distinct(F.array(*[first_of(a, h) - first_of(b, h) for h in picked]))).otherwise(F.array().cast("array<int>"))
+
 
-    shifts = [first_of(a, h) - first_of(b, h) for h in (F.element_at(in_both, i) for i in (F.lit(1), F.floor((n + 1) / 2).cast("int"), n))]
-    best = F.when(n > 0, F.greatest(*[at(s) for s in shifts])).otherwise(F.lit(0))
-    return likeness(F.size(a), F.size(b), best)
+def numbered(found: Column, shift: Column | int = 0) -> Column:
+    """Position and hash of each anchor as one number: sets of structs would be compared pair by pair."""
+    return F.transform(found, lambda x: (x["pos"].cast("long") + shift) * F.lit(1 << 32) + x["hash"])
+
+
+def placed(a_numbers: Column, b: Column, tried: Column) -> Column:
+    """Share of the anchors of ``a`` or ``b`` that agree on one of the shifts ``tried``.
+
+    ``a_numbers`` and ``tried`` must be columns: lambdas work expressions out anew for every element.
+    """
+    best = F.array_max(F.transform(tried, lambda shift: F.size(F.array_intersect(a_numbers, numbered(b, shift)))))
+    return likeness(F.size(a_numbers), F.size(b), F.coalesce(best, F.lit(0)))
 
 
 def _split_bounds(docs: DataFrame) -> tuple[list[int], list[tuple[int | None, int]]]:
@@ -185,13 +195,18 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
     out = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     names = {"text": "a", "edited_text": "e", "next_text": "n"}
     for source, c in names.items():
-        out = out.withColumn(f"{c}_letters", letter_hashes(F.col(source)))
+        out = out.withColumn(f"{c}_words", words(F.col(source)))
+    for c in names.values():
+        out = out.withColumn(f"{c}_letters", letter_hashes(F.col(f"{c}_words"))).drop(f"{c}_words")
     for c in names.values():
         out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_letters"), k)).drop(f"{c}_letters")
     for c in names.values():
         out = out.withColumn(f"{c}_set", F.array_distinct(F.col(f"{c}_anchors.hash")))
     for c in ("e", "n"):
         out = out.withColumn(f"{c}_shared", F.array_intersect("a_set", f"{c}_set"))
+    out = out.withColumn("a_numbers", numbered(F.col("a_anchors")))
+    for c in ("e", "n"):
+        out = out.withColumn(f"{c}_shifts", shifts(F.col("a_anchors"), F.col(f"{c}_anchors"), F.col(f"{c}_shared")))
     return out.select(
         "doc_id",
         "text",
@@ -200,8 +215,8 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
         fingerprint_text(F.col("e_anchors")).alias("edited_fingerprint"),
         likeness(F.size("a_set"), F.size("e_set"), F.size("e_shared")).alias("near_edited"),
         likeness(F.size("a_set"), F.size("n_set"), F.size("n_shared")).alias("near_next"),
-        placed(F.col("a_anchors"), F.col("e_anchors"), F.col("e_shared")).alias("placed_edited"),
-        placed(F.col("a_anchors"), F.col("n_anchors"), F.col("n_shared")).alias("placed_next"),
+        placed(F.col("a_numbers"), F.col("e_anchors"), F.col("e_shifts")).alias("placed_edited"),
+        placed(F.col("a_numbers"), F.col("n_anchors"), F.col("n_shifts")).alias("placed_next"),
         F.col("a_anchors").alias("anchors"),
     )
 

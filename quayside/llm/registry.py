@@ -36,7 +36,7 @@ def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.find_secrets(table(spark, sf_dir, "documents"), from_ends=True)
     counts = [secret_scan.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = F.sha2(secret_scan.span_text(F.col("spans"), strong_only=True), 256)
-    return out.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = disclosure.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [disclosure.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     base = F.sha2(disclosure.span_text(F.col("spans"), base_only=True), 256)
-    return out.select("doc_id", *counts, base.alias("base_sha256"), disclosure.span_text(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, base.alias("base_sha256"), disclosure.span_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), "clean")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_power_of_two(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
