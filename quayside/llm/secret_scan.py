@@ -7,7 +7,9 @@ user or client id, a short or unnamed secret, a host or connection URL.  A weak
 part is reported when a part of another role stands in the same scope, which is
 a span of the text: two parts are in one scope when at most ``SCOPE`` code
 points lie between the end of one and the start of the next (``from_ends``, as
-the registered query has it), or between both starts.
+the registered query has it), or between both starts.  A plain web address is no
+endpoint of a login written as prose ("account: details"), so these two do not
+complement each other; either still goes with any other part.
 
 Texts are scanned once.  The parts become rows; each is dealt to the cells of
 ``SCOPE`` code points that it touches and to one cell more on either side, and
@@ -44,6 +46,9 @@ _WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Z
 _SHORT_KEY = re.compile(r"\b(?:pwd|pass|password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([^\s\"']{4,})", re.A | re.I)
 _HOST = re.compile(r"\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{4,})", re.A | re.I)
 _HINTS = (b"user", b"login", b"account", b"client", b"access", b"pwd", b"pass", b"secret", b"token", b"api", b"host", b"endpoint", b"server", b"url", b"://")
+#: A login as prose writes it: letters only, after a colon and a space.
+_PROSE = re.compile(r"[a-z_-]+:\x20+[a-z]+\Z", re.A | re.I)
+_PLAIN_URL = re.compile(r"https?://[^@?=]*\Z", re.A | re.I)
 _ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "user": "id", "host": "endpoint"}
 
 
@@ -70,6 +75,11 @@ def scan(text: str) -> tuple[list[S.Span], list[S.Span]]:
     return strong, weak
 
 
+def is_loose(kind: str, text: str) -> bool:
+    """Whether a part is a login in prose or a plain web address."""
+    return bool(kind == "user" and _PROSE.match(text) or kind == "host" and _PLAIN_URL.match(text))
+
+
 def _free(weak: set[S.Span], taken: list[tuple[int, int]]) -> list[S.Span]:
     """The weak parts that touch no strong one, by bisection for texts with many."""
     ends: list[tuple[int, int]] = []
@@ -87,20 +97,21 @@ def _free(weak: set[S.Span], taken: list[tuple[int, int]]) -> list[S.Span]:
     return out
 
 
-_PART = "struct<kind:string,role:string,start:bigint,end:bigint,strong:boolean>"
+_PART = "struct<kind:string,role:string,start:bigint,end:bigint,strong:boolean,loose:boolean>"
 
 
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, parts) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    kind = pa.struct([("kind", pa.string()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strong", pa.bool_())])
+    kind = pa.struct([("kind", pa.string()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strong", pa.bool_()), ("loose", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for t in batch.column(1):
-                strong, weak = scan(t.as_py() or "")
-                found.append([{"kind": k, "role": _ROLE[k], "start": a, "end": b, "strong": s} for ps, s in ((strong, True), (weak, False)) for k, a, b in ps])
+                text = t.as_py() or ""
+                strong, weak = scan(text)
+                found.append([{"kind": k, "role": _ROLE[k], "start": a, "end": b, "strong": s, "loose": is_loose(k, text[a:b])} for ps, s in ((strong, True), (weak, False)) for k, a, b in ps])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["doc_id", "parts"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -119,7 +130,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Each part stands in the cells it touches, where it is judged, and in the ones beside them, where it is a partner only.
     cells_of = F.when(F.col("p").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(first - 1, last + 1))
     cells = each.select("row", "doc_id", "p", F.explode(cells_of).alias("cell")).groupBy("row", "doc_id", "cell").agg(F.collect_list("p").alias("ps"))
-    near = lambda p, q: (p["role"] != q["role"]) & (q["start"] - p[far] <= scope) & (p["start"] - q[far] <= scope)
+    near = lambda p, q: (p["role"] != q["role"]) & ~(p["loose"] & q["loose"]) & (q["start"] - p[far] <= scope) & (p["start"] - q[far] <= scope)
     own = F.filter("ps", lambda p: F.col("cell").between(F.floor(p["start"] / scope), F.floor(p[far] / scope)))
     judged = F.transform(own, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), p["strong"].alias("strong"), F.exists("ps", lambda q: near(p, q)).alias("linked")))
     key = ("start", "end", "kind", "strong")
