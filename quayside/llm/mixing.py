@@ -17,8 +17,10 @@ turn, so no window holds more than one block, however large the source.
 
 Defined results: a null source is a source of its own; a null or empty text has
 no tokens and is never taken in the partial pass; every row counts, also
-repeated ones; ties of the hash are broken by the id, and rows that tie there
-too are taken together; an empty table gives an empty result.
+repeated ones and those with a null id.  The hash is of the id and the text;
+rows that tie there are taken together, unless so many do (``TIES``) that they
+would fill a block: their places in the input then tell them apart.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import stored
 
-#: Tokens that a block holds on average, and blocks in a block group.
-BLOCK_TOKENS, GROUP_BLOCKS = 1 << 15, 1 << 10
+#: Tokens and rows that a block holds on average, at most, and blocks in a block group.
+BLOCK_TOKENS, BLOCK_ROWS, GROUP_BLOCKS = 1 << 15, 1 << 12, 1 << 10
+#: Rows with one hash from which on they are told apart.
+TIES = 256
 #: Halvings of the exponent's interval.
 STEPS = 50
 MAX_REPEATS = 4.0
@@ -53,17 +57,29 @@ def _total(values: Column) -> Column:
 
 
 def _entropy(shares: Column, a: Column) -> Column:
-    raised = _powers(shares, a)
-    return F.aggregate(raised, F.lit(0.0), lambda s, x: s - F.when(x > 0, (x / _total(raised)) * F.log(x / _total(raised))).otherwise(F.lit(0.0)))
+    """log T - sum(x log x) / T of the raised shares x with total T, in one pass over the sources."""
+    start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("xlogx"))
+
+    def add(s: Column, p: Column) -> Column:
+        x = F.when(p > 0, F.pow(p, a)).otherwise(F.lit(0.0))
+        return F.struct((s["t"] + x).alias("t"), (s["xlogx"] + F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))).alias("xlogx"))
+
+    return F.aggregate(shares, start, add, lambda s: F.when(s["t"] > 0, F.log(s["t"]) - s["xlogx"] / s["t"]).otherwise(F.lit(0.0)))
 
 
 def _repeats(shares: Column, a: Column, budget_share: float | None) -> Column:
     """How often the most repeated source is passed over, for a budget of ``budget_share`` times all tokens."""
-    raised = _powers(shares, a)
-    ratios = F.filter(F.zip_with(raised, shares, lambda x, p: F.when(p > 0, x / p)), lambda r: r.isNotNull())
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0.0).alias("t"), none.alias("low"), none.alias("high"))
+
+    def add(s: Column, p: Column) -> Column:
+        x = F.when(p > 0, F.pow(p, a)).otherwise(F.lit(0.0))
+        ratio = F.when(p > 0, x / p)
+        return F.struct((s["t"] + x).alias("t"), F.least(s["low"], ratio).alias("low"), F.greatest(s["high"], ratio).alias("high"))
+
     if budget_share is None:  # the least passed source is passed once
-        return F.array_max(ratios) / F.array_min(ratios)
-    return F.lit(budget_share) * F.array_max(ratios) / _total(raised)
+        return F.aggregate(shares, start, add, lambda s: s["high"] / s["low"])
+    return F.aggregate(shares, start, add, lambda s: F.lit(budget_share) * s["high"] / s["t"])
 
 
 def _bisect(shares: Column, value, target: Column) -> Column:
@@ -124,21 +140,30 @@ def mix(
     """
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL_SOURCE))
     light = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), src.alias("src"), count_tokens(F.col(text_col).cast("string")).alias("n_tokens")),
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).cast("string").alias("source"),
+            src.alias("src"),
+            count_tokens(F.col(text_col).cast("string")).alias("n_tokens"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
         "mix-tokens",
     )
+    # Only hashes that very many rows share: their number is that of rows over TIES at most, and Spark picks the join by its size.
+    tied = light.groupBy("src", "h").agg(F.count(F.lit(1)).alias("ties")).where(F.col("ties") >= TIES).select("src", "h", F.lit(True).alias("tied"))
     totals = light.groupBy("src").agg(F.sum("n_tokens").alias("n_tokens"))
     weights = stored(source_weights(totals, budget_share=budget_share, max_repeats=max_repeats, evenness=evenness), "mix-weights")
-    plan = weights.select(
+    plan = weights.join(light.groupBy("src").agg(F.count(F.lit(1)).alias("n_rows")), "src").select(
         "src",
-        F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / BLOCK_TOKENS)).cast("long").alias("n_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / BLOCK_TOKENS), F.ceil(F.col("n_rows") / BLOCK_ROWS)).cast("long").alias("n_blocks"),
         F.when(F.col("n_tokens") > 0, F.expr("owed div n_tokens")).otherwise(F.lit(0)).cast("long").alias("passes"),
         F.when(F.col("n_tokens") > 0, F.col("owed") % F.col("n_tokens")).otherwise(F.lit(0)).cast("long").alias("rest"),
         "weight",
         "exponent",
     )
-    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = light.join(plan, "src").withColumn("h", mixed).withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("n_blocks"))).withColumn("grp", F.expr(f"block div {GROUP_BLOCKS}"))
+    told = light.join(stored(tied, "mix-ties"), ["src", "h"], "left").withColumn("h", F.when(F.col("tied"), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("tied", "row")
+    dealt = told.join(plan, "src").withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("n_blocks"))).withColumn("grp", F.expr(f"block div {GROUP_BLOCKS}"))
 
     def before(*part: str) -> Window:
         return Window.partitionBy(*part)
@@ -150,8 +175,8 @@ def mix(
     groups = groups.select("src", "grp", F.coalesce(F.sum("t").over(up_to(before("src").orderBy("grp"))), F.lit(0)).alias("g0"))
     blocks = blocks.select("src", "grp", "block", F.coalesce(F.sum("t").over(up_to(before("src", "grp").orderBy("block"))), F.lit(0)).alias("b0"))
     starts = blocks.join(groups, ["src", "grp"]).select("src", "block", (F.col("g0") + F.col("b0")).alias("b0"))
-    same = before("src", "block", "h", "doc_id")
-    placed = dealt.withColumn("through", F.sum("n_tokens").over(before("src", "block").orderBy("h", "doc_id"))).withColumn("own", F.sum("n_tokens").over(same))
+    same = before("src", "block", "h")
+    placed = dealt.withColumn("through", F.sum("n_tokens").over(before("src", "block").orderBy("h"))).withColumn("own", F.sum("n_tokens").over(same))
     placed = placed.join(starts, ["src", "block"]).withColumn("first", F.col("b0") + F.col("through") - F.col("own"))
     taken = ((F.col("n_tokens") > 0) & (F.col("first") < F.col("rest"))).cast("long")
     return placed.select("doc_id", "source", "n_tokens", "block", (F.col("passes") + taken).alias("copies"), "weight", "exponent")
