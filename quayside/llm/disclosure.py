@@ -27,7 +27,9 @@ the rest by an equi-join.
 
 Defined results: a null text counts as empty and has no spans; each row is a
 document of its own, also repeated rows and rows with a null id; terms that
-overlap an entity are covered by it; other columns are not read.
+overlap an entity are covered by it; other columns are not read.  An entity with
+fewer than ``MIN_TOGETHER`` documents has no disclosing terms: a word cannot be
+told from chance by them.
 """
 
 from __future__ import annotations
@@ -172,9 +174,8 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.strin
 _SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-def found_spans(docs: DataFrame, id_col: str, text_col: str, bitmap: dict[int, bytes]) -> DataFrame:
-    """(row, doc_id, base, hits) of every row: the spans of its entities, and the words whose hash is set in ``bitmap``."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def found_spans(docs: DataFrame, text_col: str, bitmap: dict[int, bytes]) -> DataFrame:
+    """``docs`` with base and hits: the spans of each row's entities, and its words whose hash is set in ``bitmap``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
@@ -186,7 +187,7 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str, bitmap: dict[int, b
 
         for batch in batches:
             base, hits = [], []
-            for t in batch.column(1):
+            for t in batch.column(batch.schema.get_field_index(text_col)):
                 text = t.as_py() or ""
                 found = entities(text)
                 base.append([{"start": a, "end": b, "kind": k} for k, a, b in found])
@@ -198,22 +199,33 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str, bitmap: dict[int, b
                         known[w] = is_set(w)
                     wanted = wanted or known[w]
                 hits.append([{"term": w, "start": a, "end": b} for w, a, b in free_words(text, found) if known.get(text[a:b])] if wanted else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT))], names=["doc_id", "base", "hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT))], names=[*batch.schema.names, "base", "hits"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, base {_SPANS}, hits array<struct<term:string,start:bigint,end:bigint>>").withColumn("row", F.monotonically_increasing_id())
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kept}, base {_SPANS}, hits array<struct<term:string,start:bigint,end:bigint>>")
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
-    """(row, doc_id, spans): array<struct<start, end, kind>> of the entities and the disclosing terms of each row."""
+def _marked(rows: DataFrame, row_text: str, docs: DataFrame, text_col: str, share: float, together: int) -> DataFrame:
+    """``rows``, with the texts of ``docs`` in ``row_text``, and their spans.
+
+    Only rows with words that may disclose are joined with the disclosing terms.
+    """
     telling = stored(disclosing_terms(docs, text_col, share, together).select("term").distinct(), "pii-terms")
-    rows = stored(found_spans(docs, id_col, text_col, bitmap_of(telling)), "pii-found")
-    hits = rows.select("row", F.inline("hits")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
+    found = stored(found_spans(rows, row_text, bitmap_of(telling)).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    some = F.size("hits") > 0
+    hits = found.where(some).select("row", F.inline("hits")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
     salted = telling.select("term", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    terms = hits.join(salted, ["term", "salt"])
-    added = terms.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"))).alias("added"))
-    both = rows.join(added, "row", "left")
-    return both.select("row", "doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
+    added = hits.join(salted, ["term", "salt"]).groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"))).alias("added"))
+    with_terms = found.where(some).join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))))
+    plain = found.where(~some).withColumn("spans", F.array_sort("base"))
+    return plain.select(*rows.columns, "spans").unionByName(with_terms.select(*rows.columns, "spans"))
+
+
+def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
+    """(doc_id, spans, clean) of each row: array<struct<start, end, kind>> of its entities and disclosing terms, and its text without them."""
+    text = F.col(text_col).cast("string").alias("text")
+    out = _marked(docs.select(F.col(id_col).alias("doc_id"), text), "text", docs, text_col, share, together)
+    return out.select("doc_id", "spans", _covered("text", "spans").alias("clean"))
 
 
 def span_text(spans: Column, base_only: bool = False) -> Column:
@@ -242,13 +254,10 @@ def _covered(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with personal data replaced by its kind, and disclosing terms by their word class.
-
-    Every document is found again by its id, so ids must be unique here; rows
-    with a null id keep their columns and lose their text.
-    """
-    found = find_personal_data(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__pii_id"), F.col("spans").alias("__pii_spans"))
-    out = docs.join(found, docs[id_col] == F.col("__pii_id"), "left")
-    new = F.when(F.col(id_col).isNotNull(), _covered(F.col(text_col), F.col("__pii_spans")))
-    return out.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
+def sanitise(docs: DataFrame, *, text_col: str = "text", share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
+    """``docs`` with personal data replaced by its kind, and disclosing terms by their word class; a null text stays null."""
+    columns = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[(F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`")).alias(n) for c, n in columns.items()])
+    text = columns[text_col]
+    out = _marked(rows, text, docs, text_col, share, together)
+    return out.select(*[(_covered(text, "spans") if n == text else F.col(n)).alias(c) for c, n in columns.items()])
