@@ -3,9 +3,11 @@
 Every document is tokenised, ended with one separator id and cut into pieces
 whose lengths are powers of two: as many pieces of ``max_len`` as fit, then the
 binary digits of the rest from the largest down.  Each piece is a sequence of
-its own, so nothing is padded, and sequences of equal length fill one bucket;
-a trainer reads a bucket at a time with a batch size that keeps tokens a batch
-constant.
+its own, so nothing is padded.  Sequences of equal length are then brought
+together in one bucket: pieces are dealt by their length and a hash, so a bucket
+with a third of all pieces is spread over tasks, and sorted, so that a task
+holds the sequences of a bucket in one run with consecutive ids.  A trainer
+reads a bucket at a time with a batch size that keeps tokens a batch constant.
 
 Token ids are those of the byte-level BPE in the given ``tokenizers`` file.  A
 single space between two visible characters always ends a pre-token of this
@@ -14,7 +16,7 @@ texts with other runs of white space, or with the special token's own string,
 take the tokenizer as a whole.
 
 Defined results: a null text counts as empty (its only id is the separator);
-repeated rows and repeated ids are packed once per row; an empty table gives an
+repeated rows, repeated and null ids are packed once per row; an empty table gives an
 empty result; other columns of the input are not read.
 """
 
@@ -114,10 +116,11 @@ def _coder(tokenizer_path: str) -> TokenBytes:
 def pack_power_of_two(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, separator: int = 0, with_ids: bool = True
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids, bucket, sequence_id, offset.
 
-    ``ids`` (array<int>) is left out with ``with_ids=False``.  ``sequence_id`` is
-    unique over the result; ``length`` names the bucket of the sequence.
+    ``ids`` (array<int>) is left out with ``with_ids=False``.  ``bucket`` is the
+    binary logarithm of the length; ``sequence_id`` is unique over the result,
+    and the ids of a bucket are consecutive within a task.
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
@@ -148,9 +151,10 @@ def pack_power_of_two(
                 yield _pieces(batch, keep, rows, with_ids)
 
     pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
-    # Partition number and place in the partition: unique, and the same again when a lost task is run anew.
-    out = pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return out
+    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    bucketed = pieces.withColumn("bucket", F.log2("length").cast("int")).repartition("bucket", spread).sortWithinPartitions("bucket", "doc_id", "start", "ids_crc32")
+    # Partition number and place in the sorted partition: unique, and the same again when a lost task is run anew.
+    return bucketed.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def _pieces(batch: pa.RecordBatch, keep: list[int], rows: list[list], with_ids: bool) -> pa.RecordBatch:
@@ -163,5 +167,5 @@ def _pieces(batch: pa.RecordBatch, keep: list[int], rows: list[list], with_ids:
 
 
 def write_buckets(sequences: DataFrame, path: str) -> None:
-    """Write packed sequences with one folder per length, as a trainer reads them."""
-    sequences.write.partitionBy("length").parquet(path)
+    """Write packed sequences with one folder per bucket, as a trainer reads them; tasks write their runs, so few files arise."""
+    sequences.write.partitionBy("bucket").parquet(path)
