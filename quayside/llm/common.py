@@ -49,14 +49,19 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def forget(spark: SparkSession) -> None:
-    """Remove all that operators have written so far; their results must have been read or written elsewhere by then."""
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Remove what operators have written, from the ``since``-th folder on; results that read it must have been written elsewhere by then."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def written_so_far() -> int:
+    """How many folders operators have written and not removed yet."""
+    return len(_written)
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file: ``CORPUS_TOKENIZER``, or the one of the installed public tokenizers."""
     import public_tokenizers

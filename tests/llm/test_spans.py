@@ -60,7 +60,8 @@ def brute_linked(t, scope=secret_scan.SCOPE):
     strong, weak = secret_scan.scan(t or "")
     role = secret_scan._ROLE
     every = strong + weak
-    return sorted([*strong, *(w for w in weak if any(role[w[0]] != role[p[0]] and abs(w[1] - p[1]) <= scope for p in every))])
+    loose = {p: secret_scan.is_loose(p[0], t[p[1] : p[2]]) for p in every}
+    return sorted([*strong, *(w for w in weak if any(role[w[0]] != role[p[0]] and abs(w[1] - p[1]) <= scope and not (loose[w] and loose[p]) for p in every))])
 
 
 def test_secrets_are_linked_within_scopes(spark):
@@ -73,6 +74,9 @@ def test_secrets_are_linked_within_scopes(spark):
     alone = spark.createDataFrame([(1, "user=bob and nothing else"), (2, "user=bob at https://h.example/x")], "doc_id long, text string")
     assert {r.doc_id: len(r.spans) for r in secret_scan.find_secrets(alone).collect()} == {1: 0, 2: 2}
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
+    prose = ["Read the account: details at http://news.example.com/a", "account: details at ssh://h.example/x", "account: bob7 at http://h.example/x", "Read the account: details at http://n.example/a pwd: hunter2"]
+    found = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string"), from_ends=True)
+    assert {r.doc_id: len(r.spans) for r in found.collect()} == {0: 0, 1: 2, 2: 2, 3: 3}
 
 
 def test_long_parts_are_linked_and_reported_whole(spark, tmp_path):
@@ -98,6 +102,9 @@ def test_disclosing_terms(spark):
     assert found[0] == [("term", "please"), ("term", "ask"), ("term", "Kowalczyk"), ("email", "jan.k@mail.example.com")]
     assert found[10] == [("email", "other4@mail.example.com")] and found[len(texts) - 2] == [] and len(found) == len(texts)
     clean = {r.doc_id: r.text for r in disclosure.sanitise(df).collect()}
+    assert {r.doc_id: r.clean for r in disclosure.find_personal_data(df).collect()} == clean
+    again = disclosure.sanitise(df.union(df.limit(3)).select("doc_id", "text", F.lit(1).alias("spans"), F.lit("x").alias("base")))
+    assert again.columns == ["doc_id", "text", "spans", "base"] and again.count() == len(texts) + 3 and not any("@" in (r.text or "") for r in again.collect())
     assert clean[0] == "<word> <word> <name> at <email> about invoice 0" and clean[50] == texts[50] and clean[len(texts) - 2] is None
     assert disclosure.find_personal_data(df.limit(0)).count() == 0
 
@@ -123,6 +130,58 @@ def test_document_frequencies_are_of_one_unit(spark):
     assert abs(bits["email:bo@mail.example.com", "novak"] - math.log2(4 * 1000 / (14 * 4))) < 1e-9
 
 
+def brute_terms(texts, share, together):
+    """Disclosing (entity, term) pairs with their PMI, by counting documents in plain loops."""
+    holders, standing = {}, {}
+    for n, t in enumerate(texts):
+        t = t or ""
+        spans = base_personal(t)
+        for k, a, b in spans:
+            value = t[a:b].lower() if k in ("email", "ip") else "".join(c for c in t[a:b] if c.isdigit())
+            holders.setdefault(f"{k}:{value}", set()).add(n)
+        for m in re.finditer(r"[^\W_]+(?:['\u2019-][^\W_]+)*", t):
+            if len(m[0]) >= 3 and not any(a < m.end() and m.start() < b for _, a, b in spans):
+                standing.setdefault(m[0].lower(), set()).add(n)
+    out = {}
+    for e, held in holders.items():
+        for w, seen in standing.items():
+            both = len(held & seen)
+            if both >= together and len(held) < len(texts):
+                pmi = math.log2(both * len(texts) / (len(held) * len(seen)))
+                if pmi >= share * math.log2(len(texts) / len(held)) - 1e-12:
+                    out[e, w] = pmi
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    rng = random.Random(12)
+    names = [f"Name{chr(97 + i)}" for i in range(12)]
+    words = [f"word{i}" for i in range(60)]
+    people = [("kim@mail.example.com", names[:2]), ("+49 30 1234567", names[2:4]), ("10.0.0.7", names[4:5]), ("4111 1111 1111 1111", names[5:8])]
+    texts = [None, ""]
+    for n in range(400):
+        bits = rng.choices(words, k=rng.randint(3, 25))
+        if n % 7 == 0:
+            who, called = rng.choice(people)
+            bits += [who, *rng.sample(called, 1)] if rng.random() < 0.8 else [who]
+        elif n % 11 == 0:
+            bits += rng.sample(names, 1)
+        rng.shuffle(bits)
+        texts.append(" ".join(bits))
+    texts += texts[10:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for share, together in ((0.9, 3), (0.6, 2)):
+        want = brute_terms(texts, share, together)
+        got = {(r.entity, r.term): r.bits for r in disclosure.disclosing_terms(df, "text", share, together).collect()}
+        assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        terms = {w for _, w in want}
+        for r in disclosure.find_personal_data(df, share=share, together=together).collect():
+            t = texts[r.doc_id] or ""
+            own = base_personal(t)
+            own += [("term", m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:['\u2019-][^\W_]+)*", t) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in own)]
+            assert sorted((s.kind, s.start, s.end) for s in r.spans) == sorted(own)
+
+
 def test_personal_data_base_digest(spark):
     df, rows = frame(spark)
     out = disclosure.find_personal_data(df).select("doc_id", disclosure.span_text(F.col("spans"), base_only=True).alias("base"))

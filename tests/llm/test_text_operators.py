@@ -166,6 +166,42 @@ def test_quality_against_brute_force(docs, no_docs):
     assert quality.keep_good(no_docs).count() == 0
 
 
+def brute_quality(t, min_words=50):
+    """The verdict without labels: base rules, compressed share of the text and of each chunk."""
+    import zstandard
+
+    words = WORD.findall(t or "")
+    triples = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    inside = {i + j for i in range(len(words) - 2) if triples[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    if len(words) < min_words or 100 * len(inside) > 50 * len(words):
+        return False
+    raw = (t or "").encode()
+    share = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+    fits = lambda n, r, bands: next(low <= r <= high for most, low, high in bands if n <= most)
+    chunks = [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+    if len(chunks) > 1 and len(chunks[-1]) < 256:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
+    bad = sum(not fits(len(c), share(c), ((512, 0.20, 0.95), (1 << 62, 0.12, 0.75))) for c in chunks) if len(chunks) > 1 else 0
+    bands = ((512, 0.25, 1.00), (2_048, 0.15, 0.85), (8_192, 0.10, 0.75), (32_768, 0.06, 0.68), (1 << 62, 0.03, 0.65))
+    return fits(len(raw), share(raw), bands) and bad <= 0.2 * len(chunks)
+
+
+@pytest.mark.parametrize("together", [4_000_000, 2_000])
+def test_compression_against_brute_force(spark, docs, monkeypatch, together):
+    import random
+
+    monkeypatch.setattr(quality, "BATCH_CHARS", together)
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(900)]
+    texts = [" ".join(rng.choice(stems[: rng.choice((3, 30, 900))]) for _ in range(rng.choice((20, 60, 300, 2_000)))) for _ in range(120)]
+    texts += ["".join(chr(rng.randrange(33, 127)) + " " * (rng.random() < 0.15) for _ in range(n)) for n in (300, 900, 5_000, 40_000)]
+    texts += [texts[3] + " " + texts[-1][:3_000], " ".join(stems) * 40]
+    frame = docs.select("text").union(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = frame.select("text", quality.quality(F.col("text")).alias("q")).collect()
+    assert [r.q.kept for r in got] == [brute_quality(r.text) for r in got]
+    assert 20 < sum(r.q.kept for r in got) < len(got) - 20
+
+
 def test_compression_bands_reject_noise_and_repetition():
     import random
 
@@ -212,6 +248,20 @@ def test_chunks_cover_the_text():
     assert out["chunks_outside"][0] == 0 and out["chunks_outside"][2] == 3 / 11
 
 
+def test_pieces_of_equal_length_stand_together(spark, docs, tmp_path):
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "no id"), (3, "same id"), (3, "same id")], "doc_id long, text string"))
+    out = packing.pack_power_of_two(frame, tokenizer_path())
+    packing.write_buckets(out, f"{tmp_path}/packed")
+    read = spark.read.parquet(f"{tmp_path}/packed")
+    assert read.where("length <> pow(2, bucket) or size(ids) <> length").isEmpty() and read.count() == out.count() > frame.count()
+    runs = {}
+    for r in out.select(F.spark_partition_id().alias("p"), "sequence_id", "bucket").orderBy("sequence_id").collect():
+        if not runs.setdefault(r.p, []) or runs[r.p][-1] != r.bucket:
+            runs[r.p].append(r.bucket)
+    assert all(len(set(x)) == len(x) for x in runs.values())  # each bucket is one run of consecutive ids in a task
+    assert sum(r.length for r in read.where("doc_id is null").collect()) == read.where("doc_id is null").first().doc_tokens
+
+
 def test_packing_round_trip(docs, no_docs):
     import random
 
@@ -322,8 +372,8 @@ def test_fingerprints_without_spaces_and_with_shifts(spark):
 
 
 def test_anchor_choice_is_context_free(spark):
-    df = spark.createDataFrame([("a b c d e f g h i j k l m n o p",), ("x y a b c d e f g h i j k l m n o p",)], "t string")
-    one, two = (r[0] for r in df.withColumn("h", fingerprints.letter_hashes(F.col("t"))).select(fingerprints.anchors(F.col("h"))).collect())
+    df = spark.createDataFrame([(("alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five"),), ("x y alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five",)], "t string")
+    one, two = (r[0] for r in df.withColumn("h", fingerprints.letter_hashes(fingerprints.words(F.col("t")))).select(fingerprints.anchors(F.col("h"))).collect())
     assert {(a.pos + 2, a.hash) for a in one} <= {(a.pos, a.hash) for a in two}
 
 
@@ -351,6 +401,79 @@ def test_mixing(docs, share, limit, evenness):
     assert sorted((r.doc_id, r.copies) for r in again.collect()) == sorted((r.doc_id, r.copies) for r in out)
 
 
+def brute_mix(spark, rows, share, limit, evenness):
+    """Exponent, and how often each row (doc_id, source, text) is held, by plain loops; only the hashes are Spark's."""
+    tokens = [len(WORD.findall(t or "")) for _, _, t in rows]
+    total, of, n_rows = sum(tokens), Counter(), Counter()
+    for (_, src, _), n in zip(rows, tokens, strict=True):
+        of[src] += n
+        n_rows[src] += 1
+    p = {s: n / total for s, n in of.items() if n}
+
+    def weights(a):
+        norm = sum(x**a for x in p.values())
+        return {s: x**a / norm for s, x in p.items()}
+
+    def entropy(a):
+        return -sum(w * math.log(w) for w in weights(a).values())
+
+    def repeats(a):
+        ratios = [w / p[s] for s, w in weights(a).items()]
+        return max(ratios) / min(ratios) if share is None else share * max(ratios)
+
+    def least(value, target):
+        low, high = 0.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if value(mid) > target else (low, mid)
+        return high
+
+    a = max(least(entropy, evenness * math.log(len(p))), least(repeats, limit))
+    w = weights(a)
+    budget = total * share if share is not None else total / min(w[s] / p[s] for s in p) * 1.0
+    if share is None:
+        budget = total / min(w[s] * total / of[s] for s in p)
+    frame = spark.createDataFrame([(i, d, t) for i, (d, _, t) in enumerate(rows)], "i int, doc_id long, text string").withColumn("h", F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text")))
+    hashes = {r.i: (r.h, r.g) for r in frame.select("i", "h", F.xxhash64("h", F.lit(17)).alias("g")).collect()}
+    copies = [0] * len(rows)
+    for src in of:
+        if not of[src]:
+            continue
+        blocks = max(1, -(-of[src] // 32768), -(-n_rows[src] // 4096))
+        passes, rest = divmod(math.floor(w[src] * budget + 0.5), of[src])
+        own = sorted((hashes[i][1] % blocks, hashes[i][0], i) for i, r in enumerate(rows) if r[1] == src)
+        first = 0
+        for k, (block, h, i) in enumerate(own):
+            if k and own[k - 1][:2] != (block, h):
+                first = sum(tokens[j] for *_, j in own[:k])
+            copies[i] = passes + (tokens[i] > 0 and first < rest)
+    return a, copies
+
+
+@pytest.mark.parametrize(("share", "limit", "evenness"), [(1.0, 4.0, 0.95), (2.0, 2.5, 1.0), (None, 1.5, 1.0), (0.3, 4.0, 0.5)])
+def test_mixing_against_plain_loops(spark, docs, monkeypatch, share, limit, evenness):
+    monkeypatch.setattr(mixing, "GROUP_BLOCKS", 2)
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    rows += [(None, "s1", "no id here"), (None, "s1", "no id here"), (None, "s1", "no id there"), (4, "s1", "another text of one id"), (900, "s2", None)]
+    rows += [(1000 + i, "big", f"words of document {i} " * (1 + i % 40)) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    a, copies = brute_mix(spark, rows, share, limit, evenness)
+    out = mixing.mix(frame, budget_share=share, max_repeats=limit, evenness=evenness).collect()
+    assert out[0].exponent == pytest.approx(a, abs=1e-9)
+    want = Counter((i, s, len(WORD.findall(t or "")), c) for (i, s, t), c in zip(rows, copies, strict=True))
+    assert Counter((r.doc_id, r.source, r.n_tokens, r.copies) for r in out) == want
+
+
+def test_mixing_splits_rows_of_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TIES", 50)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 64)
+    rows = [(1, "a", "five words in one row")] * 400 + [(2, "b", "one")] * 40
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), evenness=1.0, max_repeats=9.0).collect()
+    per_block = Counter(r.block for r in out if r.source == "a")
+    assert len(out) == 440 and len(per_block) > 10 and max(per_block.values()) < 60
+    assert abs(sum(r.n_tokens * r.copies for r in out if r.source == "a") - 1680) <= 5  # b stands nine times, a has the rest
+
+
 def test_mixing_meets_the_target_entropy(spark):
     rows = [(i, "big" if i < 900 else f"s{i % 4}", "w " * 10) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -359,23 +482,5 @@ def test_mixing_meets_the_target_entropy(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, docs, tmp_path):
-    folder = str(tmp_path)
-    frame = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.char_length("text").cast("long").alias("n_chars"))
-    frame.write.parquet(f"{folder}/documents.parquet")
-    good = quality.keep_good(frame).count()
-    seen, current = [], spark.read.parquet(f"{folder}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, current, folder)
-        if k < 4:
-            assert out.columns == frame.columns
-        out.write.parquet(f"{folder}/{k}")
-        current = spark.read.parquet(f"{folder}/{k}")
-        seen.append(current.count())
-    assert seen[0] == good and seen[1] == good and seen[2] < seen[1] <= good and seen[3] >= seen[2]
-    run = corpus_pipeline.run(spark, folder)
-    assert sorted((r.doc_id, r.start, r.ids_crc32) for r in run.collect()) == sorted((r.doc_id, r.start, r.ids_crc32) for r in current.collect())
-
-
 def test_hash_of_lines_counts_code_points():
     assert line_dedup.line_hashes("é" * 19 + "\n" + "é" * 20, 20) == [None, hashlib.md5(("é" * 20).encode()).digest()]
