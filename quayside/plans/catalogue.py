@@ -72,11 +72,6 @@ QUERIES = {
         from nets n join (select participant, net as latest from nets where r = 1) x on n.participant = x.participant where n.r <= 104 group by n.participant""",
     "positioning_hist104": "select participant, period, net, cast(r as bigint) as r from nets where r <= 104",
     "positioning_change": "select participant, period, net, net - lead(net) over (partition by participant order by r) as change from nets",
-    "releases128": "select o_orderkey, scheduled, cast(r as bigint) as r from (select o_orderkey, @micros(o_orderdate) as scheduled, row_number() over (order by o_orderdate desc, o_orderkey desc) as r from @table(orders) order by o_orderdate desc, o_orderkey desc limit 128) x",
-    "feed_state": """
-        select n.n_nationkey as feed, case when n.n_nationkey % 7 = 0 then 'not_configured' when n.n_nationkey % 5 = 0 then 'rejected' when c.customers is not null then 'current' when s.suppliers is not null then 'rejected' else 'awaiting' end as state
-        from @table(nation) n left join (select c_nationkey, count(*) as customers from @table(customer) group by c_nationkey) c on n.n_nationkey = c.c_nationkey
-        left join (select s_nationkey, count(*) as suppliers from @table(supplier) group by s_nationkey) s on n.n_nationkey = s.s_nationkey""",
     "coverage": "select o_orderpriority as category, count(*) as cataloged, count(case when o_orderstatus = 'F' then 1 end) as current_n from @table(orders) group by o_orderpriority",
     "material_batches": "select @div(seq, 10000) as batch, series as family, min(seq) as first_seq, max(seq) as last_seq, count(*) as n, min(source) = max(source) as one_source from macro_obs group by 1, 2",
     "context_matrix": """
@@ -94,9 +89,7 @@ QUERIES = {
     "recon_orphans": "select f.fill_id, count(*) as n from fills f left join @table(orders) o on f.order_id = o.o_orderkey and o.o_orderstatus <> 'P' where o.o_orderkey is null group by f.fill_id",
     "order_status": "select o.o_orderkey, o.o_orderstatus, case when f.n is null then 'working' else 'partially_filled' end as state from @table(orders) o left join (select order_id, count(*) as n from fills group by order_id) f on o.o_orderkey = f.order_id",
     "contract_join": "select f.inst, p.p_brand, count(*) as n, cast(sum(f.qty) as bigint) as qty from (select l_partkey, l_partkey % 6 + 1 as inst, cast(round(l_quantity * 1000000) as bigint) as qty from @table(lineitem)) f join @table(part) p on f.l_partkey = p.p_partkey group by 1, 2",
-    "live_gate": "select event_id, k % 2 = 0 and k % 3 <> 0 and k < 70 as ready, case when k % 2 <> 0 then 1 else 0 end + case when k % 3 = 0 then 2 else 0 end + case when k >= 70 then 4 else 0 end as blocks from (select event_id, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from @table(events)) e",
     "limit_utilisation": "select c_custkey, round(greatest(least(c_acctbal / 9000.0, 1.0), 0.0), 9) as used from @table(customer)",
-    "account_selection": "select c_name, count(*) as n, count(*) = 1 as selected from @table(customer) group by c_name",
     # Ledger.
     "ledger_rows256": "select entry_id, case_id, kind, event_ns from entries order by entry_id desc limit 256",
     "ledger_cases": """
@@ -104,24 +97,14 @@ QUERIES = {
         coalesce(max_by(inst, case when inst <> 0 then entry_id end), 0) as inst from entries group by case_id""",
     "ledger_counts": "select kind, count(*) as n, cast(sum(case when operator_entry then 1 else 0 end) as bigint) as n_operator, max(event_ns) as last_ns, max(entry_id) as last_entry from entries group by kind",
     "case_correlation": "select correlation, min_by(case_id, entry_id) as first_case, min(entry_id) as first_entry, count(distinct case_id) as n_cases from entries group by correlation",
-    "case_assignment": "select correlation, first_entry, cast(dense_rank() over (order by first_entry) as bigint) as new_case from (select correlation, min(entry_id) as first_entry from entries group by correlation) c",
     "parent_case_violations": "select e.entry_id, e.parent_id from entries e left join entries p on e.parent_id = p.entry_id and p.kind < e.kind where e.parent_id is not null and p.entry_id is null",
     "causal_neighbours": "select e.entry_id, e.parent_id, count(c.entry_id) as n_children from entries e left join entries c on c.parent_id = e.entry_id group by e.entry_id, e.parent_id",
     "body_preview": "select receipt_id, trim(regexp_replace(substring(payload, 1, 180), '[ \t\n\r]+', ' '@everywhere())) as preview from receipts",
     "ledger_kpis": """
         select cast(sum(case when kind in (1, 2, 3) then 1 else 0 end) as bigint) as decisions, cast(sum(case when kind in (4, 5, 6) then 1 else 0 end) as bigint) as routed, cast(sum(case when kind = 7 then 1 else 0 end) as bigint) as blocked,
         cast(sum(case when kind in (8, 9) then 1 else 0 end) as bigint) as fills, cast(sum(case when kind > 16 then 1 else 0 end) as bigint) as unknown_n from (select kind from entries order by entry_id desc limit 256) v""",
-    "incident_timeline": "select entry_id, kind, event_ns from entries where kind in (13, 17) order by entry_id desc limit 8",
     "idempotent_append": "select source_key, min(entry_id) as kept, count(*) as attempts from (select entry_id, case_id * 100 + kind as source_key from entries) e group by source_key",
     # Structure of the market.
-    "true_range": "select inst, open_ns, greatest(h - l, abs(h - coalesce(pc, h)), abs(l - coalesce(pc, l))) as tr from (select inst, open_ns, h, l, lag(c) over (partition by inst order by open_ns) as pc from m4) x",
-    "atr14": """
-        select inst, open_ns, @div(cast(sum(tr) over (partition by inst order by open_ns rows between 13 preceding and current row) as bigint), count(*) over (partition by inst order by open_ns rows between 13 preceding and current row)) as atr
-        from (select inst, open_ns, greatest(h - l, abs(h - coalesce(pc, h)), abs(l - coalesce(pc, l))) as tr from (select inst, open_ns, h, l, lag(c) over (partition by inst order by open_ns) as pc from m4) x) y""",
-    "gap_flags": """
-        select inst, open_ns, cast(max(gap) over (partition by inst order by open_ns rows between unbounded preceding and current row) as bigint) as gapped from
-        (select inst, open_ns, case when pclose is null and open_ns <> s_open then 1 when ps = s_open and open_ns > pclose then 1 when ps <> s_open and (pclose < p_end or open_ns > s_open) then 1 else 0 end as gap from
-        (select inst, s_open, open_ns, lag(close_ns) over (partition by inst order by open_ns) as pclose, lag(s_open) over (partition by inst order by open_ns) as ps, lag(s_close) over (partition by inst order by open_ns) as p_end from m4) x) y""",
     "session_extremes": """
         select inst, open_ns, h, l, ph is null or h > ph as new_high, pl is null or l < pl as new_low from
         (select inst, open_ns, h, l, max(h) over (partition by inst, s_open order by open_ns rows between unbounded preceding and 1 preceding) as ph,
@@ -133,10 +116,6 @@ QUERIES = {
     "opening_range": """
         select inst, s_open, max(h) as hi, min(l) as lo, min(l) + @div(max(h) - min(l), 2) as mid, count(*) as n from
         m4 where open_ns < s_open + 1200000000000 group by inst, s_open""",
-    "range_projection": """
-        select inst, open_ns, fraction, lo + @div((hi - lo) * fraction, 1000000) as price from
-        (select inst, open_ns, max(h) over w as hi, min(l) over w as lo, count(*) over w as n from m4 window w as (partition by inst order by open_ns rows between 19 preceding and current row)) x
-        @each(fraction, 0, 213000, 333000, 500000, 666000, 750000, 900000, 1000000) where n >= 2""",
     "level_ids": "select inst, s_open, 281474976710656 + inst * 4294967296 + case when r = 1 then 1 else 4 + (r - 2) * 6 + 1 end as first_id from (select inst, s_open, cast(dense_rank() over (partition by inst order by s_open) as bigint) as r from (select distinct inst, s_open from m4) d) x",
     "corridors": """
         select inst, center, next_center, greatest(next_low - hi, 0) as width, case when hi = lo then 0 else @div(greatest(next_low - hi, 0) * 1000000, hi - lo) end as ppm from
@@ -146,7 +125,6 @@ QUERIES = {
         select t.seq, min_by(n.s_open, @order(n.hi - n.lo, n.s_open)) as node, min(n.hi - n.lo) as width, count(*) as n_nodes from ticks t join (select inst, s_open, max(h) as hi, min(l) as lo from m4 group by inst, s_open) n
         on t.inst = n.inst and t.px >= n.lo and t.px <= n.hi and t.day * 86400000000000 >= n.s_open and t.day * 86400000000000 - n.s_open < 3 * 86400000000000 group by t.seq""",
     "slot_gaps": "select inst, s_open, @div(open_ns - s_open, 240000000000) as slot, @div(open_ns - s_open, 240000000000) - coalesce(lag(@div(open_ns - s_open, 240000000000)) over (partition by inst, s_open order by open_ns), -1) - 1 as missing_before from m4",
-    "moving_avg8": "select inst, open_ns, @div(cast(sum(c) over (partition by inst order by open_ns rows between 7 preceding and current row) as bigint), 8) as ma8 from m4",
     "visible_extent": "select inst, s_open, min(l) as lo, max(h) as hi, min(l) - greatest(@div((max(h) - min(l)) * 9, 100), 1) as floor_px, max(h) + greatest(@div((max(h) - min(l)) * 9, 100), 1) as top_px from m4 group by inst, s_open",
     "bar_upsert": "select inst, minutes, open_ns, max_by(c, last_seq) as c, count(*) as versions from (select inst, minutes, open_ns, c, last_seq from bars union all select inst, minutes, open_ns, o, first_seq - 1 from bars) u group by inst, minutes, open_ns",
 }

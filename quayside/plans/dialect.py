@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class Spark:
     def __init__(self, sf_dir: str):
@@ -19,6 +21,9 @@ class Spark:
     def div(self, a: str, b: str) -> str:
         return f"(({a}) div ({b}))"
 
+    def bytes(self, text: str) -> str:
+        return text
+
     def everywhere(self) -> str:
         """Last argument of a regexp_replace that replaces every match."""
         return ""
@@ -40,6 +45,9 @@ class Duck:
     def div(self, a: str, b: str) -> str:
         return f"(({a}) // ({b}))"
 
+    def bytes(self, text: str) -> str:
+        return f"encode({text})"
+
     def everywhere(self) -> str:
         return ", 'g'"
 
@@ -49,9 +57,8 @@ class Duck:
 
 def render(sql: str, d) -> str:
     """Fill in ``@name(args)`` calls in the given dialect, from the last to the first, so that nested ones come first."""
-    while "@" in sql:
-        at = sql.rindex("@")
-        opened = sql.index("(", at)
+    while calls := list(re.finditer(r"@\w+\(", sql)):
+        at, opened = calls[-1].start(), calls[-1].end() - 1
         name, depth, args, cut, i = sql[at + 1 : opened], 0, [], opened + 1, opened
         while True:
             c = sql[i]

@@ -63,24 +63,38 @@ def price_in_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.locate(met.withColumnRenamed("asof_nodes", "nodes")).drop("nodes", "asof_at_ns")
 
 
-def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four-minute bars emitted by a stream over the events that are there."""
-    path = f"{sf_dir}/events.parquet"
-    table = spark.read.parquet(path)
-    stream = spark.readStream.schema(table.schema)
-    single = any(f.endswith("/events.parquet") for f in table.inputFiles())  # a stream reads folders
-    raw = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else stream.parquet(path)
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    ticks = raw.select((F.col("event_id") + 1).alias("seq"), (F.col("user_id") % 6 + 1).alias("inst"), (micros * 1000).alias("ts_ns"), F.round(F.col("value") * 100).cast("long").alias("px"))
-    day = F.floor(F.col("ts_ns") / (24 * HOUR)).cast("long") * (24 * HOUR)
-    ticks = ticks.withColumn("s_open", day + (F.col("inst") % 3) * HOUR).withColumn("s_close", (day + 22 * HOUR + HOUR // 2).cast("long"))
+#: Days of arrivals that the stream gets at a time.
+ARRIVALS = 8
+_TICKS = f"select seq, inst, ts_ns, px, day * 86400000000000 + inst % 3 * 3600000000000 as s_open, day * 86400000000000 + 81000000000000 as s_close, @div(day - 19723 + case when k % 10 = 0 then 2 else 0 end, {ARRIVALS}) as arrival from ticks"
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Ticks arrive in turns, some two days late; after each the stream goes on from its checkpoint with what is new."""
     folder = os.path.join(shared.folder(spark), f"bars-{uuid.uuid4().hex}")
-    bars.stream_bars(ticks, folder).awaitTermination()
-    out = spark.read.schema(bars.EMITTED).parquet(f"{folder}/emitted")
-    return out.select("inst", "open_ns", "close_ns", "o", "h", "l", "c", "n", "revision")
+    ticks = view(spark, sf_dir, _TICKS)
+    turns = [r[0] for r in ticks.select("arrival").distinct().orderBy("arrival").collect()]
+    for turn in turns:
+        ticks.where(F.col("arrival") == turn).drop("arrival").write.parquet(f"{folder}/in/turn={turn}")
+        stream = spark.readStream.schema(ticks.drop("arrival").schema).parquet(f"{folder}/in/*")
+        bars.stream_bars(stream, folder).awaitTermination()
+    return folder
+
+
+def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every emission of a stream over all events: bars of four timeframes, and their corrections."""
+    return spark.read.schema(bars.EMITTED).parquet(f"{_streamed(spark, sf_dir)}/emitted")
+
+
+def live_equals_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose last live emission differs from the replayed history: none."""
+    emitted = spark.read.schema(bars.EMITTED).parquet(f"{_streamed(spark, sf_dir)}/emitted")
+    values = ["close_ns", "o", "h", "l", "c", "n"]
+    last = emitted.groupBy(*bars.KEY).agg(F.max_by(F.struct(*values), "batch").alias("live"))
+    whole = bars.replayed(view(spark, sf_dir, _TICKS)).select(*bars.KEY, F.struct(*values).alias("replay"))
+    return last.join(whole, bars.KEY, "full").where(~F.col("live").eqNullSafe(F.col("replay"))).select(*bars.KEY)
 
 
-QUERIES = {f.__name__: f for f in (interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars)}
+QUERIES = {f.__name__: f for f in (interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars, live_equals_replay)}
 
 ORACLES = {
     "interval_join_cells": "select seq, inst, ts_ns, s_open as open_ns, s_close as close_ns from in_session",
@@ -91,5 +105,13 @@ ORACLES = {
     "overlapping_orders": """
         select o_custkey, o_orderkey, from_us, to_us, prior_end from (select *, max(to_us) over (partition by o_custkey order by from_us, to_us rows between unbounded preceding and 1 preceding) as prior_end from
         (select o_custkey, o_orderkey, @micros(o_orderdate) as from_us, @micros(o_orderdate) + o_orderkey % 90 * 86400000000 as to_us from @table(orders)) s) w where prior_end > from_us""",
-    "streamed_bars": "select inst, open_ns, close_ns, o, h, l, c, n, cast(0 as bigint) as revision from m4 join (select max(ts_ns) as watermark from ticks) w on close_ns <= watermark",
+    "live_equals_replay": "select inst, cast(minutes as integer) as minutes, open_ns from bars where false",
+    "streamed_bars": f"""
+        , arrivals as (select *, dense_rank() over (order by arrival) - 1 as batch from ({_TICKS}) a), marks as (select batch, max(ts_ns) as mark from arrivals group by batch),
+        cut as (select inst, minutes, batch, seq, ts_ns, px, s_open + (ts_ns - s_open) // (minutes * 60000000000) * minutes * 60000000000 as open_ns, s_close from arrivals cross join (select unnest([4, 20, 120, 240]) as minutes) m where ts_ns >= s_open and ts_ns < s_close),
+        grid as (select k.*, m.batch, m.mark from (select inst, minutes, open_ns, least(open_ns + minutes * 60000000000, any_value(s_close)) as close_ns from cut group by inst, minutes, open_ns) k join marks m on close_ns <= mark),
+        upto as (select g.inst, g.minutes, g.open_ns, g.close_ns, g.batch, count(*) as n, arg_min(px, (ts_ns, seq)) as o, max(px) as h, min(px) as l, arg_max(px, (ts_ns, seq)) as c
+                 from grid g join cut t on t.inst = g.inst and t.minutes = g.minutes and t.open_ns = g.open_ns and t.batch <= g.batch group by g.inst, g.minutes, g.open_ns, g.close_ns, g.batch),
+        seen as (select *, lag(n) over w as before, first_value(n) over w as at_first from upto window w as (partition by inst, minutes, open_ns order by batch))
+        select inst, cast(minutes as integer) as minutes, open_ns, close_ns, o, h, l, c, n, n - at_first as revision, before is not null as correction, batch from seen where before is null or n > before""",
 }

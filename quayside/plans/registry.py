@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.plans import dialect, frames
+from quayside.plans import books, desk, dialect, frames, payloads
 from quayside.plans.catalogue import QUERIES
 from quayside.plans.views import full_sql, view
 
@@ -20,8 +20,8 @@ def _runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(name) for name in QUERIES} | frames.QUERIES
+    return {name: _runner(name) for name in QUERIES} | frames.QUERIES | desk.QUERIES | books.QUERIES | payloads.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: full_sql(sql, dialect.Duck()) for name, sql in (QUERIES | frames.ORACLES).items()}
+    return {name: full_sql(sql, dialect.Duck()) for name, sql in (QUERIES | frames.ORACLES | desk.ORACLES | books.ORACLES | payloads.ORACLES).items()}

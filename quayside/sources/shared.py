@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (one machine) a fresh temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset, a fresh temporary folder on one machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quayside.local.folder", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quayside-")
         spark.conf.set("quayside.local.folder", root)
     return root
