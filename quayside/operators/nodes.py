@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.scalars import merge_threshold
+from quayside.functions.scalars import merge_threshold, whole_quotient
 
 __all__ = ["cluster", "clusters", "corridors", "genealogy", "locate", "merge_threshold"]
 
@@ -147,11 +147,13 @@ def corridors(nodes: DataFrame, atr: str = "atr") -> DataFrame:
     return rows.select("inst", "generation", F.col("a.node").alias("lower_node"), F.col("b.node").alias("upper_node"), F.col("a.high").alias("lower_edge"), F.col("b.low").alias("upper_edge"), width.alias("width"), ratio_ppm(width, F.col(atr)).alias("width_ppm"))
 
 
-def locate(priced: DataFrame, price: str = "px") -> DataFrame:
+def locate(priced: DataFrame, price: str = "px", atr: str | None = None) -> DataFrame:
     """``priced`` (with a column ``nodes`` of one generation) and where the price stands: place, lower_node, upper_node, to_lower, to_upper.
 
     Inside a node (the narrowest, then the oldest) both are that node; else the
-    neighbours by center.  Without nodes the place is ``unavailable``.
+    neighbours by center.  Without nodes the place is ``unavailable``.  With the
+    column ``atr`` of the average range, to_lower_ppm and to_upper_ppm are the
+    distances in millionths of it; null where it is not positive.
     """
     px, ns = F.col(price), F.col("nodes")
     zero = F.lit(0).cast("long")
@@ -161,10 +163,14 @@ def locate(priced: DataFrame, price: str = "px") -> DataFrame:
     above = F.filter(ns, lambda n: n["center"] >= px)
     under, over = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
     place = F.when(F.coalesce(F.size(ns), F.lit(0)) == 0, "unavailable").when(inside.isNotNull(), "inside").when(under.isNull(), "below").when(over.isNull(), "above").otherwise("between")
-    return (
+    out = (
         priced.withColumn("place", place)
         .withColumn("lower_node", F.coalesce(inside["node"], under["node"]))
         .withColumn("upper_node", F.coalesce(inside["node"], over["node"]))
         .withColumn("to_lower", F.when(inside.isNotNull(), px - inside["low"]).when(under.isNotNull(), F.greatest(px - under["high"], zero)))
         .withColumn("to_upper", F.when(inside.isNotNull(), inside["high"] - px).when(over.isNotNull(), F.greatest(over["low"] - px, zero)))
     )
+    if atr is None:
+        return out
+    share = lambda c: F.when(F.col(atr) > 0, whole_quotient(F.col(c) * 1_000_000, F.col(atr)))
+    return out.withColumn("to_lower_ppm", share("to_lower")).withColumn("to_upper_ppm", share("to_upper"))

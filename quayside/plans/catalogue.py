@@ -17,10 +17,6 @@ QUERIES = {
     "replay_islands": """
         select batch, run, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from
         (select batch, seq, seq - row_number() over (partition by batch order by seq) as run from (select @div(seq - 1, 1000) as batch, seq from ticks where k >= 30) e) r group by batch, run""",
-    "replay_report": "select @div(seq - 1, 1000) as batch, count(*) as n, min(seq) as first_seq, max(seq) as last_seq, cast(sum(seq % 1000003 * (px % 1000003)) as bigint) as input_sum from ticks group by 1",
-    "journal_integrity": """
-        select batch, first_seq, last_seq, n, last_seq - first_seq + 1 = n as dense, first_seq = coalesce(lag(last_seq) over (order by batch), 0) + 1 as joined
-        from (select @div(seq - 1, 1000) as batch, min(seq) as first_seq, max(seq) as last_seq, count(*) as n from ticks group by 1) b""",
     "dedup_events": "select user_id, event_type, k, min(seq) as seq, count(*) as copies from ticks group by user_id, event_type, k",
     "dup_batch_reject": """
         select batch, count(*) as n, cast(sum(case when r > 1 then 1 else 0 end) as bigint) as n_dup, sum(case when r > 1 then 1 else 0 end) = 0 as accepted
@@ -39,16 +35,12 @@ QUERIES = {
     "scd2_overlaps": """
         select o_custkey, o_orderkey, from_ns, prior_to from (select o_custkey, o_orderkey, from_ns, lag(to_ns) over (partition by o_custkey order by from_ns, o_orderkey) as prior_to from
         (select o_custkey, o_orderkey, @micros(o_orderdate) as from_ns, @micros(o_orderdate) + o_orderkey % 90 * 86400000000 as to_ns from @table(orders)) s) l where prior_to > from_ns""",
-    "tick_tier_asof": """
-        select part, mid, max(lower) as tier_lower, max_by(tick, lower) as tick from (select part, mid, lower, case lower when 0 then 1 when 100000 then 5 when 140000 then 10 else 25 end as tick
-        from tiers @each(lower, 0, 100000, 140000, 180000)) x where lower <= mid group by part, mid""",
     "last_value": "select inst, max_by(px, seq) as px, max(seq) as seq, max_by(ts_ns, seq) as ts_ns from ticks group by inst",
     "last_quote": "select inst, max_by(bid, seq) as bid, max_by(ask, seq) as ask, max(seq) as seq from quotes group by inst",
     "quote_mid": "select seq, inst, bid, ask, @div(bid + ask, 2) as mid, bid <= ask as valid from quotes",
     "projector_health": """
         select inst, count(*) as n_seen, cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as n_errors, cast(sum(case when event_type = 'view' then 1 else 0 end) as bigint) as n_quotes,
         cast(sum(case when recv_ns < ts_ns then 1 else 0 end) as bigint) as n_early, max(recv_ns) as last_received from ticks group by inst""",
-    "availability": "select seq, case when event_type = 'error' then 'stale' when k >= 60 then 'delayed' else 'live' end as availability, case when event_type = 'error' then false else true end as has_value from ticks",
     "batch_availability": """
         select @div(seq - 1, 1000) as batch, case when max(case when event_type <> 'error' and k < 60 then 1 else 0 end) = 1 then 'live'
         else max_by(case when event_type = 'error' then 'stale' else 'delayed' end, seq) end as availability from ticks group by 1""",
@@ -57,7 +49,6 @@ QUERIES = {
     "license_rollup": "select source, license, count(*) as n, cast(sum(n_chars) as bigint) as chars from receipts group by source, license",
     "content_hash": "select receipt_id, md5(payload) as payload_md5, n_chars from receipts",
     "receipt_watermark": "select source, count(*) as n, max(receipt_id) as last_receipt, max(receipt_id) + 1 as next_receipt from receipts group by source",
-    "export_manifest": "select source, min(receipt_id) as first_id, max(receipt_id) as last_id, count(*) as n, max(case when license = 3 then 0 else 1 end) = 0 as exportable from receipts group by source",
     "json_props": "select event_id, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from @table(events)",
     # Macro series and positioning.
     "latest_vintage": "select series, period, v, seq from vintages",
@@ -73,7 +64,6 @@ QUERIES = {
     "positioning_hist104": "select participant, period, net, cast(r as bigint) as r from nets where r <= 104",
     "positioning_change": "select participant, period, net, net - lead(net) over (partition by participant order by r) as change from nets",
     "coverage": "select o_orderpriority as category, count(*) as cataloged, count(case when o_orderstatus = 'F' then 1 end) as current_n from @table(orders) group by o_orderpriority",
-    "material_batches": "select @div(seq, 10000) as batch, series as family, min(seq) as first_seq, max(seq) as last_seq, count(*) as n, min(source) = max(source) as one_source from macro_obs group by 1, 2",
     "context_matrix": """
         select r.r_name as region, f.family, count(o.o_orderkey) as n, max(o.o_orderkey) as latest from @table(region) r cross join (select distinct o_orderpriority as family from @table(orders)) f
         left join (select n.n_regionkey, o.o_orderpriority, o.o_orderkey from @table(orders) o join @table(customer) c on o.o_custkey = c.c_custkey join @table(nation) n on c.c_nationkey = n.n_nationkey) o
@@ -95,14 +85,10 @@ QUERIES = {
     "ledger_cases": """
         select case_id, max(entry_id) as last_entry, max_by(event_ns, entry_id) as last_event_ns, max_by(kind, entry_id) as last_kind, max_by(body, entry_id) as preview, count(*) as n,
         coalesce(max_by(inst, case when inst <> 0 then entry_id end), 0) as inst from entries group by case_id""",
-    "ledger_counts": "select kind, count(*) as n, cast(sum(case when operator_entry then 1 else 0 end) as bigint) as n_operator, max(event_ns) as last_ns, max(entry_id) as last_entry from entries group by kind",
     "case_correlation": "select correlation, min_by(case_id, entry_id) as first_case, min(entry_id) as first_entry, count(distinct case_id) as n_cases from entries group by correlation",
     "parent_case_violations": "select e.entry_id, e.parent_id from entries e left join entries p on e.parent_id = p.entry_id and p.kind < e.kind where e.parent_id is not null and p.entry_id is null",
     "causal_neighbours": "select e.entry_id, e.parent_id, count(c.entry_id) as n_children from entries e left join entries c on c.parent_id = e.entry_id group by e.entry_id, e.parent_id",
     "body_preview": "select receipt_id, trim(regexp_replace(substring(payload, 1, 180), '[ \t\n\r]+', ' '@everywhere())) as preview from receipts",
-    "ledger_kpis": """
-        select cast(sum(case when kind in (1, 2, 3) then 1 else 0 end) as bigint) as decisions, cast(sum(case when kind in (4, 5, 6) then 1 else 0 end) as bigint) as routed, cast(sum(case when kind = 7 then 1 else 0 end) as bigint) as blocked,
-        cast(sum(case when kind in (8, 9) then 1 else 0 end) as bigint) as fills, cast(sum(case when kind > 16 then 1 else 0 end) as bigint) as unknown_n from (select kind from entries order by entry_id desc limit 256) v""",
     "idempotent_append": "select source_key, min(entry_id) as kept, count(*) as attempts from (select entry_id, case_id * 100 + kind as source_key from entries) e group by source_key",
     # Structure of the market.
     "session_extremes": """
@@ -121,9 +107,6 @@ QUERIES = {
         select inst, center, next_center, greatest(next_low - hi, 0) as width, case when hi = lo then 0 else @div(greatest(next_low - hi, 0) * 1000000, hi - lo) end as ppm from
         (select inst, s_open, lo, hi, lo + @div(hi - lo, 2) as center, lead(lo) over (partition by inst order by lo, hi, s_open) as next_low, lead(lo + @div(hi - lo, 2)) over (partition by inst order by lo, hi, s_open) as next_center from
         (select inst, s_open, max(h) as hi, min(l) as lo from m4 group by inst, s_open) s) x where next_low is not null""",
-    "price_location": """
-        select t.seq, min_by(n.s_open, @order(n.hi - n.lo, n.s_open)) as node, min(n.hi - n.lo) as width, count(*) as n_nodes from ticks t join (select inst, s_open, max(h) as hi, min(l) as lo from m4 group by inst, s_open) n
-        on t.inst = n.inst and t.px >= n.lo and t.px <= n.hi and t.day * 86400000000000 >= n.s_open and t.day * 86400000000000 - n.s_open < 3 * 86400000000000 group by t.seq""",
     "slot_gaps": "select inst, s_open, @div(open_ns - s_open, 240000000000) as slot, @div(open_ns - s_open, 240000000000) - coalesce(lag(@div(open_ns - s_open, 240000000000)) over (partition by inst, s_open order by open_ns), -1) - 1 as missing_before from m4",
     "visible_extent": "select inst, s_open, min(l) as lo, max(h) as hi, min(l) - greatest(@div((max(h) - min(l)) * 9, 100), 1) as floor_px, max(h) + greatest(@div((max(h) - min(l)) * 9, 100), 1) as top_px from m4 group by inst, s_open",
     "bar_upsert": "select inst, minutes, open_ns, max_by(c, last_seq) as c, count(*) as versions from (select inst, minutes, open_ns, c, last_seq from bars union all select inst, minutes, open_ns, o, first_seq - 1 from bars) u group by inst, minutes, open_ns",
