@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.plans import books, desk, dialect, frames, payloads, records
+from quayside.plans import books, desk, dialect, frames, payloads, records, tables
 from quayside.plans.catalogue import QUERIES
 from quayside.plans.views import full_sql, view
 
@@ -20,7 +20,7 @@ def _runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(name) for name in QUERIES} | frames.QUERIES | desk.QUERIES | books.QUERIES | payloads.QUERIES | records.QUERIES
+    return {name: tables.QUERIES.get(name) or _runner(name) for name in QUERIES} | frames.QUERIES | desk.QUERIES | books.QUERIES | payloads.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
