@@ -38,12 +38,13 @@ def running_last(rows: DataFrame, *, on: list[str], cell: str, order: list, valu
     return _joined(found, carried, on, cell).withColumn(into, F.coalesce("__inside", "__carried")).drop("__inside", "__carried")
 
 
-def running_rank(rows: DataFrame, *, cell: str, order: list, into: str) -> DataFrame:
-    """``rows`` numbered from 1 along ``order``, over all rows."""
-    counts = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select(cell, F.coalesce(F.sum("n").over(_before([], [cell])), F.lit(0)).alias("__start"))  # a row for each cell
-    inside = F.row_number().over(Window.partitionBy(cell).orderBy(*order))
-    return rows.withColumn(into, inside).join(starts, cell).withColumn(into, F.col(into) + F.col("__start")).drop("__start")
+def running_rank(rows: DataFrame, *, cell: str, order: list, into: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` numbered from 1 along ``order``, over all rows of the key, or all rows without one."""
+    keys = [*on, cell]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(*keys, F.coalesce(F.sum("n").over(_before(list(on), [cell])), F.lit(0)).alias("__start"))  # a row for each cell
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn(into, inside).join(starts, keys).withColumn(into, F.col(into) + F.col("__start")).drop("__start")
 
 
 def _carried(rows: DataFrame, on: list[str], cell: str, of_cell: Column, over_cells: Column, into: str) -> DataFrame:

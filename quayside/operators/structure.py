@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from quayside.functions.scalars import midpoint, rotated, whole_quotient
 from quayside.operators import levels as book
-from quayside.operators import nodes
+from quayside.operators import market, nodes
 from quayside.operators.nodes import CENTER, LOWER, NEUTRAL, UPPER
+from quayside.operators.sequences import running_rank, with_lead_in
 from quayside.sources.shared import written
 
 SESSION, OPENING, PROJECTION = 1, 2, 3
@@ -31,10 +32,6 @@ FRACTIONS = (0, 213_000, 333_000, 500_000, 666_000, 750_000, 900_000, 1_000_000)
 ATR_BARS = 14
 
 
-def _bars():
-    return Window.partitionBy("inst").orderBy("open_ns")
-
-
 def _session(last: int):
     """The bars of the session up to this one (0) or the one before (-1)."""
     return Window.partitionBy("inst", "s_open").orderBy("open_ns").rowsBetween(Window.unboundedPreceding, last)
@@ -119,10 +116,12 @@ def opening_mutations(bars: DataFrame, duration_ns: int = OPENING_NS) -> DataFra
 
 
 def projection_mutations(bars: DataFrame, lookback: int = LOOKBACK, fractions: tuple[int, ...] = FRACTIONS) -> DataFrame:
-    w = _bars().rowsBetween(1 - lookback, Window.currentRow)
-    first = F.min("open_ns").over(Window.partitionBy("inst"))
-    run = bars.select("inst", "open_ns", F.max("h").over(w).alias("hi"), F.min("l").over(w).alias("lo"), F.row_number().over(_bars()).alias("n"), first.alias("epoch"))
-    run = run.withColumn("phi", F.lag("hi").over(_bars())).withColumn("plo", F.lag("lo").over(_bars()))
+    rows = with_lead_in(bars, on=["inst"], cell="s_open", order="open_ns", n=lookback)
+    over = lambda first, last: Window.partitionBy("inst", "s_open").orderBy("open_ns").rowsBetween(first, last)
+    now, before = over(1 - lookback, 0), over(-lookback, -1)
+    run = rows.select("inst", "open_ns", "lead_in", F.max("h").over(now).alias("hi"), F.min("l").over(now).alias("lo"), F.count("h").over(now).alias("n"), F.max("h").over(before).alias("phi"), F.min("l").over(before).alias("plo"))
+    epochs = bars.groupBy("inst").agg(F.min("open_ns").alias("epoch"))
+    run = run.where(~F.col("lead_in")).join(epochs, "inst")
     price = lambda hi, lo, f: F.col(lo) + whole_quotient((F.col(hi) - F.col(lo)) * f, F.lit(1_000_000))
     group = rotated(F.col("epoch"), 29).bitwiseXOR(F.lit(lookback).cast("long"))
     moves = []
@@ -138,16 +137,15 @@ def mutations(bars: DataFrame) -> DataFrame:
     """All producers' mutations, numbered by generation: inst, generation, bar_ns, ordinal, kind, level_id, ..."""
     bars = written(bars, "structure-bars")
     every = session_mutations(bars).unionByName(opening_mutations(bars)).unionByName(projection_mutations(bars))
-    return every.withColumn("generation", F.dense_rank().over(Window.partitionBy("inst").orderBy("bar_ns")).cast("long"))
+    moments = every.select("inst", "bar_ns", F.expr("bar_ns div 86400000000000").alias("day")).distinct()
+    numbered = running_rank(written(moments, "structure-moments"), on=("inst",), cell="day", order=["bar_ns"], into="generation").select("inst", "bar_ns", F.col("generation").cast("long").alias("generation"))
+    return every.join(numbered, ["inst", "bar_ns"])
 
 
 def average_range(bars: DataFrame) -> DataFrame:
     """``bars`` with atr: the mean true range of the last bars, as many as there are, cut to an integer."""
-    pc = F.coalesce(F.col("pc"), F.col("h"))
-    tr = F.when(F.col("pc").isNull(), F.col("h") - F.col("l")).otherwise(F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - pc), F.abs(F.col("l") - pc)))
-    w = _bars().rowsBetween(1 - ATR_BARS, Window.currentRow)
-    ranged = bars.withColumn("pc", F.lag("c").over(_bars())).withColumn("tr", tr)
-    return ranged.withColumn("atr", whole_quotient(F.sum("tr").over(w), F.count("tr").over(w))).drop("pc", "tr")
+    ranged = market.rolling(market.true_ranges(bars), ATR_BARS, total=F.sum("tr"), n=F.count("tr"))
+    return ranged.withColumn("atr", whole_quotient(F.col("total"), F.col("n"))).drop("tr", "total", "n")
 
 
 def structure(bars: DataFrame, *, noise: int = 1, tick: int = 1) -> DataFrame:

@@ -130,7 +130,8 @@ def decode(epochs: DataFrame, bindings: dict[str, tuple[int, int]]) -> DataFrame
     out = out.withColumn("__names", _names("accountDetailsConfig"))
     out = out.withColumn("__values", F.from_json("account_state", "s string, d struct<accountDetailsData:array<string>>")["d"]["accountDetailsData"])
     # Written step by step: one plan of all steps repeats the parsing in every expression that reads it.
-    out = written(out, "venue-parsed")
+    own = [c for c in out.columns if c.startswith("__")]
+    out = written(out.select("epoch_id", "account_id", "started_ns", "received_ns", "details", "quotes", *own), "venue-parsed")
 
     def quote(q: Column) -> Column:
         b = _find(bound, lambda x: x["id"] == q["id"])
@@ -138,14 +139,16 @@ def decode(epochs: DataFrame, bindings: dict[str, tuple[int, int]]) -> DataFrame
         return F.struct(b["inst"].alias("inst"), price("bp").alias("bid"), price("ap").alias("ask"), F.call_function("div", price("bp") + price("ap"), F.lit(2)).alias("mid"))
 
     out = out.withColumn("__quotes", F.transform("quotes", quote))
-    out = written(out, "venue-quoted")
+    out = written(out.drop("quotes"), "venue-quoted")
     out = out.withColumn("__contracts", F.array_sort(_contract(bound, F.col("details"), F.col("__quotes"))))
     for name, (_, _, needed) in TABLES.items():
         read = _row_reader(name, needed, F.col(f"__names_{name}"), bound)
         out = out.withColumn(f"__rows_{name}", F.filter(F.transform(f"__table_{name}", read), lambda r: r["inst"].isNotNull()))
     names, values = F.col("__names"), F.col("__values")
     account = F.struct(*[micros(_cell(values, names, c)).alias(c) for c in ACCOUNT])
-    out = written(out.withColumn("__account", account), "venue-rows")
+    there = {f"__there_{name}": F.col(f"__table_{name}").isNotNull() for name in TABLES}
+    out = out.withColumn("__account", account).withColumns(there).withColumn("__n_details", F.size("details"))
+    out = written(out.drop("details", "__values", *[f"__table_{name}" for name in TABLES]), "venue-rows")
 
     n = len(bindings)
     distinct = lambda c, f: F.size(F.array_distinct(F.transform(c, lambda x: x[f])))
@@ -153,12 +156,11 @@ def decode(epochs: DataFrame, bindings: dict[str, tuple[int, int]]) -> DataFrame
         ("times", (F.col("started_ns") > 0) & (F.col("received_ns") >= F.col("started_ns"))),
         ("instruments", (F.size(bound) == n) & (distinct(bound, "inst") == n)),
         ("quotes", (F.size("__quotes") == n) & (distinct("__quotes", "inst") == n) & F.forall("__quotes", lambda q: q["inst"].isNotNull() & (q["bid"] <= q["ask"]))),
-        ("contracts", (F.size("details") == n) & _no_nulls(F.col("__contracts"), ("info_route", "trade_route", "session", "minimum", "step", "tick_nanos", "precision"))),
+        ("contracts", (F.col("__n_details") == n) & _no_nulls(F.col("__contracts"), ("info_route", "trade_route", "session", "minimum", "step", "tick_nanos", "precision"))),
         ("account", _sound_layout(names, ACCOUNT) & F.forall(F.array(*[F.col(f"__account.{c}") for c in ACCOUNT]), lambda v: v.isNotNull())),
     ]
     for name, (_, _, needed) in TABLES.items():
-        table = F.col(f"__table_{name}")
-        whole = table.isNotNull() & _sound_layout(F.col(f"__names_{name}"), needed)
+        whole = F.col(f"__there_{name}") & _sound_layout(F.col(f"__names_{name}"), needed)
         checks.append((name, whole & _no_nulls(F.col(f"__rows_{name}"), tuple(c for c in needed if c != "tradableInstrumentId"))))
     rejected = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(what)) for what, ok in checks])
     out = out.withColumn("rejected", rejected)
