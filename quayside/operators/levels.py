@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.sources.shared import written
+
 LIVE = ("created", "updated", "frozen")
 
 
@@ -38,6 +40,21 @@ def violations(mutations: DataFrame) -> DataFrame:
     return seen.select("inst", "generation", "level_id", F.explode(F.array_compact(rules)).alias("rule"))
 
 
+def applied(mutations: DataFrame) -> DataFrame:
+    """The log without the generations that the book refuses, each whole.
+
+    What a generation meets depends on those before it, so of every instrument
+    the first refused one goes, and the rest is judged anew: as many rounds as
+    the instrument with the most refused generations has.
+    """
+    log = written(mutations, "levels-log")
+    while True:
+        first = written(violations(log).groupBy("inst").agg(F.min("generation").alias("generation")), "levels-refused")
+        if first.isEmpty():
+            return log
+        log = written(log.join(first, ["inst", "generation"], "left_anti"), "levels-log")
+
+
 def sequence_breaks(mutations: DataFrame) -> DataFrame:
     """(inst, generation, expected) where an instrument's generations do not count up by one from 1."""
     w = Window.partitionBy("inst").orderBy("generation")

@@ -72,8 +72,68 @@ def structure_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (draft_validity, automatic_validity, operator_validity, case_assignment, ledger_bodies, ledger_views, incident_timeline, top_decisions, chart_structure, structure_fingerprint)}
 
+
+
+def _rotated(value: str, bits: int, key: str) -> str:
+    """A 64-bit number turned left and mixed with a key, in integers wide enough."""
+    turned = f"(cast({value} as hugeint) * {1 << bits} % 18446744073709551616 + {value} // {1 << (64 - bits)})"
+    return f"xor(cast({turned} - case when {turned} >= 9223372036854775808 then 18446744073709551616 else 0 end as bigint), cast({key} as bigint))"
+
+
+_ID = "281474976710656"
+#: What is active after every bar, from the bars themselves: the state that the log of mutations must lead to.
+ACTIVE = f"""
+    , ses as (select inst, s_open, min(s_close) as s_close, row_number() over (partition by inst order by s_open) as k, max(h) as hi, min(l) as lo, min(open_ns) as first_ns from m4 group by inst, s_open),
+    run as (select b.*, s.k, s.first_ns, row_number() over (partition by b.inst order by b.open_ns) as nth, max(b.h) over w as rh, min(b.l) over w as rl, max(b.h) over p as ph, min(b.l) over p as pl,
+            max(b.h) over r as wh, min(b.l) over r as wl, case when s.k = 1 then 0 else 6 * s.k - 6 end as base, least(b.s_open + 1200000000000, b.s_close) as form_end
+            from m4 b join ses s on b.inst = s.inst and b.s_open = s.s_open
+            window w as (partition by b.inst, b.s_open order by b.open_ns rows between unbounded preceding and current row), p as (partition by b.inst, b.s_open order by b.open_ns rows between unbounded preceding and 1 preceding),
+                   r as (partition by b.inst order by b.open_ns rows between 19 preceding and current row)),
+    moved as (select *, ph is null or h > ph as nh, pl is null or l < pl as nl, lag(wh) over (partition by inst order by open_ns) as lwh, lag(wl) over (partition by inst order by open_ns) as lwl,
+              first_ns < s_open + 1200000000000 as has_range, open_ns < form_end as forming, open_ns >= form_end and lag(open_ns) over (partition by inst, s_open order by open_ns) < form_end as closes from run),
+    counted as (select *, sum(cast(nh and ph is not null as bigint)) over u as h_age, sum(cast(nl and pl is not null as bigint)) over u as l_age, max(case when nh then open_ns end) over u as h_at, max(case when nl then open_ns end) over u as l_at,
+                sum(cast(forming and has_range and ph is not null and (h > ph or l < pl) as bigint)) over u as r_age, max(case when forming then h end) over u as r_hi, min(case when forming then l end) over u as r_lo
+                from moved window u as (partition by inst, s_open order by open_ns rows between unbounded preceding and current row)),
+    fr as (select unnest([0, 213000, 333000, 500000, 666000, 750000, 900000, 1000000]) as f, unnest(range(8)) as i),
+    proj as (select c.inst, c.open_ns, i, wl + (wh - wl) * f // 1000000 as price, nth = 2 or (nth > 2 and wl + (wh - wl) * f // 1000000 <> lwl + (lwh - lwl) * f // 1000000) as changed, nth from counted c cross join fr where nth >= 2),
+    aged as (select *, sum(cast(changed and nth > 2 as bigint)) over (partition by inst, i order by open_ns) as p_age from proj),
+    gens as (select c.inst, c.open_ns, dense_rank() over (partition by c.inst order by c.open_ns) as generation from counted c left join (select inst, open_ns, bool_or(changed) as any_moved from proj group by inst, open_ns) p on c.inst = p.inst and c.open_ns = p.open_ns
+             where c.open_ns = c.first_ns or nh or nl or (has_range and (closes or (forming and (h > ph or l < pl)))) or coalesce(any_moved, false)),
+    bands as (select x.inst, x.k, x.base, t.o as ho, t.h as hh, t.c as hc, u.o as lo_, u.l as ll, u.c as lc, x.h_age, x.l_age from
+              (select inst, s_open, k, base, max(h_at) as h_at, max(l_at) as l_at, max(h_age) as h_age, max(l_age) as l_age from counted group by inst, s_open, k, base) x join m4 t on t.inst = x.inst and t.open_ns = x.h_at join m4 u on u.inst = x.inst and u.open_ns = x.l_at),
+    now as (select g.generation, c.* from gens g join counted c on c.inst = g.inst and c.open_ns = g.open_ns),
+    levels as (
+        select inst, generation, {_ID} + inst * 4294967296 + base + 1 as level_id, rh as lower, rh as upper, rh as price, {_rotated("s_open", 17, "1")} as group_id, 2 as side, 1 as family, h_age as age, 'developing' as state from now
+        union all select inst, generation, {_ID} + inst * 4294967296 + base + 2, rl, rl, rl, {_rotated("s_open", 17, "1")}, -1, 1, l_age, 'developing' from now
+        union all select n.inst, generation, {_ID} + n.inst * 4294967296 + base + 3, greatest(t.o, t.c), t.h, t.h, 0, 2, 1, h_age, 'developing' from now n join m4 t on t.inst = n.inst and t.open_ns = n.h_at
+        union all select n.inst, generation, {_ID} + n.inst * 4294967296 + base + 4, t.l, least(t.o, t.c), t.l, 0, -1, 1, l_age, 'developing' from now n join m4 t on t.inst = n.inst and t.open_ns = n.l_at
+        union all select n.inst, generation, {_ID} + n.inst * 4294967296 + base - 1, s.hi, s.hi, s.hi, {_rotated("s.s_open", 17, "2")}, 2, 1, 0, 'developing' from now n join ses s on s.inst = n.inst and s.k = n.k - 1
+        union all select n.inst, generation, {_ID} + n.inst * 4294967296 + base, s.lo, s.lo, s.lo, {_rotated("s.s_open", 17, "2")}, -1, 1, 0, 'developing' from now n join ses s on s.inst = n.inst and s.k = n.k - 1
+        union all select n.inst, generation, {_ID} + n.inst * 4294967296 + b.base + 3, greatest(ho, hc), hh, hh, 0, 2, 1, b.h_age, 'frozen' from now n join bands b on b.inst = n.inst and b.k between n.k - 5 and n.k - 1
+        union all select n.inst, generation, {_ID} + n.inst * 4294967296 + b.base + 4, ll, least(lo_, lc), ll, 0, -1, 1, b.l_age, 'frozen' from now n join bands b on b.inst = n.inst and b.k between n.k - 5 and n.k - 1
+        union all select n.inst, generation, 2 * {_ID} + n.inst * 4294967296 + 3 * (q.m - 1) + v.i, x, x, x, {_rotated("n.s_open", 21, "1200000000000")}, v.side, 2, r_age, case when open_ns >= form_end then 'frozen' else 'developing' end
+            from now n join (select inst, s_open, row_number() over (partition by inst order by s_open) as m from ses where first_ns < s_open + 1200000000000) q on q.inst = n.inst and q.s_open = n.s_open
+            cross join lateral (select unnest([1, 2, 3]) as i, unnest([2, -1, 1]) as side, unnest([r_hi, r_lo, r_lo + (r_hi - r_lo) // 2]) as x) v
+        union all select g.inst, g.generation, 3 * {_ID} + g.inst * 4294967296 + a.i + 1, a.price, a.price, a.price, {_rotated("e.epoch", 29, "20")}, case a.i when 0 then -1 when 7 then 2 else 0 end, 3, p_age, 'developing'
+            from gens g join aged a on a.inst = g.inst and a.open_ns = g.open_ns join (select inst, min(open_ns) as epoch from m4 group by inst) e on e.inst = g.inst)"""
+_FIELDS = ("level_id", "lower", "upper", "price", "group_id", "side", "family", "age", "state")
+_LINE = " || ".join(f"length(cast({c} as varchar)) || ':' || {c} || ';'" for c in _FIELDS)
+
 _OPERATOR = "('operator_note', 'intervention', 'review', 'amendment', 'redaction')"
 ORACLES = {
+    "structure_fingerprint": ACTIVE + f" select inst, generation, count(*) as n, sha256('levels/1' || chr(10) || count(*) || chr(10) || string_agg({_LINE}, chr(10) order by price, level_id)) as fingerprint from levels group by inst, generation",
+    # A mutation changes a value, the age or the state, so a version is a stretch of generations in which nothing changes.
+    "structure_levels": ACTIVE + """
+        , newest as (select inst, max(generation) as newest from gens group by inst)
+        select l.inst, min(generation) as from_generation, level_id, lower, upper, price, group_id, side, family, age, case when max(generation) < any_value(newest) then max(generation) + 1 end as to_generation, state
+        from levels l join newest w on w.inst = l.inst group by l.inst, level_id, lower, upper, price, group_id, side, family, age, state""",
+    "chart_structure": ACTIVE + """
+        , ranked as (select *, case when family = 1 and level_id % 4294967296 <= 4 then level_id % 4294967296 - 1 when family = 1 then (level_id % 4294967296 - 3) % 6 when family = 2 then (level_id % 4294967296 - 1) % 3 else level_id % 4294967296 - 1 end as r,
+          family = 1 and (case when level_id % 4294967296 <= 4 then level_id % 4294967296 - 1 else (level_id % 4294967296 - 5) % 6 - 2 end) in (2, 3) as is_band from levels where generation % 50 = 0),
+        named as (select *, case when family = 3 then 'R' || r when family = 2 then ['ORH', 'ORL', 'ORM'][r + 1] when level_id % 4294967296 <= 4 then ['CSH', 'CSL', 'D-U', 'D-L'][r + 1]
+          else ['PSH', 'PSL', 'CSH', 'CSL', 'D-U', 'D-L'][(level_id % 4294967296 - 5) % 6 + 1] end as label, case family when 3 then 4 else 3 end as priority from ranked)
+        select inst, generation, case when is_band then 'band' else 'line' end as shape, row_number() over (partition by inst, generation, is_band order by priority, lower, level_id) as place, level_id, lower, upper, label,
+        case family when 3 then 'range' else 'boundary' end as style, priority, state = 'frozen' as frozen from named""",
     "draft_validity": f"""
         select d.entry_id, case when d.source_key = 0 then 'missing source key' when d.actor_id = 0 or d.schema_version = 0 then 'missing identity' when d.received_ns < d.event_ns or d.recorded_ns < d.received_ns then 'time order'
         when d.first_sequence = 0 or d.last_sequence < d.first_sequence then 'canonical range' when d.kind in {_OPERATOR} and d.actor_kind = 'machine' then 'actor kind' when d.kind in {_OPERATOR} and d.body = '' then 'missing body'
