@@ -116,11 +116,55 @@ ACTIVE = f"""
             cross join lateral (select unnest([1, 2, 3]) as i, unnest([2, -1, 1]) as side, unnest([r_hi, r_lo, r_lo + (r_hi - r_lo) // 2]) as x) v
         union all select g.inst, g.generation, 3 * {_ID} + g.inst * 4294967296 + a.i + 1, a.price, a.price, a.price, {_rotated("e.epoch", 29, "20")}, case a.i when 0 then -1 when 7 then 2 else 0 end, 3, p_age, 'developing'
             from gens g join aged a on a.inst = g.inst and a.open_ns = g.open_ns join (select inst, min(open_ns) as epoch from m4 group by inst) e on e.inst = g.inst)"""
+_CLUSTER = "STRUCT(low BIGINT, high BIGINT, center BIGINT, grps BIGINT[], sides INTEGER[], members BIGINT[])"
+_NODE = "STRUCT(center BIGINT, low BIGINT, high BIGINT, node BIGINT, sides INTEGER[], members BIGINT[], created_ns BIGINT, rel BIGINT[])"
+_FITS = """(greatest(c.low - x.upper, x.lower - c.high, 0) <= th and not (x.grp <> 0 and list_contains(c.grps, x.grp)) and not ((x.side = -1 and list_contains(c.sides, 2)) or (x.side = 2 and list_contains(c.sides, -1))))"""
+_PICK = f"coalesce(list_max(list_transform(acc, lambda c, i: case when {_FITS} then i else 0 end)), 0)"
+_RELATED = "(len(list_intersect(x.members, p.members)) > 0 or (greatest(x.low - p.high, p.low - x.high, 0) <= th and not ((list_contains(p.sides, 2) and list_contains(x.sides, -1)) or (list_contains(p.sides, -1) and list_contains(x.sides, 2)))))"
+#: The clusters of every generation, by a fold over its levels in order, and the nodes they continue, by a walk over the generations.
+WALK = ACTIVE + f"""
+    , ranged as (select inst, open_ns, greatest(h - l, abs(h - coalesce(pc, h)), abs(l - coalesce(pc, l))) as tr from (select inst, open_ns, h, l, lag(c) over (partition by inst order by open_ns) as pc from m4) z),
+    atrs as (select inst, open_ns, cast(trunc(sum(tr) over w / count(*) over w) as bigint) as atr from ranged window w as (partition by inst order by open_ns rows between 13 preceding and current row)),
+    per as (select g.inst, g.generation, g.open_ns as bar_ns, m.close_ns as at_ns, a.atr, cast(greatest(a.atr * 80000 // 1000000, 2) as bigint) as th from gens g join m4 m on m.inst = g.inst and m.open_ns = g.open_ns join atrs a on a.inst = g.inst and a.open_ns = g.open_ns),
+    listed as (select inst, generation, list({{'lower': cast(lower as bigint), 'upper': cast(upper as bigint), 'price': cast(price as bigint), 'level_id': cast(level_id as bigint), 'grp': cast(group_id as bigint), 'side': cast(side as integer)}} order by lower, upper, price, level_id) as ls from levels group by inst, generation),
+    clustered as (select p.*, list_sort(list_transform(list_reduce(ls, lambda acc, x: case when {_PICK} = 0 then list_append(acc, {{'low': x.lower, 'high': x.upper, 'center': x.price, 'grps': [x.grp], 'sides': [x.side], 'members': [x.level_id]}})
+        else list_transform(acc, lambda c, i: case when i = {_PICK} then {{'low': least(c.low, x.lower), 'high': greatest(c.high, x.upper), 'center': least(c.low, x.lower) + (greatest(c.high, x.upper) - least(c.low, x.lower)) // 2, 'grps': list_append(c.grps, x.grp), 'sides': list_append(c.sides, x.side), 'members': list_append(c.members, x.level_id)}} else c end) end,
+        cast([] as {_CLUSTER}[])), lambda c, i: {{'center': c.center, 'low': c.low, 'high': c.high, 'made': i, 'sides': list_sort(list_distinct(c.sides)), 'members': list_sort(c.members)}})) as cs from per p join listed l on l.inst = p.inst and l.generation = p.generation),
+    walk as (with recursive steps as (
+        select inst, cast(0 as bigint) as generation, cast(0 as bigint) as bar_ns, cast(0 as bigint) as at_ns, cast(0 as bigint) as atr, cast([] as {_NODE}[]) as before, cast([] as {_NODE}[]) as nodes, cast(1 as bigint) as number from (select distinct inst from clustered) d
+        union all
+        select inst, generation, bar_ns, at_ns, atr, before, list_sort(made.out), made.number from (
+            select c.inst, c.generation, c.bar_ns, c.at_ns, c.atr, s.nodes as before, list_reduce(c.cs, lambda acc, x: list_transform([
+                list_sort(list_transform(list_filter(s.nodes, lambda p: {_RELATED.replace("th", "c.th")} and not list_contains(acc.used, p.node)), lambda p: {{'s': -len(list_intersect(x.members, p.members)), 'd': abs(x.center - p.center), 'node': p.node, 'created': p.created_ns}}))[1]],
+                lambda b: {{'used': case when b.node is null then acc.used else list_append(acc.used, b.node) end, 'number': acc.number + case when b.node is null then 1 else 0 end,
+                  'out': list_append(acc.out, {{'center': x.center, 'low': x.low, 'high': x.high, 'node': coalesce(b.node, c.inst * 4294967296 + acc.number), 'sides': x.sides, 'members': x.members, 'created_ns': coalesce(b.created, c.at_ns),
+                    'rel': list_transform(list_filter(s.nodes, lambda p: {_RELATED.replace("th", "c.th")}), lambda p: p.node)}})}})[1],
+                {{'used': cast([] as bigint[]), 'number': s.number, 'out': cast([] as {_NODE}[])}}) as made
+            from steps s join clustered c on c.inst = s.inst and c.generation = s.generation + 1) m)
+        select * from steps where generation > 0),
+    each_node as (select inst, generation, bar_ns, at_ns, atr, before, n.* from (select *, unnest(nodes) as n from walk) u)"""
+_TEXT = "array_to_string({}, ',')"
 _FIELDS = ("level_id", "lower", "upper", "price", "group_id", "side", "family", "age", "state")
 _LINE = " || ".join(f"length(cast({c} as varchar)) || ':' || {c} || ';'" for c in _FIELDS)
 
 _OPERATOR = "('operator_note', 'intervention', 'review', 'amendment', 'redaction')"
 ORACLES = {
+    "structure_nodes": WALK + f" select inst, generation, at_ns, node, low, high, center, {_TEXT.format('sides')} as sides, {_TEXT.format('members')} as members, created_ns, at_ns as updated_ns from each_node",
+    "node_genealogy": WALK + """
+        , born as (select inst, generation, bar_ns, case when len(rel) = 0 then 'created' when len(rel) > 1 then 'merged' else 'preserved' end as event, node, case when len(rel) > 1 then array_to_string(list_sort(list_filter(rel, lambda r: r <> node)), ',') else '' end as others from each_node),
+        old as (select inst, generation, bar_ns, nodes, unnest(before) as p from walk),
+        gone as (select inst, generation, bar_ns, p.node as node, list_transform(list_filter(nodes, lambda n: list_contains(n.rel, p.node)), lambda n: n.node) as heirs from old)
+        select inst, generation, bar_ns, event, node, others from born union all
+        select inst, generation, bar_ns, case when len(heirs) = 0 then 'expired' else 'split' end, node, array_to_string(list_sort(heirs), ',') from gone where len(heirs) <> 1""",
+    "node_corridors": WALK + """
+        , ordered as (select *, lead(node) over w as upper_node, lead(low) over w as upper_low from each_node window w as (partition by inst, generation order by center, low, high, node))
+        select inst, generation, node as lower_node, upper_node, high as lower_edge, upper_low as upper_edge, greatest(upper_low - high, 0) as width, case when atr > 0 then greatest(upper_low - high, 0) * 1000000 // atr else 0 end as width_ppm from ordered where upper_node is not null""",
+    "price_in_structure": WALK + """
+        , marks as (select inst, generation, at_ns, nodes, lead(at_ns, 1, 9000000000000000000) over (partition by inst order by generation) as next_ns from walk),
+        met as (select t.seq, t.inst, t.ts_ns, t.px, m.generation, m.nodes from ticks t left join marks m on m.inst = t.inst and t.ts_ns >= m.at_ns and t.ts_ns < m.next_ns),
+        found as (select *, list_sort(list_transform(list_filter(nodes, lambda n: px between n.low and n.high), lambda n: {'w': n.high - n.low, 'node': n.node, 'low': n.low, 'high': n.high}))[1] as i, list_filter(nodes, lambda n: n.center < px)[-1] as u, list_filter(nodes, lambda n: n.center >= px)[1] as o from met)
+        select seq, inst, ts_ns, px, generation as asof_generation, case when coalesce(len(nodes), 0) = 0 then 'unavailable' when i is not null then 'inside' when u is null then 'below' when o is null then 'above' else 'between' end as place, coalesce(i.node, u.node) as lower_node, coalesce(i.node, o.node) as upper_node,
+        case when i is not null then px - i.low when u is not null then greatest(px - u.high, 0) end as to_lower, case when i is not null then i.high - px when o is not null then greatest(o.low - px, 0) end as to_upper from found""",
     "structure_fingerprint": ACTIVE + f" select inst, generation, count(*) as n, sha256('levels/1' || chr(10) || count(*) || chr(10) || string_agg({_LINE}, chr(10) order by price, level_id)) as fingerprint from levels group by inst, generation",
     # A mutation changes a value, the age or the state, so a version is a stretch of generations in which nothing changes.
     "structure_levels": ACTIVE + """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.operators import joins, levels, nodes, structure
@@ -37,6 +37,10 @@ def _m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "select inst, s_open, s_close, open_ns, close_ns, o, h, l, c from m4")
 
 
+def _text(numbers: str) -> Column:
+    return F.array_join(F.transform(F.sort_array(numbers), lambda n: n.cast("string")), ",")
+
+
 def structure_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of every level that the bars give rise to."""
     return levels.versions(structure.mutations(_m4(spark, sf_dir)))
@@ -44,11 +48,13 @@ def structure_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes after each bar that changed a level."""
-    return structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "at_ns", F.inline("nodes"))
+    found = structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "at_ns", F.inline("nodes"))
+    return found.withColumns({c: _text(c) for c in ("sides", "members")})
 
 
 def node_genealogy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "bar_ns", F.inline("events"))
+    found = structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "bar_ns", F.inline("events"))
+    return found.withColumn("others", _text("others"))
 
 
 def node_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
