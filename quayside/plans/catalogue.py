@@ -1,9 +1,9 @@
-"""SQL of the market, macro, venue and ledger queries, over the canonical views.
+"""SQL of the queries in ``tables``, which it does not share: the oracle of their rows, over the canonical views.
 
-``@name(...)`` stands for what both dialects spell differently (dialect.py).
+``@name(...)`` stands for what the dialects spell differently (dialect.py).
 """
 
-QUERIES = {
+ORACLES = {
     # Bars and replay.
     "ohlc_bars": "select inst, minutes, open_ns, close_ns, o, h, l, c, n, first_seq, last_seq from bars",
     "bars_partial_flag": "select inst, minutes, open_ns, close_ns, close_ns - open_ns < minutes * 60000000000 as partial_end, case when close_ns - open_ns < minutes * 60000000000 then 10 else 2 end as flags from bars",

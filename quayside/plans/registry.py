@@ -6,22 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.plans import books, desk, dialect, frames, payloads, records, tables
-from quayside.plans.catalogue import QUERIES
-from quayside.plans.views import full_sql, view
-
-
-def _runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return view(spark, sf_dir, QUERIES[name])
-
-    run.__name__ = name
-    return run
+from quayside.plans import books, catalogue, desk, dialect, frames, payloads, records, tables
+from quayside.plans.views import full_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: tables.QUERIES.get(name) or _runner(name) for name in QUERIES} | frames.QUERIES | desk.QUERIES | books.QUERIES | payloads.QUERIES | records.QUERIES
+    return tables.QUERIES | frames.QUERIES | desk.QUERIES | books.QUERIES | payloads.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: full_sql(sql, dialect.Duck()) for name, sql in (QUERIES | frames.ORACLES | desk.ORACLES | books.ORACLES | payloads.ORACLES | records.ORACLES).items()}
+    texts = catalogue.ORACLES | frames.ORACLES | desk.ORACLES | books.ORACLES | payloads.ORACLES | records.ORACLES
+    return {name: full_sql(sql, dialect.Duck()) for name, sql in texts.items()}
