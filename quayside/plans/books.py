@@ -169,7 +169,7 @@ ORACLES = {
     # A mutation changes a value, the age or the state, so a version is a stretch of generations in which nothing changes.
     "structure_levels": ACTIVE + """
         , newest as (select inst, max(generation) as newest from gens group by inst)
-        select l.inst, min(generation) as from_generation, level_id, lower, upper, price, group_id, side, family, age, case when max(generation) < any_value(newest) then max(generation) + 1 end as to_generation, state
+        select l.inst, min(generation) as from_generation, level_id, lower, upper, price, group_id, side, family, cast(age as bigint) as age, case when max(generation) < any_value(newest) then max(generation) + 1 end as to_generation, state
         from levels l join newest w on w.inst = l.inst group by l.inst, level_id, lower, upper, price, group_id, side, family, age, state""",
     "chart_structure": ACTIVE + """
         , ranked as (select *, case when family = 1 and level_id % 4294967296 <= 4 then level_id % 4294967296 - 1 when family = 1 then (level_id % 4294967296 - 3) % 6 when family = 2 then (level_id % 4294967296 - 1) % 3 else level_id % 4294967296 - 1 end as r,

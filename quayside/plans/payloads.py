@@ -18,7 +18,7 @@ from quayside.sources import decoders, documents, index_values, venue
 MONTHS = "select o_custkey as receipt_id, year(o_orderdate) as y, month(o_orderdate) as m, cast(sum(cast(round(o_totalprice) as bigint)) as bigint) as v from @table(orders) group by 1, 2, 3"
 FINE = "receipt_id % 10 not in (0, 1, 3)"
 #: What a decoder that skips missing months must give, and one of a provider without a mark for them.
-OBSERVED = f", observed as (select receipt_id, make_date(cast(y as integer), cast(m as integer), 1) as period_start, cast(v as double) as value from ({MONTHS}) x where {FINE} and (receipt_id % 10 <> 2 or m <> 1))"
+OBSERVED = f", observed as (select receipt_id, cast(make_date(cast(y as integer), cast(m as integer), 1) as varchar) as period_start, cast(v as double) as value, m from ({MONTHS}) x where {FINE} and (receipt_id % 10 <> 2 or m <> 1))"
 ALL_OBSERVED = OBSERVED.replace(" and (receipt_id % 10 <> 2 or m <> 1)", "")
 
 
@@ -43,6 +43,11 @@ def _receipts(rows: DataFrame, payload: Column) -> DataFrame:
     return rows.select("receipt_id", payload.alias("payload"))
 
 
+def _dated(found: DataFrame) -> DataFrame:
+    """Days as text, which all engines write alike."""
+    return found.withColumn("period_start", F.col("period_start").cast("string"))
+
+
 def _labour(rows: DataFrame) -> DataFrame:
     notes = lambda x: F.array(F.struct(F.when(x["m"] % 2 == 0, F.lit("P")).otherwise(F.lit("")).alias("code")))
     months = F.transform("xs", lambda x: F.struct(x["y"].cast("string").alias("year"), F.concat(F.lit("M"), _two(x["m"])).alias("period"), _value(x, "-").alias("value"), notes(x).alias("footnotes")))
@@ -118,39 +123,39 @@ def _census(rows: DataFrame) -> DataFrame:
 
 
 def decoded_labour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoders.labour_series(_labour(_listed(spark, sf_dir)))
+    return _dated(decoders.labour_series(_labour(_listed(spark, sf_dir))))
 
 
 def decoded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoders.daily_rates(_rates(_listed(spark, sf_dir)), "DGS").select("receipt_id", "period_start", "value")
+    return _dated(decoders.daily_rates(_rates(_listed(spark, sf_dir)), "DGS").select("receipt_id", "period_start", "value"))
 
 
 def decoded_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoders.national_accounts(_accounts(_listed(spark, sf_dir)), "T10101", "1", "Level").select("receipt_id", "period_start", "value")
+    return _dated(decoders.national_accounts(_accounts(_listed(spark, sf_dir)), "T10101", "1", "Level").select("receipt_id", "period_start", "value"))
 
 
 def decoded_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoders.stat_cube(_cube(_listed(spark, sf_dir)), "hicp").select("receipt_id", "period_start", "value", "provisional")
+    return _dated(decoders.stat_cube(_cube(_listed(spark, sf_dir)), "hicp").select("receipt_id", "period_start", "value", "provisional"))
 
 
 def decoded_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoders.parallel_arrays(_arrays(_listed(spark, sf_dir))).select("receipt_id", "period_start", "value")
+    return _dated(decoders.parallel_arrays(_arrays(_listed(spark, sf_dir))).select("receipt_id", "period_start", "value"))
 
 
 def decoded_policy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.policy_rate_csv(_policy(_listed(spark, sf_dir)), _KEY).select("receipt_id", "period_start", "value")
+    return _dated(documents.policy_rate_csv(_policy(_listed(spark, sf_dir)), _KEY).select("receipt_id", "period_start", "value"))
 
 
 def decoded_bank_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.bank_rate_csv(_bank(_listed(spark, sf_dir)), "ABC").select("receipt_id", "period_start", "value")
+    return _dated(documents.bank_rate_csv(_bank(_listed(spark, sf_dir)), "ABC").select("receipt_id", "period_start", "value"))
 
 
 def decoded_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.statistics_csv(_office_statistics(_listed(spark, sf_dir)), "AB12").select("receipt_id", "period_start", "value")
+    return _dated(documents.statistics_csv(_office_statistics(_listed(spark, sf_dir)), "AB12").select("receipt_id", "period_start", "value"))
 
 
 def decoded_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.header_first(_census(_listed(spark, sf_dir)), {"kind": "SM"}).select("receipt_id", "period_start", "value")
+    return _dated(documents.header_first(_census(_listed(spark, sf_dir)), {"kind": "SM"}).select("receipt_id", "period_start", "value"))
 
 
 def decode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,9 +337,9 @@ _FINE_EPOCH = "o_custkey % 17 <> 0 and o_custkey % 11 <> 0 and o_custkey % 13 <>
 _SIDE = "case when o_orderkey % 3 = 0 then 'BUY' else 'SELL' end"
 
 ORACLES = {
-    "decoded_labour": OBSERVED + " select receipt_id, concat('S', receipt_id) as series, period_start, value, month(period_start) % 2 = 0 as provisional from observed",
+    "decoded_labour": OBSERVED + " select receipt_id, concat('S', receipt_id) as series, period_start, value, m % 2 = 0 as provisional from observed",
     **dict.fromkeys(("decoded_rates", "decoded_arrays"), OBSERVED + _POINTS.replace("select", " select", 1)),
-    "decoded_cube": OBSERVED + " select receipt_id, period_start, value, month(period_start) % 2 = 0 as provisional from observed",
+    "decoded_cube": OBSERVED + " select receipt_id, period_start, value, m % 2 = 0 as provisional from observed",
     **dict.fromkeys(("decoded_accounts", "decoded_policy_rates", "decoded_bank_rates", "decoded_statistics", "decoded_census"), ALL_OBSERVED + _POINTS.replace("select", " select", 1)),
     "decode_statistics": f"""
         , months as ({MONTHS}), sizes as (select receipt_id, receipt_id % 10 as fault, count(*) as n, count(*) filter (where receipt_id % 10 <> 2 or m <> 1) as kept from months group by receipt_id)

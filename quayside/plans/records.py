@@ -162,7 +162,7 @@ def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     y, q, two = F.col("y").cast("string"), F.expr("cast((m + 2) div 3 as string)"), F.lpad(F.col("m").cast("string"), 2, "0")
     labels = [F.concat(y, F.lit("Q"), q), F.concat(y, F.lit("-Q"), q), F.concat(y, F.lit(" Q"), q), F.concat(y, F.lit("M"), two), F.concat(y, F.lit("-"), two), F.concat(y, two), F.upper(F.date_format(day, "yyyy MMM")), F.date_format(day, "dd MMM yyyy"), F.date_format(day, "yyyy-MM-dd"), F.concat(two, F.lit("/"), y)]
     rows = months.select("y", "m", F.posexplode(F.array(*labels)).alias("form", "label"))
-    return rows.select(F.col("y").cast("long").alias("y"), F.col("m").cast("long").alias("m"), F.col("form").cast("long").alias("form"), decoders.period_start(F.col("label")).alias("start"))
+    return rows.select(F.col("y").cast("long").alias("y"), F.col("m").cast("long").alias("m"), F.col("form").cast("long").alias("form"), decoders.period_start(F.col("label")).cast("string").alias("start"))
 
 
 def price_location(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +282,7 @@ ORACLES = {
         px >= 300 and (k % 2 = 1 or px < 900) as active, true as has_id, ts_ns // 1000000000 + 18000 as utc_s from ticks""",
     "period_labels": """
         , m as (select distinct cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m from orders)
-        select y, m, form, case when form < 3 then make_date(y, (m - 1) // 3 * 3 + 1, 1) when form < 9 then make_date(y, m, 1) end as start from m cross join (select unnest(range(10)) as form) f""",
+        select y, m, form, cast(case when form < 3 then make_date(y, (m - 1) // 3 * 3 + 1, 1) when form < 9 then make_date(y, m, 1) end as varchar) as start from m cross join (select unnest(range(10)) as form) f""",
     "price_location": """
         select t.seq, min_by(n.s_open, @order(n.hi - n.lo, n.s_open)) as node, min(n.hi - n.lo) as width, count(*) as n_nodes from ticks t join (select inst, s_open, max(h) as hi, min(l) as lo from m4 group by inst, s_open) n
         on t.inst = n.inst and t.px >= n.lo and t.px <= n.hi and t.day * 86400000000000 >= n.s_open and t.day * 86400000000000 - n.s_open < 3 * 86400000000000 group by t.seq""",
