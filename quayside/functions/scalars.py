@@ -126,3 +126,34 @@ def signed(amount_micros: Column) -> Column:
 def rotated(value: Column, bits: int) -> Column:
     """A 64-bit number with its bits rotated to the left."""
     return F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(value, 64 - bits))
+
+
+def _held(exact: Column) -> Column:
+    most = F.lit(LARGEST).cast("decimal(20,0)")
+    return F.when(exact > most, F.lit(LARGEST)).when(exact < -most - 1, F.lit(-LARGEST - 1)).otherwise(exact.try_cast("long"))
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    """The sum, held inside the 64-bit range."""
+    return _held(a.cast("decimal(20,0)") + b.cast("decimal(20,0)"))
+
+
+def saturating_multiply(a: Column, b: Column) -> Column:
+    """The product, held inside the 64-bit range."""
+    exact = F.try_multiply(a, b)
+    over = F.when((a < 0) == (b < 0), F.lit(LARGEST)).otherwise(F.lit(-LARGEST - 1))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(exact, over))
+
+
+def side_label(side: Column) -> Column:
+    return F.when(side == "buy", "BUY").when(side == "sell", "SELL").otherwise("UNKNOWN")
+
+
+def fixed(value: Column, decimals: int) -> Column:
+    """A number with so many decimals."""
+    return F.format_string(f"%.{decimals}f", value.cast("double"))
+
+
+def civil_utc(ns: Column) -> Column:
+    """``2024-01-31 08:15:00 UTC`` of nanoseconds since the epoch; the session's time zone must be UTC."""
+    return F.concat(F.date_format(F.timestamp_seconds(whole_quotient(ns, F.lit(1_000_000_000))), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))

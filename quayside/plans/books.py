@@ -149,7 +149,7 @@ _LINE = " || ".join(f"length(cast({c} as varchar)) || ':' || {c} || ';'" for c i
 
 _OPERATOR = "('operator_note', 'intervention', 'review', 'amendment', 'redaction')"
 ORACLES = {
-    "structure_nodes": WALK + f" select inst, generation, at_ns, node, low, high, center, {_TEXT.format('sides')} as sides, {_TEXT.format('members')} as members, created_ns, at_ns as updated_ns from each_node",
+    "structure_nodes": WALK + f" select inst, generation, at_ns, node, low, high, center, {_TEXT.format('sides')} as sides, {_TEXT.format('members')} as members, {_TEXT.format('list_sort(list_distinct(list_transform(members, lambda m: m >> 48)))')} as families, created_ns, at_ns as updated_ns from each_node",
     "node_genealogy": WALK + """
         , born as (select inst, generation, bar_ns, case when len(rel) = 0 then 'created' when len(rel) > 1 then 'merged' else 'preserved' end as event, node, case when len(rel) > 1 then array_to_string(list_sort(list_filter(rel, lambda r: r <> node)), ',') else '' end as others from each_node),
         old as (select inst, generation, bar_ns, nodes, unnest(before) as p from walk),

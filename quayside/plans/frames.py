@@ -49,7 +49,8 @@ def structure_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes after each bar that changed a level."""
     found = structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "at_ns", F.inline("nodes"))
-    return found.withColumns({c: _text(c) for c in ("sides", "members")})
+    families = F.array_distinct(F.transform("members", lambda m: F.shiftright(m, 48)))
+    return found.withColumn("families", families).withColumns({c: _text(c) for c in ("sides", "members", "families")})
 
 
 def node_genealogy(spark: SparkSession, sf_dir: str) -> DataFrame:

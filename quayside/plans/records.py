@@ -155,6 +155,17 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keys_and_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of ledger entries, saturating sums and products, and numbers and times as pages write them."""
+    rows = view(spark, sf_dir, "select seq, k, px, inst, user_id, ts_ns, case when k % 3 = 0 then 0 else seq + 7 end as position from ticks")
+    c, large = F.col, F.lit(9_223_372_036_854_770_000)
+    side = F.when(c("k") % 3 == 0, "buy").when(c("k") % 3 == 1, "sell")
+    return rows.select(
+        "seq", scalars.lifecycle_correlation(c("user_id"), c("position"), c("seq")).alias("lifecycle"), scalars.key128(F.lit("order"), c("seq"), F.when(c("k") % 2 == 0, c("px"))).alias("source_key"),
+        scalars.saturating_add(large, c("px") * (c("k") - 2)).alias("added"), scalars.saturating_multiply(c("ts_ns"), c("k") - 2).alias("multiplied"), scalars.side_label(side).alias("side"), scalars.fixed(c("px") / 8, 3).alias("price"), scalars.civil_utc(c("ts_ns")).alias("at"),
+    )
+
+
 def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months and quarters in the nine ways providers write them, and one that none does."""
     day = F.make_date(F.col("y").cast("int"), F.col("m").cast("int"), F.lit(1))
@@ -207,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         receipt_integrity, journal_integrity, appended_batches, committed_events, replay_report, typed_events, availability, complete_refreshes, bound_titles, venue_contracts, tick_tier_asof, slot_bars, material_batches, export_manifest,
-        opened_positions, epoch_transactions, ledger_counts, ledger_kpis, all_orders, scalar_functions, period_labels, price_location, reconciled_positions, level_violations, location_distances,
+        opened_positions, epoch_transactions, ledger_counts, ledger_kpis, all_orders, scalar_functions, keys_and_formats, period_labels, price_location, reconciled_positions, level_violations, location_distances,
     )
 }
 
@@ -280,6 +291,11 @@ ORACLES = {
         case when k > 9 then (k - 9) * 1000000 else ts_ns end as ms_ns, case when k > 3 then greatest(least(px / 100.0 / (k - 3), 1.0), 0.0) end as used, k % 10 <> 0 and 1 + 3 * (k % 14) <= 31 as strategy, printf('%+.2f', (px * 10000 - 5000000) / 1e6) as money,
         xor(cast((cast(ts_ns as hugeint) * 131072 % 18446744073709551616 + ts_ns // 140737488355328) - case when cast(ts_ns as hugeint) * 131072 % 18446744073709551616 >= 9223372036854775808 then 18446744073709551616 else 0 end as bigint), k) as grp,
         px >= 300 and (k % 2 = 1 or px < 900) as active, true as has_id, ts_ns // 1000000000 + 18000 as utc_s from ticks""",
+    "keys_and_formats": """
+        select seq, left(sha256(case when k % 3 = 0 then concat('["lifecycle","', user_id, '","order","', seq, '"]') else concat('["lifecycle","', user_id, '","position","', seq + 7, '"]') end), 32) as lifecycle,
+        left(sha256(case when k % 2 = 0 then concat('["order","', seq, '","', px, '"]') else concat('["order","', seq, '",null]') end), 32) as source_key,
+        cast(least(cast(9223372036854770000 as hugeint) + px * (k - 2), 9223372036854775807) as bigint) as added, cast(greatest(least(cast(ts_ns as hugeint) * (k - 2), 9223372036854775807), -9223372036854775808) as bigint) as multiplied,
+        case k % 3 when 0 then 'BUY' when 1 then 'SELL' else 'UNKNOWN' end as side, printf('%.3f', px / 8.0) as price, strftime(make_timestamp(ts_ns // 1000000000 * 1000000), '%Y-%m-%d %H:%M:%S UTC') as at from ticks""",
     "period_labels": """
         , m as (select distinct cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m from orders)
         select y, m, form, cast(case when form < 3 then make_date(y, (m - 1) // 3 * 3 + 1, 1) when form < 9 then make_date(y, m, 1) end as varchar) as start from m cross join (select unnest(range(10)) as form) f""",
