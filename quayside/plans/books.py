@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.operators import ledger, levels, projection, structure
+from quayside.plans import tables
 from quayside.plans.views import view
 from quayside.sources.shared import written
 
@@ -54,7 +55,7 @@ def top_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = written(structure.mutations(view(spark, sf_dir, "select inst, s_open, s_close, open_ns, close_ns, o, h, l, c from m4")), "books-log")
+    log = written(structure.mutations(tables.m4_of(spark, sf_dir).select("inst", "s_open", "s_close", "open_ns", "close_ns", "o", "h", "l", "c")), "books-log")
     return levels.active(levels.versions(log), log.select("inst", "generation").distinct())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.functions.scalars import whole_quotient
 from quayside.operators import control, macro, market
 from quayside.operators.structure import FRACTIONS
+from quayside.plans import tables
 from quayside.plans.views import view
 
 HOUR = 3_600_000_000_000
@@ -42,7 +43,7 @@ def bar_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _m4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "select inst, s_open, s_close, open_ns, close_ns, o, h, l, c from m4")
+    return tables.m4_of(spark, sf_dir).select("inst", "s_open", "s_close", "open_ns", "close_ns", "o", "h", "l", "c")
 
 
 def true_range(spark: SparkSession, sf_dir: str) -> DataFrame:

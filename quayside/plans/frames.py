@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.operators import joins, levels, nodes, structure
+from quayside.plans import tables
 from quayside.plans.views import view
 from quayside.sources import shared
 from quayside.streaming import bars
@@ -34,7 +35,7 @@ def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _m4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "select inst, s_open, s_close, open_ns, close_ns, o, h, l, c from m4")
+    return tables.m4_of(spark, sf_dir).select("inst", "s_open", "s_close", "open_ns", "close_ns", "o", "h", "l", "c")
 
 
 def _text(numbers: str) -> Column:
