@@ -16,8 +16,8 @@ shuffle, where adaptive execution splits hash prefixes that many URLs share.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
 path, no rule and the default verdict; rules with a null part are ignored;
-equal rules with different verdicts resolve to ``block``; repeated rows are
-judged each; other columns are not read.
+equal rules with different verdicts resolve to ``block``, and of fitting rules of
+one length the last in order of host and path counts; repeated rows are judged each; other columns are not read.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quayside.llm import disclosure, registry, secret_scan
@@ -153,7 +154,9 @@ def brute_terms(texts, share, together):
     return out
 
 
-def test_disclosing_terms_against_brute_force(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_disclosing_terms_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(disclosure, "MOST_TERMS", most)  # looked up in tasks, or joined
     rng = random.Random(12)
     names = [f"Name{chr(97 + i)}" for i in range(12)]
     words = [f"word{i}" for i in range(60)]
@@ -180,6 +183,12 @@ def test_disclosing_terms_against_brute_force(spark):
             own = base_personal(t)
             own += [("term", m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:['\u2019-][^\W_]+)*", t) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in own)]
             assert sorted((s.kind, s.start, s.end) for s in r.spans) == sorted(own)
+            at, clean = 0, ""
+            for a, b, k in sorted((a, b, k) for k, a, b in own):
+                if a >= at:
+                    clean += t[at:a] + (("<number>" if t[a].isdigit() else "<name>" if t[a].isupper() else "<word>") if k == "term" else f"<{k}>")
+                    at = b
+            assert r.clean == (None if texts[r.doc_id] is None else clean + t[at:])
 
 
 def test_personal_data_base_digest(spark):

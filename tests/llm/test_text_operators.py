@@ -373,7 +373,7 @@ def test_fingerprints_without_spaces_and_with_shifts(spark):
 
 def test_anchor_choice_is_context_free(spark):
     df = spark.createDataFrame([(("alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five"),), ("x y alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five",)], "t string")
-    one, two = (r[0] for r in df.withColumn("h", fingerprints.letter_hashes(fingerprints.words(F.col("t")))).select(fingerprints.anchors(F.col("h"))).collect())
+    one, two = (r[0] for r in df.withColumn("h", fingerprints.word_hashes(fingerprints.words(F.col("t")))).select(fingerprints.anchors(F.col("h"))).collect())
     assert {(a.pos + 2, a.hash) for a in one} <= {(a.pos, a.hash) for a in two}
 
 

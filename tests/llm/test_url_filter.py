@@ -29,3 +29,13 @@ def test_rules(spark, monkeypatch):
         assert sorted((r.page_id, *r.judged) for r in out.collect()) == want
     assert url_filter.match_rules(urls.limit(0), rules).count() == 0
     assert {r.judged.verdict for r in url_filter.match_rules(urls, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_equal_rules_and_a_frequent_url(spark):
+    rules = spark.createDataFrame([("a.com", "/xy", "block"), ("com", "/xyzz", "allow"), ("b.org", "/", "allow"), ("b.org", "/", "block")], url_filter.RULE_SCHEMA)
+    urls = spark.createDataFrame([(1, "http://a.com/xyzz", "v"), (2, "http://b.org/q", "v")] + [(3, "http://a.com/xy", "v")] * 3000 + [(None, None, None)] * 40, "page_id long, url string, verdict string")
+    got = {}
+    for r in url_filter.match_rules(urls, rules).groupBy("page_id", "judged").count().collect():
+        got[r.page_id] = (r.judged.rule, r.judged.verdict, r["count"])
+    # Of rules of one length the last in order of host and path counts; equal rules resolve to block.
+    assert got == {1: ("com/xyzz", "allow", 1), 2: ("b.org/", "block", 1), 3: ("a.com/xy", "block", 3000), None: (None, "allow", 40)}
