@@ -36,7 +36,8 @@ K = 5
 #: Code points over which a word counts as so many letters, and up to which a text does.
 LONG_WORD, SHORT_TEXT = 16, 128
 #: Characters that one task orders, and the most tasks.
-RANGE_CHARS, MOST_RANGES = 32_000_000, 100_000
+RANGE_CHARS, MOST_RANGES = 8_000_000, 100_000
+_LEAST = -(1 << 63)
 #: Repeated rows from which on they are ordered as one row with a count.
 REPEATS = 1_000
 
@@ -49,11 +50,15 @@ def words(text: Column) -> Column:
     return F.when(F.char_length(text) <= SHORT_TEXT, cut(spread)).otherwise(cut(text))
 
 
-def letter_hashes(found: Column) -> Column:
-    """Hashes of the letters of ``words``, which should be a column, as it is read twice."""
-    is_long = lambda w: F.char_length(w) > LONG_WORD
-    spelt = F.flatten(F.transform(found, lambda w: F.when(is_long(w), F.filter(F.split(w, "", -1), lambda c: c != "")).otherwise(F.array(w))))
-    return F.transform(F.when(F.exists(found, is_long), spelt).otherwise(found), lambda w: F.xxhash64(w))
+def word_hashes(found: Column) -> Column:
+    """A hash of each word; the least number for a long one."""
+    return F.transform(found, lambda w: F.when(F.char_length(w) > LONG_WORD, F.lit(_LEAST)).otherwise(F.xxhash64(w)))
+
+
+def letter_hashes(found: Column, hashes: Column) -> Column:
+    """Hashes of the letters of ``words``, from the words and their hashes, which should be columns, as they are read several times."""
+    spelt = F.flatten(F.transform(found, lambda w: F.when(F.char_length(w) > LONG_WORD, F.filter(F.split(w, "", -1), lambda c: c != "")).otherwise(F.array(w))))
+    return F.when(F.array_min(hashes) == _LEAST, F.transform(spelt, lambda w: F.xxhash64(w))).otherwise(hashes)
 
 
 def _low(h: Column) -> Column:
@@ -145,7 +150,7 @@ def _number(bounds: list[int], hot: list[tuple[int | None, int]]) -> Column:
     for b, n in hot:
         own = F.col("doc_id").isNull() if b is None else F.col("doc_id") == F.lit(b)
         parts = F.when(own, F.lit(1) + F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * n).cast("int")).otherwise(parts)
-    return F.struct(whole.alias("range"), parts.alias("part"))
+    return whole.cast("long") * F.lit(1 << 32) + parts
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +175,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     dealt = dealt.withColumn("after", F.lead("text").over(order))
     # The first row of each range: ids and ties only, then its text.
     top = dealt.groupBy("rng").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
-    heads = stored(top.select("rng", "top.*", F.row_number().over(Window.orderBy(F.col("rng.range").desc(), F.col("rng.part").desc())).alias("i")), "syncmer-ranges")  # one row for each range
+    heads = stored(top.select("rng", "top.*", F.row_number().over(Window.orderBy(F.col("rng").desc())).alias("i")), "syncmer-ranges")  # one row for each range
     many = heads.count()
     first = heads.select(F.col("i").alias("head"), F.col("doc_id").alias("head_id"), F.col("tie").alias("head_tie"))
     texts = rows.join(F.broadcast(first), F.col("head_id").eqNullSafe(rows["doc_id"]) & (F.col("head_tie") == rows["tie"])).groupBy("head").agg(F.max("text").alias("head_text"))
@@ -197,7 +202,9 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
     for source, c in names.items():
         out = out.withColumn(f"{c}_words", words(F.col(source)))
     for c in names.values():
-        out = out.withColumn(f"{c}_letters", letter_hashes(F.col(f"{c}_words"))).drop(f"{c}_words")
+        out = out.withColumn(f"{c}_hashes", word_hashes(F.col(f"{c}_words")))
+    for c in names.values():
+        out = out.withColumn(f"{c}_letters", letter_hashes(F.col(f"{c}_words"), F.col(f"{c}_hashes"))).drop(f"{c}_words", f"{c}_hashes")
     for c in names.values():
         out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_letters"), k)).drop(f"{c}_letters")
     for c in names.values():
