@@ -22,8 +22,9 @@ entities, and the document frequencies of all words.  PMI >= share * IC means
 n_term <= n_both * (n_all / n_entity) ** (1 - share), and n_both <= n_entity, so
 words that are too frequent for every entity of their document are left out
 before pairs are made.  The second pass finds the disclosing terms in all
-texts; a bitmap of their hashes (``BITS``, 1 MB) drops most other words at once,
-the rest by an equi-join.
+texts.  Where they are few enough to be sent to every task, they are looked up
+there; else a bitmap of their hashes (``BITS``, 1 MB) drops most other words at
+once, the rest by an equi-join.
 
 Defined results: a null text counts as empty and has no spans; each row is a
 document of its own, also repeated rows and rows with a null id; terms that
@@ -38,7 +39,7 @@ import bisect
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -58,6 +59,8 @@ MIN_TERM_CHARS = 3
 TASK_TERMS, ROW_TERMS = 200_000, 10_000
 #: Bits of the bitmap of disclosing terms, and those of one of its pieces.
 BITS, PIECE = 1 << 23, 1 << 15
+#: Most disclosing terms, and the most code points of one, that are sent to every task (under 8 MB of text).
+MOST_TERMS, TERM_CHARS = 100_000, 80
 #: Parts in which the rows of one term are joined.
 SALT = 16
 
@@ -174,58 +177,109 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.strin
 _SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-def found_spans(docs: DataFrame, text_col: str, bitmap: dict[int, bytes]) -> DataFrame:
-    """``docs`` with base and hits: the spans of each row's entities, and its words whose hash is set in ``bitmap``."""
+def wanted_words(is_wanted: Callable[[str], bool]) -> Callable[[str, list[S.Span]], list[tuple[str, int, int]]]:
+    """A function of a text and its entities' spans to its free words that are wanted; answers for words are remembered up to a bound."""
+    known: dict[str, bool] = {}
+
+    def of(text: str, found: list[S.Span]) -> list[tuple[str, int, int]]:
+        if len(known) >= TASK_TERMS:
+            known.clear()
+        some = False
+        for w in set(_WORD.findall(text)):
+            if w not in known:
+                known[w] = is_wanted(w.lower())
+            some = some or known[w]
+        return [x for x in free_words(text, found) if known.get(text[x[1] : x[2]])] if some else []
+
+    return of
+
+
+def _added(docs: DataFrame, text_col: str, per_row: Callable[[], Callable], names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
+    """``docs`` with further columns of a function of each text, run in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        per = per_row()
+        for batch in batches:
+            made = [per(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
+            new = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kept}, {schema}")
+
 
+def _span(kind: str, start: int, end: int) -> dict:
+    return {"start": start, "end": end, "kind": kind}
+
+
+def found_spans(docs: DataFrame, text_col: str, bitmap: dict[int, bytes]) -> DataFrame:
+    """``docs`` with base and hits: the spans of each row's entities, and its words whose hash is set in ``bitmap``."""
+
+    def per_row():
         def is_set(word: str) -> bool:
-            at = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BITS
+            at = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BITS
             piece = bitmap.get(at // PIECE)
             return piece is not None and bool(piece[at % PIECE // 8] >> at % 8 & 1)
 
-        for batch in batches:
-            base, hits = [], []
-            for t in batch.column(batch.schema.get_field_index(text_col)):
-                text = t.as_py() or ""
-                found = entities(text)
-                base.append([{"start": a, "end": b, "kind": k} for k, a, b in found])
-                if len(known) >= TASK_TERMS:
-                    known.clear()
-                wanted = False
-                for w in set(_WORD.findall(text)) if bitmap else ():
-                    if w not in known:
-                        known[w] = is_set(w)
-                    wanted = wanted or known[w]
-                hits.append([{"term": w, "start": a, "end": b} for w, a, b in free_words(text, found) if known.get(text[a:b])] if wanted else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT))], names=[*batch.schema.names, "base", "hits"])
+        words = wanted_words(is_set)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, base {_SPANS}, hits array<struct<term:string,start:bigint,end:bigint>>")
+        def of(text: str | None) -> tuple:
+            found = entities(text or "")
+            return [_span(*f) for f in found], [{"term": w, "start": a, "end": b} for w, a, b in words(text or "", found)] if bitmap else []
 
+        return of
 
-def _marked(rows: DataFrame, row_text: str, docs: DataFrame, text_col: str, share: float, together: int) -> DataFrame:
-    """``rows``, with the texts of ``docs`` in ``row_text``, and their spans.
+    return _added(docs, text_col, per_row, ["base", "hits"], [pa.list_(_SPAN), pa.list_(_HIT)], f"base {_SPANS}, hits array<struct<term:string,start:bigint,end:bigint>>")
 
-    Only rows with words that may disclose are joined with the disclosing terms.
-    """
-    telling = stored(disclosing_terms(docs, text_col, share, together).select("term").distinct(), "pii-terms")
-    found = stored(found_spans(rows, row_text, bitmap_of(telling)).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+
+def _marked_by_set(rows: DataFrame, text_col: str, terms: frozenset[str]) -> DataFrame:
+    """``rows`` with their spans and clean texts, by the terms themselves."""
+
+    def per_row():
+        words = wanted_words(terms.__contains__)
+
+        def of(text: str | None) -> tuple:
+            found = entities(text or "")
+            spans = [_span(*f) for f in found] + [_span("term", a, b) for _, a, b in words(text or "", found)] if terms else [_span(*f) for f in found]
+            spans.sort(key=lambda s: (s["start"], s["end"], s["kind"]))
+            return spans, covered(text, spans)
+
+        return of
+
+    return _added(rows, text_col, per_row, ["spans", "clean"], [pa.list_(_SPAN), pa.string()], f"spans {_SPANS}, clean string")
+
+
+def _marked_by_join(rows: DataFrame, text_col: str, telling: DataFrame) -> DataFrame:
+    """``rows`` with their spans and clean texts; only rows with words that may disclose are joined with the terms."""
+    found = stored(found_spans(rows, text_col, bitmap_of(telling)).withColumn("row", F.monotonically_increasing_id()), "pii-found")
     some = F.size("hits") > 0
     hits = found.where(some).select("row", F.inline("hits")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
     salted = telling.select("term", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     added = hits.join(salted, ["term", "salt"]).groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"))).alias("added"))
     with_terms = found.where(some).join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))))
     plain = found.where(~some).withColumn("spans", F.array_sort("base"))
-    return plain.select(*rows.columns, "spans").unionByName(with_terms.select(*rows.columns, "spans"))
+    both = plain.select(*rows.columns, "spans").unionByName(with_terms.select(*rows.columns, "spans"))
+    return both.withColumn("clean", _covered(text_col, "spans"))
+
+
+def _marked(rows: DataFrame, row_text: str, docs: DataFrame, text_col: str, share: float, together: int) -> DataFrame:
+    """``rows``, with the texts of ``docs`` in ``row_text``, and their spans and clean texts.
+
+    Terms that fit into every task (``MOST_TERMS`` of at most ``TERM_CHARS``) are
+    sent there; more are joined, behind a bitmap of their hashes.
+    """
+    telling = stored(disclosing_terms(docs, text_col, share, together).select("term").distinct(), "pii-terms")
+    n, widest = telling.agg(F.count(F.lit(1)), F.coalesce(F.max(F.char_length("term")), F.lit(0))).first()
+    if n <= MOST_TERMS and widest <= TERM_CHARS:
+        return _marked_by_set(rows, row_text, frozenset(r["term"] for r in telling.collect()))
+    return _marked_by_join(rows, row_text, telling)
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
     """(doc_id, spans, clean) of each row: array<struct<start, end, kind>> of its entities and disclosing terms, and its text without them."""
     text = F.col(text_col).cast("string").alias("text")
     out = _marked(docs.select(F.col(id_col).alias("doc_id"), text), "text", docs, text_col, share, together)
-    return out.select("doc_id", "spans", _covered("text", "spans").alias("clean"))
+    return out.select("doc_id", "spans", "clean")
 
 
 def span_text(spans: Column, base_only: bool = False) -> Column:
@@ -240,18 +294,23 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def covered(text: str | None, spans: list[dict]) -> str | None:
+    """A text with its spans, in order of their starts, replaced; one that begins inside another is covered by it."""
+    if text is None:
+        return None
+    at, pieces = 0, []
+    for m in spans:
+        if m["start"] >= at:
+            word = text[m["start"] : m["end"]]
+            pieces += [text[at : m["start"]], word_class(word) if m["kind"] == "term" else f"<{m['kind']}>"]
+            at = m["end"]
+    return "".join(pieces) + text[at:]
+
+
 @pandas_udf(StringType())
 def _covered(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, marks in zip(texts, spans, strict=True):
-        at, pieces = 0, []
-        for m in sorted(marks if marks is not None else (), key=lambda m: (m["start"], -m["end"])):
-            if m["start"] >= at:
-                word = text[m["start"] : m["end"]]
-                pieces += [text[at : m["start"]], word_class(word) if m["kind"] == "term" else f"<{m['kind']}>"]
-                at = m["end"]
-        out.append(None if text is None else "".join(pieces) + text[at:])
-    return pd.Series(out, dtype=object)
+    order = lambda m: (m["start"], m["end"], m["kind"])
+    return pd.Series([covered(t, sorted(marks if marks is not None else (), key=order)) for t, marks in zip(texts, spans, strict=True)], dtype=object)
 
 
 def sanitise(docs: DataFrame, *, text_col: str = "text", share: float = SHARE, together: int = MIN_TOGETHER) -> DataFrame:
@@ -260,4 +319,4 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", share: float = SHARE, t
     rows = docs.select(*[(F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`")).alias(n) for c, n in columns.items()])
     text = columns[text_col]
     out = _marked(rows, text, docs, text_col, share, together)
-    return out.select(*[(_covered(text, "spans") if n == text else F.col(n)).alias(c) for c, n in columns.items()])
+    return out.select(*[F.col("clean" if n == text else n).alias(c) for c, n in columns.items()])
