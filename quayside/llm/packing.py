@@ -37,6 +37,9 @@ MAX_LEN = 1024
 #: Chunks remembered by one Python worker (about 150 bytes each).
 MEMO_CHUNKS = 400_000
 
+#: Parts of a bucket for each shuffle partition.
+SPREAD = 16
+
 _UNEVEN_SPACE = re.compile(r" \s|\s ")
 
 
@@ -151,8 +154,10 @@ def pack_power_of_two(
                 yield _pieces(batch, keep, rows, with_ids)
 
     pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
-    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    bucketed = pieces.withColumn("bucket", F.log2("length").cast("int")).repartition("bucket", spread).sortWithinPartitions("bucket", "doc_id", "start", "ids_crc32")
+    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SPREAD * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    # Adaptive execution splits partitions that are still too large.
+    dealt = pieces.withColumns({"bucket": F.log2("length").cast("int"), "__spread": spread}).hint("rebalance", "bucket", "__spread").drop("__spread")
+    bucketed = dealt.sortWithinPartitions("bucket", "doc_id", "start", "ids_crc32")
     # Partition number and place in the sorted partition: unique, and the same again when a lost task is run anew.
     return bucketed.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
