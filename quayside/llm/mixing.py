@@ -162,6 +162,7 @@ def mix(
         "weight",
         "exponent",
     )
+    plan = stored(plan, "mix-plan")  # a row for each source: read from a file, its size is known
     told = light.join(stored(tied, "mix-ties"), ["src", "h"], "left").withColumn("h", F.when(F.col("tied"), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("tied", "row")
     dealt = told.join(plan, "src").withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("n_blocks"))).withColumn("grp", F.expr(f"block div {GROUP_BLOCKS}"))
 
