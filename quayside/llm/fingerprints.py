@@ -95,12 +95,16 @@ def likeness(n_a: Column, n_b: Column, shared: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
 
 
-def shifts(a: Column, b: Column, in_both: Column) -> Column:
-    """How far the first, the middle and the last anchor in common stand apart in ``a`` and ``b`` (arrays of pos, hash); in_both: their hashes in common, by place in ``a``."""
+def shifts(a: str, b: str, in_both: Column) -> Column:
+    """How far the first, the middle and the last anchor in common stand apart in two texts.
+
+    a, b: names of the texts, whose columns ``_anchors`` (pos, hash) and ``_hash``
+    are read; in_both: their hashes in common, by place in ``a``.
+    """
     n = F.size(in_both)
 
-    def first_of(found: Column, h: Column) -> Column:
-        return F.element_at(found, F.array_position(found["hash"], h).cast("int"))["pos"]
+    def first_of(c: str, h: Column) -> Column:
+        return F.element_at(F.col(f"{c}_anchors"), F.array_position(f"{c}_hash", h).cast("int"))["pos"]
 
     picked = [F.element_at(in_both, i) for i in (F.lit(1), F.floor((n + 1) / 2).cast("int"), n)]
     return F.when(n > 0, F.array_distinct(F.array(*[first_of(a, h) - first_of(b, h) for h in picked]))).otherwise(F.array().cast("array<int>"))
@@ -170,11 +174,13 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         counted = rows.join(often, same, "left_semi").groupBy("doc_id", "text", "tie").agg(F.count(F.lit(1)).alias("copies"))
         rows = rows.join(often, same, "left_anti").unionByName(counted)
     bounds, hot = _split_bounds(rows.select("doc_id", "text"))
-    dealt = rows.withColumn("rng", _number(bounds, hot))
+    # As many partitions as ranges, so a task's share does not grow with the table.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds) + sum(n for _, n in hot))
+    dealt = rows.withColumn("rng", _number(bounds, hot)).repartition(parts, "rng")
     order = Window.partitionBy("rng").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc())
     dealt = dealt.withColumn("after", F.lead("text").over(order))
     # The first row of each range: ids and ties only, then its text.
-    top = dealt.groupBy("rng").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
+    top = rows.withColumn("rng", _number(bounds, hot)).groupBy("rng").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
     heads = stored(top.select("rng", "top.*", F.row_number().over(Window.orderBy(F.col("rng").desc())).alias("i")), "syncmer-ranges")  # one row for each range
     many = heads.count()
     first = heads.select(F.col("i").alias("head"), F.col("doc_id").alias("head_id"), F.col("tie").alias("head_tie"))
@@ -208,12 +214,14 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
     for c in names.values():
         out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_letters"), k)).drop(f"{c}_letters")
     for c in names.values():
-        out = out.withColumn(f"{c}_set", F.array_distinct(F.col(f"{c}_anchors.hash")))
+        out = out.withColumn(f"{c}_hash", F.col(f"{c}_anchors.hash"))
+    for c in names.values():
+        out = out.withColumn(f"{c}_set", F.array_distinct(f"{c}_hash"))
     for c in ("e", "n"):
         out = out.withColumn(f"{c}_shared", F.array_intersect("a_set", f"{c}_set"))
     out = out.withColumn("a_numbers", numbered(F.col("a_anchors")))
     for c in ("e", "n"):
-        out = out.withColumn(f"{c}_shifts", shifts(F.col("a_anchors"), F.col(f"{c}_anchors"), F.col(f"{c}_shared")))
+        out = out.withColumn(f"{c}_shifts", shifts("a", c, F.col(f"{c}_shared")))
     return out.select(
         "doc_id",
         "text",
