@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quayside.llm import disclosure, fingerprints, line_dedup, mixing, near_dedup, packing, page_text, quality, secret_scan, url_filter
+from quayside.llm import disclosure, fingerprints, line_dedup, merkle, merkle_sql, mixing, near_dedup, packing, page_text, quality, secret_scan, url_filter, whitening
 from quayside.llm.common import tokenizer_path
 
 URL_RULES = [
@@ -92,6 +92,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op12_mixed_precision_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_van_emde_boas_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -108,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_closed_syncmers": op8_closed_syncmers,
         "op9_power_of_two_packing": op9_power_of_two_packing,
         "op10_url_filter": op10_url_filter,
+        "op12_mixed_precision_whitening": op12_mixed_precision_whitening,
+        "op13_van_emde_boas_manifest": op13_van_emde_boas_manifest,
         "pipeline": pipeline,
     }
 
@@ -137,4 +147,4 @@ select s.page_id, s.host, s.path, f.rule, coalesce(f.rv, 'allow') as verdict fro
 
 def oracle_sql() -> dict[str, str]:
     """The other operators tokenise, compress, sketch or match patterns, which SQL can't express; brute force tests them."""
-    return {"op5_line_dedup": LINE_DEDUP_SQL, "op10_url_filter": URL_FILTER_SQL}
+    return {"op5_line_dedup": LINE_DEDUP_SQL, "op10_url_filter": URL_FILTER_SQL, "op13_van_emde_boas_manifest": merkle_sql.SQL}
