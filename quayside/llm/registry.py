@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quayside.llm import disclosure, fingerprints, line_dedup, merkle, merkle_sql, mixing, near_dedup, packing, page_text, quality, secret_scan, url_filter, whitening
+from quayside.llm import disclosure, fingerprints, line_dedup, merkle, merkle_sql, mixing, near_dedup, packing, page_text, quality, secret_scan, suffix_dedup, url_filter, whitening
 from quayside.llm.common import tokenizer_path
 
 URL_RULES = [
@@ -92,6 +92,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op11_two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_mixed_precision_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -116,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_closed_syncmers": op8_closed_syncmers,
         "op9_power_of_two_packing": op9_power_of_two_packing,
         "op10_url_filter": op10_url_filter,
+        "op11_two_stage_suffix_dedup": op11_two_stage_suffix_dedup,
         "op12_mixed_precision_whitening": op12_mixed_precision_whitening,
         "op13_van_emde_boas_manifest": op13_van_emde_boas_manifest,
         "pipeline": pipeline,
