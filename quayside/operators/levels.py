@@ -4,8 +4,8 @@ A mutation is (inst, generation, ordinal, kind, level_id) with the level's
 values after it.  Kinds are created, updated, frozen, expired and superseded.
 A level develops while it is updated, may be frozen, and ends when it expires
 or is superseded.  What state a mutation meets is what the mutation before it
-left, which is a lag over the level's own log: levels are judged in parallel
-and no task holds a book.
+left, in the level's own log: levels are judged in parallel, a long log in
+cells, and no task holds a book.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.sequences import running_last
 from quayside.sources.shared import written
 
 LIVE = ("created", "updated", "frozen")
@@ -22,37 +23,65 @@ def _log():
     return Window.partitionBy("inst", "level_id").orderBy("generation", "ordinal")
 
 
-def violations(mutations: DataFrame) -> DataFrame:
-    """(inst, generation, level_id, rule): generations with a row here must not be applied, whole."""
-    before = F.lag("kind").over(_log())
-    ended = F.col("before").isin("expired", "superseded")
-    drift = F.coalesce((F.col("family") != F.col("family_before")) | (F.col("side") != F.col("side_before")), F.lit(False))
+#: Generations whose rows one window sees; what earlier ones leave is carried in.
+CELL = 4096
+
+
+def _met(mutations: DataFrame, refused: DataFrame | None) -> DataFrame:
+    """``mutations`` with ``met``: kind, family and side of the mutation before, of the level's own log, leaving out what other refused generations hold.
+
+    The state a log leaves is that of its last mutation that counts, which
+    composes over stretches of the log: cells are reduced apart and carried on.
+    """
+    own = F.struct("kind", "family", "side")
+    counts = F.lit(True) if refused is None else F.col("__refused").isNull()
+    rows = mutations.withColumn("__cell", F.expr(f"generation div {CELL}"))
+    if refused is not None:
+        rows = rows.join(refused.withColumn("__refused", F.lit(True)), ["inst", "generation"], "left")
+    rows = rows.withColumn("__own", F.lag(own).over(Window.partitionBy("inst", "level_id", "generation").orderBy("ordinal")))
+    rows = running_last(rows, on=["inst", "level_id"], cell="__cell", order=["generation", "ordinal"], value=F.when(counts, own), into="__left")
+    return rows.withColumn("met", F.coalesce("__own", "__left")).drop("__cell", "__own", "__left", "__refused")
+
+
+def violations(mutations: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """(inst, generation, level_id, rule): generations with a row here must not be applied, whole.
+
+    refused: (inst, generation) of generations that are known to leave nothing behind.
+    """
+    before = F.col("met.kind")
+    ended = before.isin("expired", "superseded")
+    drift = F.coalesce((F.col("family") != F.col("met.family")) | (F.col("side") != F.col("met.side")), F.lit(False))
     carries = F.col("kind").isin("created", "updated")
     rules = F.array(
         F.when((F.coalesce("level_id", F.lit(0)) == 0) | (F.coalesce("inst", F.lit(0)) == 0), F.lit("missing identity")),
-        F.when((F.col("kind") == "created") & F.col("before").isNotNull(), F.lit("duplicate identity")),
-        F.when((F.col("kind") != "created") & F.col("before").isNull(), F.lit("unknown identity")),
-        F.when((F.col("kind").isin("updated", "frozen") & (ended | (F.col("before") == "frozen"))) | (F.col("kind").isin("expired", "superseded") & ended), F.lit("immutable identity")),
+        F.when((F.col("kind") == "created") & before.isNotNull(), F.lit("duplicate identity")),
+        F.when((F.col("kind") != "created") & before.isNull(), F.lit("unknown identity")),
+        F.when((F.col("kind").isin("updated", "frozen") & (ended | (before == "frozen"))) | (F.col("kind").isin("expired", "superseded") & ended), F.lit("immutable identity")),
         F.when((F.col("kind") == "updated") & drift, F.lit("identity drift")),
         F.when(carries & ~F.coalesce((F.col("lower") <= F.col("price")) & (F.col("price") <= F.col("upper")), F.lit(False)), F.lit("geometry")),
     )
-    seen = mutations.withColumn("before", before).withColumn("family_before", F.lag("family").over(_log())).withColumn("side_before", F.lag("side").over(_log()))
-    return seen.select("inst", "generation", "level_id", F.explode(F.array_compact(rules)).alias("rule"))
+    return _met(mutations, refused).select("inst", "generation", "level_id", F.explode(F.array_compact(rules)).alias("rule"))
 
 
-def applied(mutations: DataFrame) -> DataFrame:
-    """The log without the generations that the book refuses, each whole.
+def refusals(mutations: DataFrame) -> DataFrame:
+    """(inst, generation) of the generations that the book refuses, each whole, when it applies the log in order.
 
-    What a generation meets depends on those before it, so of every instrument
-    the first refused one goes, and the rest is judged anew: as many rounds as
-    the instrument with the most refused generations has.
+    Every round judges all generations at once against what those that are not
+    refused leave.  A verdict is right once those of all earlier generations it
+    rests on are, so as many rounds are needed as refusals rest on one another in
+    a chain, however many there are.  Refusals that repeat themselves are right.
     """
-    log = written(mutations, "levels-log")
+    log, refused = written(mutations, "levels-log"), None
     while True:
-        first = written(violations(log).groupBy("inst").agg(F.min("generation").alias("generation")), "levels-refused")
-        if first.isEmpty():
-            return log
-        log = written(log.join(first, ["inst", "generation"], "left_anti"), "levels-log")
+        now = written(violations(log, refused).select("inst", "generation").distinct(), "levels-refused")
+        if refused is not None and now.exceptAll(refused).isEmpty() and refused.exceptAll(now).isEmpty():
+            return now
+        refused = now
+
+
+def applied(mutations: DataFrame) -> DataFrame:
+    """The log without the generations that the book refuses."""
+    return mutations.join(refusals(mutations), ["inst", "generation"], "left_anti")
 
 
 def sequence_breaks(mutations: DataFrame) -> DataFrame:

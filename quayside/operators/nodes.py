@@ -8,9 +8,17 @@ lower one.  Generations are clustered apart from each other, in parallel: one
 row holds one generation, whose size is that of the active levels, not of the
 history.
 
-Identity is a chain through all generations of an instrument.  They are sorted
-inside partitions by instrument and generation and streamed through one fold
-that remembers the last generation only, so a long history needs no memory.
+Identity is a chain through all generations of an instrument, worked out in
+parallel.  Generations are cut into blocks of ``BLOCK``.  Which cluster continues
+which depends on the clusters of two neighbouring generations, and only in a tie
+on which node is the older one; so every block is folded by itself, with its
+first nodes known by place only.  Each block then says where the nodes of its
+last generation come from: from a place in the block before, or from a birth of
+its own.  Pointer doubling over blocks leads every place to its birth in as many
+rounds as the logarithm of the number of blocks, and births are numbered by
+counts of the blocks before.  A block whose ties were decided by an order that
+turns out otherwise is folded again, until none is left: then every block has
+met the order that its predecessors gave.
 """
 
 from __future__ import annotations
@@ -18,10 +26,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quayside.functions.scalars import merge_threshold, whole_quotient
+from quayside.operators.sequences import running_rank, running_sum
+from quayside.sources.shared import written
 
 __all__ = ["cluster", "clusters", "corridors", "genealogy", "locate", "merge_threshold"]
 
@@ -79,39 +92,123 @@ EVENT = "event:string,node:bigint,others:array<bigint>"
 CHAIN = f"inst bigint, generation bigint, nodes array<struct<{NODE}>>, events array<struct<{EVENT}>>"
 
 
-class _Chain:
-    """The nodes of an instrument's last generation, and the number of its next new node."""
+#: Generations that one task folds as a whole.
+BLOCK = 256
 
-    def __init__(self, inst: int):
-        self.inst, self.number, self.nodes = inst, 1, []
+
+class Chain:
+    """The nodes of the last generation and the number of the next new one.
+
+    nodes: clusters with node and created_ns; number: of the next node born;
+    known: ids below it stand for places whose order is only assumed.
+    """
+
+    def __init__(self, inst: int, nodes: list[dict], number: int, known: int = 0):
+        self.inst, self.nodes, self.number, self.known = inst, nodes, number, known
+        self.tied, self.born = False, []
+
+    def _heirs(self, found: list[dict], threshold: int) -> tuple[list[list[int]], list[list[int]]]:
+        """Of each cluster: the levels that it shares with every node, and the nodes it may continue."""
+        shared = [[len(set(c["members"]).intersection(p["members"])) for p in self.nodes] for c in found]
+        near = lambda c, p: gap_between(c["low"], c["high"], p["low"], p["high"]) <= threshold and not any(_opposed(set(p["sides"]), s) for s in c["sides"])
+        return shared, [[k for k, p in enumerate(self.nodes) if n[k] or near(c, p)] for c, n in zip(found, shared, strict=True)]
 
     def step(self, found: list[dict], at_ns: int, threshold: int) -> tuple[list[dict], list[dict]]:
+        """The nodes of the next generation, in the order of ``found``, and what became of the last ones."""
         last = self.nodes
-        shared = [[len(set(c["members"]) & set(p["members"])) for p in last] for c in found]
-        related = [
-            [k for k, p in enumerate(last) if shared[i][k] or (gap_between(c["low"], c["high"], p["low"], p["high"]) <= threshold and not any(_opposed(set(p["sides"]), s) for s in c["sides"]))]
-            for i, c in enumerate(found)
-        ]
+        shared, related = self._heirs(found, threshold)
         free, nodes = set(range(len(last))), []
-        for i, c in enumerate(found):
-            open_ = [k for k in related[i] if k in free]
-            best = min(open_, key=lambda k: (-shared[i][k], abs(c["center"] - last[k]["center"]), last[k]["node"]), default=None)
-            free.discard(best)
-            nodes.append(c | {"node": None if best is None else last[best]["node"], "created_ns": at_ns if best is None else last[best]["created_ns"], "updated_ns": at_ns})
-        for n in nodes:
-            if n["node"] is None:
-                n["node"] = (self.inst << 32) | (self.number & 0xFFFFFFFF)
+        for c, n, ks in zip(found, shared, related, strict=True):
+            fit = sorted((-n[k], abs(c["center"] - last[k]["center"]), last[k]["node"], k) for k in ks if k in free)
+            alike = [f for f in fit if f[:2] == fit[0][:2]]
+            self.tied |= sum(f[2] < self.known for f in alike) > 1
+            if fit:
+                free.discard(fit[0][3])
+                nodes.append(c | {"node": fit[0][2], "created_ns": last[fit[0][3]]["created_ns"], "updated_ns": at_ns})
+            else:
+                nodes.append(c | {"node": None, "created_ns": at_ns, "updated_ns": at_ns})
+        for node in nodes:
+            if node["node"] is None:
+                node["node"] = (self.inst << 32) | (self.number & 0xFFFFFFFF)
                 self.number += 1
+                self.born.append(at_ns)
         events = []
-        for n, ks in zip(nodes, related, strict=True):
+        for node, ks in zip(nodes, related, strict=True):
             kind = "created" if not ks else "merged" if len(ks) > 1 else "preserved"
-            events.append({"event": kind, "node": n["node"], "others": sorted({last[k]["node"] for k in ks} - {n["node"]}) if kind == "merged" else []})
+            events.append({"event": kind, "node": node["node"], "others": sorted({last[k]["node"] for k in ks} - {node["node"]}) if kind == "merged" else []})
         for k, p in enumerate(last):
-            heirs = [n["node"] for n, ks in zip(nodes, related, strict=True) if k in ks]
+            heirs = [node["node"] for node, ks in zip(nodes, related, strict=True) if k in ks]
             if len(heirs) != 1:
                 events.append({"event": "split" if heirs else "expired", "node": p["node"], "others": heirs})
-        self.nodes = sorted(nodes, key=lambda n: (n["center"], n["low"], n["high"], n["node"]))
-        return self.nodes, events
+        self.nodes = nodes
+        return nodes, events
+
+
+_LINK = "inst bigint, block bigint, assumed array<int>, tied boolean, born array<bigint>, exits array<struct<born:boolean,at:int>>"
+
+
+def _arrow(names: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(names))
+
+
+def _blocks(generations: DataFrame) -> DataFrame:
+    """(inst, block, steps): ``BLOCK`` generations each, in order, after the last one of the block before."""
+    numbered = running_rank(generations.withColumn("__cell", F.expr(f"generation div {BLOCK}")), on=("inst",), cell="__cell", order=["generation"], into="step").drop("__cell")
+    numbered = numbered.withColumn("step", F.col("step").cast("long") - 1)
+    own = numbered.withColumn("block", F.expr(f"step div {BLOCK}"))
+    lead = own.where(F.col("step") % BLOCK == BLOCK - 1).withColumn("block", F.col("block") + 1)
+    each = F.struct("step", "generation", "at_ns", "threshold", "clusters")
+    return own.unionByName(lead).groupBy("inst", "block").agg(F.sort_array(F.collect_list(each)).alias("steps")).where(F.element_at("steps", -1)["step"] >= F.col("block") * BLOCK)
+
+
+def _links(blocks: DataFrame) -> DataFrame:
+    """Where the nodes at the end of each block come from; blocks: with ``assumed``, the order by age of the nodes it begins with (null: as they stand)."""
+    kind = _arrow(_LINK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                steps, nodes, assumed = r["steps"], [], []
+                if r["block"]:
+                    first, steps = steps[0], steps[1:]
+                    assumed = r["assumed"] or list(range(len(first["clusters"])))
+                    nodes = [c | {"node": age, "created_ns": 0} for c, age in zip(first["clusters"], assumed, strict=True)]
+                chain = Chain(0, nodes, len(nodes), known=len(nodes))
+                for s in steps:
+                    chain.step(s["clusters"], s["at_ns"], s["threshold"])
+                place = {age: i for i, age in enumerate(assumed)}
+                exits = [{"born": n["node"] >= chain.known, "at": n["node"] - chain.known if n["node"] >= chain.known else place[n["node"]]} for n in chain.nodes]
+                out.append({"inst": r["inst"], "block": r["block"], "assumed": assumed, "tied": chain.tied, "born": chain.born, "exits": exits})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return blocks.select("inst", "block", "assumed", "steps").mapInArrow(run, _LINK)
+
+
+def _births(links: DataFrame) -> DataFrame:
+    """(inst, block, i, from_block, from_birth): the birth that each node at the end of a block goes back to.
+
+    Every round doubles the number of blocks that a pointer leaps over.
+    """
+    places = links.select("inst", "block", F.posexplode("exits").alias("i", "x"))
+    start = places.select("inst", "block", "i", F.when(F.col("x.born"), F.col("block")).otherwise(F.col("block") - 1).alias("to_block"), F.col("x.at").alias("to"), F.col("x.born").alias("done"))
+    state = written(start, "nodes-leaps")
+    while not (open_ := state.where(~F.col("done"))).isEmpty():
+        target = state.select("inst", F.col("block").alias("to_block"), F.col("i").alias("to"), F.col("to_block").alias("next_block"), F.col("to").alias("next"), F.col("done").alias("next_done"))
+        leapt = open_.join(target, ["inst", "to_block", "to"]).select("inst", "block", "i", F.col("next_block").alias("to_block"), F.col("next").alias("to"), F.col("next_done").alias("done"))
+        state = written(state.where("done").unionByName(leapt), "nodes-leaps")
+    return state.select("inst", "block", "i", F.col("to_block").alias("from_block"), F.col("to").alias("from_birth"))
+
+
+def _entries(links: DataFrame) -> DataFrame:
+    """(inst, block, first, entries): the number of a block's first birth, and number and time of birth of the nodes that it begins with."""
+    counted = links.select("inst", "block", "born", F.size("born").cast("long").alias("n"), F.expr(f"block div {BLOCK}").alias("__cell"))
+    before = running_sum(counted, on=["inst"], cell="__cell", order=["block"], value=F.col("n"), into="before").select("inst", "block", "born", (F.col("before") + 1).alias("first"))
+    origin = before.select("inst", F.col("block").alias("from_block"), "born", F.col("first").alias("from_first"))
+    found = _births(links).join(origin, ["inst", "from_block"])
+    node = F.struct("i", (F.col("from_first") + F.col("from_birth")).alias("number"), F.element_at("born", F.col("from_birth") + 1).alias("created_ns"))
+    listed = found.groupBy("inst", (F.col("block") + 1).alias("block")).agg(F.sort_array(F.collect_list(node)).alias("entries"))
+    return before.drop("born").join(listed, ["inst", "block"], "left")
 
 
 def genealogy(generations: DataFrame) -> DataFrame:
@@ -121,19 +218,35 @@ def genealogy(generations: DataFrame) -> DataFrame:
     shares the most levels, then the nearest, then the oldest.  events tell
     which nodes were created, preserved, merged, split and expired.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain = None
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                if chain is None or chain.inst != r.inst:
-                    chain = _Chain(int(r.inst))
-                found = [{"low": c["low"], "high": c["high"], "center": c["center"], "sides": list(c["sides"]), "members": list(c["members"])} for c in r.clusters]
-                out.append((r.inst, r.generation, *chain.step(found, int(r.at_ns), int(r.threshold))))
-            yield pd.DataFrame(out, columns=["inst", "generation", "nodes", "events"])
-
-    return generations.repartition("inst").sortWithinPartitions("inst", "generation").mapInPandas(run, CHAIN)
+    blocks = written(_blocks(generations), "nodes-blocks")
+    none = F.lit(None).cast("array<int>")
+    links = written(_links(blocks.withColumn("assumed", none)), "nodes-links")
+    while True:
+        entries = written(_entries(links), "nodes-entries")
+        age = lambda e, all_: F.size(F.filter(all_, lambda o: o["number"] < e["number"]))
+        ages = entries.select("inst", "block", F.transform("entries", lambda e: age(e, F.col("entries"))).alias("ages"))
+        wrong = links.where("tied").join(ages, ["inst", "block"]).where(F.col("ages") != F.col("assumed")).select("inst", "block", F.col("ages").alias("assumed"))
+        if wrong.isEmpty():
+            break
+        again = _links(blocks.join(wrong, ["inst", "block"]))
+        links = written(links.join(wrong.select("inst", "block"), ["inst", "block"], "left_anti").unionByName(again), "nodes-links")
+    kind = _arrow(CHAIN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                steps, nodes, out = r["steps"], [], []
+                if r["block"]:
+                    first, steps = steps[0], steps[1:]
+                    nodes = [c | {"node": (r["inst"] << 32) | (e["number"] & 0xFFFFFFFF), "created_ns": e["created_ns"]} for c, e in zip(first["clusters"], r["entries"] or [], strict=True)]
+                chain = Chain(r["inst"], nodes, r["first"])
+                for s in steps:
+                    made, events = chain.step(s["clusters"], s["at_ns"], s["threshold"])
+                    made = sorted(made, key=lambda n: (n["center"], n["low"], n["high"], n["node"]))
+                    out.append({"inst": r["inst"], "generation": s["generation"], "nodes": made, "events": events})
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return blocks.join(entries, ["inst", "block"]).select("inst", "block", "first", "entries", "steps").mapInArrow(run, CHAIN)
 
 
 def corridors(nodes: DataFrame, atr: str = "atr") -> DataFrame:

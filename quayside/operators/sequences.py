@@ -38,6 +38,16 @@ def running_last(rows: DataFrame, *, on: list[str], cell: str, order: list, valu
     return _joined(found, carried, on, cell).withColumn(into, F.coalesce("__inside", "__carried")).drop("__inside", "__carried")
 
 
+def running_sum(rows: DataFrame, *, on: list[str], cell: str, order: list, value: Column, into: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all earlier rows of the key; 0 for the first."""
+    rows = rows.withColumn(into, value)
+    carried = _carried(rows, on, cell, F.sum(into), F.sum("v"), into)
+    inside = F.sum(into).over(_before([*on, cell], order))
+    found = rows.withColumn("__inside", inside)
+    zero = F.lit(0).cast("long")
+    return _joined(found, carried, on, cell).withColumn(into, F.coalesce("__inside", zero) + F.coalesce("__carried", zero)).drop("__inside", "__carried")
+
+
 def running_rank(rows: DataFrame, *, cell: str, order: list, into: str, on: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` numbered from 1 along ``order``, over all rows of the key, or all rows without one."""
     keys = [*on, cell]

@@ -71,7 +71,20 @@ def structure_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.fingerprint(_active(spark, sf_dir), by=["inst", "generation"], order=["price", "level_id"], fields=fields, tag="levels/1")
 
 
-QUERIES = {f.__name__: f for f in (draft_validity, automatic_validity, operator_validity, case_assignment, ledger_bodies, ledger_views, incident_timeline, top_decisions, chart_structure, structure_fingerprint)}
+BOOK_LOG = "select * from book_log"
+
+
+def book_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a log of mutations, each judged by the one before it."""
+    return levels.violations(view(spark, sf_dir, BOOK_LOG))
+
+
+def book_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutations that a book applies which refuses whole generations, and what each leaves behind for those after it."""
+    return levels.applied(view(spark, sf_dir, BOOK_LOG)).select("inst", "generation", "ordinal", "kind", "level_id", "lower", "upper", "price")
+
+
+QUERIES = {f.__name__: f for f in (book_violations, book_replay, draft_validity, automatic_validity, operator_validity, case_assignment, ledger_bodies, ledger_views, incident_timeline, top_decisions, chart_structure, structure_fingerprint)}
 
 
 
@@ -148,6 +161,11 @@ _TEXT = "array_to_string({}, ',')"
 _FIELDS = ("level_id", "lower", "upper", "price", "group_id", "side", "family", "age", "state")
 _LINE = " || ".join(f"length(cast({c} as varchar)) || ':' || {c} || ';'" for c in _FIELDS)
 
+#: What a mutation breaks, given kind, family and side (b) of the one before; null for nothing.
+_BROKEN = """[case when x.level_id = 0 then 'missing identity' end, case when x.kind = 'created' and b.kind is not null then 'duplicate identity' end, case when x.kind <> 'created' and b.kind is null then 'unknown identity' end,
+    case when (x.kind in ('updated', 'frozen') and b.kind in ('expired', 'superseded', 'frozen')) or (x.kind in ('expired', 'superseded') and b.kind in ('expired', 'superseded')) then 'immutable identity' end,
+    case when x.kind = 'updated' and (x.family <> b.family or x.side <> b.side) then 'identity drift' end, case when x.kind in ('created', 'updated') and not (x.lower <= x.price and x.price <= x.upper) then 'geometry' end]"""
+_STATE = "STRUCT(kind VARCHAR, family INTEGER, side INTEGER)"
 _OPERATOR = "('operator_note', 'intervention', 'review', 'amendment', 'redaction')"
 ORACLES = {
     "structure_nodes": WALK + f" select inst, generation, at_ns, node, low, high, center, {_TEXT.format('sides')} as sides, {_TEXT.format('members')} as members, {_TEXT.format('list_sort(list_distinct(list_transform(members, lambda m: m >> 48)))')} as families, created_ns, at_ns as updated_ns from each_node",
@@ -166,6 +184,22 @@ ORACLES = {
         found as (select *, list_sort(list_transform(list_filter(nodes, lambda n: px between n.low and n.high), lambda n: {'w': n.high - n.low, 'node': n.node, 'low': n.low, 'high': n.high}))[1] as i, list_filter(nodes, lambda n: n.center < px)[-1] as u, list_filter(nodes, lambda n: n.center >= px)[1] as o from met)
         select seq, inst, ts_ns, px, generation as asof_generation, case when coalesce(len(nodes), 0) = 0 then 'unavailable' when i is not null then 'inside' when u is null then 'below' when o is null then 'above' else 'between' end as place, coalesce(i.node, u.node) as lower_node, coalesce(i.node, o.node) as upper_node,
         case when i is not null then px - i.low when u is not null then greatest(px - u.high, 0) end as to_lower, case when i is not null then i.high - px when o is not null then greatest(o.low - px, 0) end as to_upper from found""",
+    "book_violations": f"""
+        , judged as (select inst, generation, level_id, unnest({_BROKEN}) as rule from (select x, inst, generation, level_id, lag({{'kind': kind, 'family': family, 'side': side}}) over (partition by inst, level_id order by generation, ordinal) as b from
+          (select l as x, l.* from book_log l) y) z)
+        select inst, generation, level_id, rule from judged where rule is not null""",
+    # A walk over the generations that carries the state of all levels; a refused one leaves it as it was.
+    "book_replay": f"""
+        , listed as (select inst, generation, list(l order by ordinal) as xs from book_log l group by inst, generation),
+        walk as (with recursive steps as (
+            select distinct inst, cast(0 as bigint) as generation, cast(map() as MAP(BIGINT, {_STATE})) as book, true as ok from listed
+            union all
+            select inst, generation, case when made.ok then made.book else book end, made.ok from (
+                select l.inst, l.generation, s.book, list_reduce(l.xs, lambda acc, x: list_transform([{{'b': acc.book[x.level_id]}}], lambda t: {{'ok': acc.ok and list_bool_and(list_transform({_BROKEN.replace("b.", "t.b.")}, lambda r: r is null)),
+                    'book': map_concat(acc.book, map([x.level_id], [{{'kind': x.kind, 'family': x.family, 'side': x.side}}]))}})[1], {{'ok': true, 'book': s.book}}) as made
+                from steps s join listed l on l.inst = s.inst and l.generation = s.generation + 1) m)
+            select inst, generation from steps where ok)
+        select l.inst, l.generation, ordinal, kind, level_id, lower, upper, price from book_log l join walk w on l.inst = w.inst and l.generation = w.generation""",
     "structure_fingerprint": ACTIVE + f" select inst, generation, count(*) as n, sha256('levels/1' || chr(10) || count(*) || chr(10) || string_agg({_LINE}, chr(10) order by price, level_id)) as fingerprint from levels group by inst, generation",
     # A mutation changes a value, the age or the state, so a version is a stretch of generations in which nothing changes.
     "structure_levels": ACTIVE + """
@@ -207,3 +241,5 @@ ORACLES = {
     "incident_timeline": "select entry_id, kind, status, event_ns from (select * from drafts order by entry_id desc limit 256) v where kind = 'incident' or status = 'incident' order by entry_id desc limit 8",
     "top_decisions": "select entry_id, kind, event_ns from (select * from drafts order by entry_id desc limit 256) v where kind in ('decision', 'risk') order by entry_id desc limit 3",
 }
+#: A stream in turns gives what the whole history does.
+ORACLES |= {"streamed_structure_levels": ORACLES["structure_levels"], "streamed_structure_nodes": ORACLES["structure_nodes"], "streamed_price_places": ORACLES["price_in_structure"]}

@@ -13,6 +13,7 @@ from quayside.plans import tables
 from quayside.plans.views import view
 from quayside.sources import shared
 from quayside.streaming import bars
+from quayside.streaming import structure as live
 
 HOUR = 3_600_000_000_000
 
@@ -49,7 +50,10 @@ def structure_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes after each bar that changed a level."""
-    found = structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "at_ns", F.inline("nodes"))
+    return _shown(structure.structure(_m4(spark, sf_dir)).select("inst", "generation", "at_ns", F.inline("nodes")))
+
+
+def _shown(found: DataFrame) -> DataFrame:
     families = F.array_distinct(F.transform("members", lambda m: F.shiftright(m, 48)))
     return found.withColumn("families", families).withColumns({c: _text(c) for c in ("sides", "members", "families")})
 
@@ -102,7 +106,39 @@ def live_equals_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(whole, bars.KEY, "full").where(~F.col("live").eqNullSafe(F.col("replay"))).select(*bars.KEY)
 
 
-QUERIES = {f.__name__: f for f in (interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars, live_equals_replay)}
+#: Days whose bars and prices a turn of the structural stream brings.
+TURN = 12
+
+
+def _structure_stream(spark: SparkSession, sf_dir: str, prices: bool) -> DataFrame:
+    """What the structural stream emits, given its bars (and prices) in turns; each turn goes on from the state that the last one left."""
+    folder = os.path.join(shared.folder(spark), f"structure-{uuid.uuid4().hex}")
+    every = live.moves(_m4(spark, sf_dir), view(spark, sf_dir, "select inst, seq, ts_ns, px from ticks") if prices else None)
+    every.withColumn("turn", F.expr(f"at_ns div {24 * HOUR} div {TURN}")).write.partitionBy("turn").parquet(f"{folder}/moves")
+    turns = [r[0] for r in spark.read.parquet(f"{folder}/moves").select("turn").distinct().orderBy("turn").collect()]
+    for turn in turns:
+        spark.read.parquet(f"{folder}/moves").where(F.col("turn") == turn).drop("turn").write.parquet(f"{folder}/in/turn={turn}")
+        live.stream_structure(spark.readStream.schema(live.INPUT).parquet(f"{folder}/in/*"), folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/emitted")
+
+
+def streamed_structure_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of all levels as a stream of bars emits them in turns."""
+    return live.level_versions(_structure_stream(spark, sf_dir, False))
+
+
+def streamed_structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes after each bar that changed a level, as a stream of bars emits them in turns."""
+    emitted = _structure_stream(spark, sf_dir, False).where(F.col("kind") == live.BAR)
+    return _shown(emitted.select("inst", "generation", "at_ns", F.inline("nodes")))
+
+
+def streamed_price_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tick against the live graph, which its bars change on the same stream."""
+    return live.placed_prices(_structure_stream(spark, sf_dir, True)).drop("late")
+
+
+QUERIES = {f.__name__: f for f in (streamed_structure_levels, streamed_structure_nodes, streamed_price_places, interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars, live_equals_replay)}
 
 ORACLES = {
     "interval_join_cells": "select seq, inst, ts_ns, s_open as open_ns, s_close as close_ns from in_session",

@@ -78,6 +78,12 @@ VIEWS = {
         select seq, user_id % 5 as desk, day, case seq % 11 when 0 then 'mode' when 1 then 'arm' when 2 then 'halt' when 3 then 'agreement' when 4 then 'mode' else case when seq % 2 = 0 then 'arm' else 'health' end end as command,
                case k % 4 when 0 then 'simulation' when 1 then 'shadow' when 2 then 'read_only' else 'live' end as mode, k % 29 <> 0 as data_fresh, k % 31 <> 1 as engine_ready, k % 37 <> 2 as venue_ready, k % 13 <> 3 as contracts_agree,
                k % 41 <> 4 as clock_synchronized, k % 43 <> 5 as reconciled, case when seq % 17 = 0 then null else k % 47 <> 6 end as no_unknown_orders from ticks""",
+    "book_steps": """
+        select seq, inst, user_id % 40 as slot, px, k, row_number() over (partition by inst order by seq) as n, row_number() over (partition by inst, user_id % 40 order by seq) as r from ticks""",
+    "book_log": """
+        select inst, @div(n - 1, 2) + 1 as generation, cast((n - 1) % 2 + 1 as int) as ordinal, case (r - 1) % 5 when 0 then 'created' when 3 then case when seq % 37 = 0 then 'updated' else 'frozen' end when 4 then 'expired' else 'updated' end as kind,
+               case when seq % 1009 = 0 then 0 else slot + 1 + 1000 * @div(r - 1, 5) end as level_id, case when (r - 1) % 5 in (1, 2) and seq % 41 = 0 then px + 1 else px - k end as lower, px + k as upper, px as price, cast(slot % 2 as int) as side,
+               cast(case when (r - 1) % 5 = 3 and seq % 37 = 0 then 9 else slot % 3 end as int) as family from book_steps""",
     "tiers": """
         select cast(p_partkey as bigint) as part, cast(round(p_retailprice * 100) as bigint) as mid, p_size from @table(part)""",
 }
