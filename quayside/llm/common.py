@@ -6,12 +6,18 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts of these operators define it.
 WHITE = r"\x20\x09-\x0D"
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, which may hold dots and backticks."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 

@@ -1,13 +1,19 @@
 """Document fingerprints by closed syncmers.
 
-A text is cut into letters, which are words (runs of anything but ASCII white
-space) and, for words of over ``LONG_WORD`` code points and all of a text of at
-most ``SHORT_TEXT``, single code points; every letter is hashed.  A k-mer of K
+A text is cut into letters, every one of which is hashed.  Words (runs of
+anything but ASCII white space) that begin within the first ``ENDS`` code points
+of a text, or end within the last, are spelled: each code point is a letter.
+Between them words are letters, and words of over ``LONG_WORD`` code points are
+spelled too.  So a short text has letters enough to be told from its neighbours,
+a long one is not spelled whole, and a text has nearly the letters of the same
+text less a code point, whatever its length.
+A k-mer of K
 consecutive letters is kept when its smallest inner hash stands at its first or
 its last letter: a closed syncmer with inner substrings of one letter.  Whether
 a k-mer is kept depends on its own letters alone, so an edit elsewhere moves no
 anchor.  The fingerprint lists the 32-bit hashes of the kept k-mers in text
-order; ``anchors`` has the position of each.
+order; ``anchors`` has the position of each: its word, and the code point in a
+spelled one.
 
 Likeness is the share of distinct anchors that two fingerprints have in common.
 Positional matching says how much of that stands in the same place: a shift is
@@ -33,8 +39,8 @@ from pyspark.sql import functions as F
 from quayside.llm.common import WHITE, stored
 
 K = 5
-#: Code points over which a word counts as so many letters, and up to which a text does.
-LONG_WORD, SHORT_TEXT = 16, 128
+#: Code points over which a word counts as so many letters, and that are spelled at either end of a text.
+LONG_WORD, ENDS = 16, 96
 #: Characters that one task orders, and the most tasks.
 RANGE_CHARS, MOST_RANGES = 8_000_000, 100_000
 _LEAST = -(1 << 63)
@@ -42,12 +48,29 @@ _LEAST = -(1 << 63)
 REPEATS = 1_000
 
 
+#: Positions of one word: its number times this, and the code point in it.
+_PLACES = 1 << 20
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, rf"[{WHITE}]+", -1), lambda w: w != "")
+
+
+def parts(text: Column) -> Column:
+    """struct<head, rest>: the words that begin within the first ``ENDS`` code points, and what follows them."""
+    head = F.regexp_extract(text, rf"\A(?s:.){{0,{ENDS}}}[^{WHITE}]*", 0)
+    return F.struct(head.alias("head"), F.substring(text, F.char_length(head) + 1, F.char_length(text)).alias("rest"))
+
+
 def words(text: Column) -> Column:
-    """The words of a text; the code points of a short one."""
-    text = F.coalesce(text, F.lit(""))
-    cut = lambda t: F.filter(F.split(t, rf"[{WHITE}]+", -1), lambda w: w != "")
-    spread = F.regexp_replace(text, "(?s)(.)", "$1 ")  # a blank after every code point
-    return F.when(F.char_length(text) <= SHORT_TEXT, cut(spread)).otherwise(cut(text))
+    """struct<head, middle, tail>: the words of a text, those at either end apart."""
+    cut = parts(F.coalesce(text, F.lit("")))
+    back = parts(F.reverse(cut["rest"]))
+    return F.struct(_split(cut["head"]).alias("head"), _split(F.reverse(back["rest"])).alias("middle"), _split(F.reverse(back["head"])).alias("tail"))
+
+
+def _code_points(w: Column) -> Column:
+    return F.filter(F.split(w, "", -1), lambda c: c != "")
 
 
 def word_hashes(found: Column) -> Column:
@@ -55,18 +78,31 @@ def word_hashes(found: Column) -> Column:
     return F.transform(found, lambda w: F.when(F.char_length(w) > LONG_WORD, F.lit(_LEAST)).otherwise(F.xxhash64(w)))
 
 
-def letter_hashes(found: Column, hashes: Column) -> Column:
-    """Hashes of the letters of ``words``, from the words and their hashes, which should be columns, as they are read several times."""
-    spelt = F.flatten(F.transform(found, lambda w: F.when(F.char_length(w) > LONG_WORD, F.filter(F.split(w, "", -1), lambda c: c != "")).otherwise(F.array(w))))
-    return F.when(F.array_min(hashes) == _LEAST, F.transform(spelt, lambda w: F.xxhash64(w))).otherwise(hashes)
+def spelled(found: Column, first: Column) -> Column:
+    """array<struct<pos, h>> of the code points of words, the first of which has number ``first``."""
+    return F.flatten(F.transform(found, lambda w, i: F.transform(_code_points(w), lambda c, o: F.struct(((first + i).cast("long") * _PLACES + o).alias("pos"), F.xxhash64(c).alias("h")))))
+
+
+def as_letters(found: Column, hashes: Column, first: Column) -> Column:
+    """array<struct<pos, h>> of words from their hashes, long ones spelled."""
+    number = lambda i: (first + i).cast("long") * _PLACES
+    plain = F.transform(hashes, lambda h, i: F.struct(number(i).alias("pos"), h.alias("h")))
+    each = F.transform(found, lambda w, i: F.when(F.char_length(w) > LONG_WORD, F.transform(_code_points(w), lambda c, o: F.struct((number(i) + o).alias("pos"), F.xxhash64(c).alias("h")))).otherwise(F.array(F.struct(number(i).alias("pos"), F.xxhash64(w).alias("h")))))
+    return F.when(F.array_min(hashes) == _LEAST, F.flatten(each)).otherwise(plain)
+
+
+def letters(found: Column, hashes: Column) -> Column:
+    """The letters of ``words``, given the hashes of the middle ones; both should be columns, as they are read several times."""
+    head, middle, tail = found["head"], found["middle"], found["tail"]
+    return F.concat(spelled(head, F.lit(0)), as_letters(middle, hashes, F.size(head)), spelled(tail, F.size(head) + F.size(middle)))
 
 
 def _low(h: Column) -> Column:
     return h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def anchors(hashes: Column, k: int = K) -> Column:
-    """array<struct<pos, hash>> of the closed syncmers of an array of letter hashes, in order."""
+def anchors(found: Column, hashes: Column, k: int = K) -> Column:
+    """array<struct<pos, hash>> of the closed syncmers of an array of letters, in order; hashes: those of the letters, as a column of its own."""
     n = F.size(hashes)
     starts = F.when(n >= k, F.sequence(F.lit(1), n - F.lit(k - 1))).otherwise(F.array().cast("array<int>"))
 
@@ -77,10 +113,10 @@ def anchors(hashes: Column, k: int = K) -> Column:
         return (F.least(first, last) <= least)
 
     def taken(i: Column) -> Column:
-        return F.struct((i - 1).alias("pos"), _low(F.xxhash64(*[F.element_at(hashes, i + F.lit(j)) for j in range(k)])).alias("hash"))
+        return F.struct(F.element_at(found, i)["pos"].alias("pos"), _low(F.xxhash64(*[F.element_at(hashes, i + F.lit(j)) for j in range(k)])).alias("hash"))
 
-    short = F.array(F.struct(F.lit(0).alias("pos"), _low(F.xxhash64(hashes)).alias("hash")))
-    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    short = F.array(F.struct(F.lit(0).cast("long").alias("pos"), _low(F.xxhash64(hashes)).alias("hash")))
+    none = F.array().cast("array<struct<pos:bigint,hash:bigint>>")
     return F.when(n >= k, F.transform(F.filter(starts, closed), taken)).when(n > 0, short).otherwise(none)
 
 
@@ -107,12 +143,12 @@ def shifts(a: str, b: str, in_both: Column) -> Column:
         return F.element_at(F.col(f"{c}_anchors"), F.array_position(f"{c}_hash", h).cast("int"))["pos"]
 
     picked = [F.element_at(in_both, i) for i in (F.lit(1), F.floor((n + 1) / 2).cast("int"), n)]
-    return F.when(n > 0, F.array_distinct(F.array(*[first_of(a, h) - first_of(b, h) for h in picked]))).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, F.array_distinct(F.array(*[first_of(a, h) - first_of(b, h) for h in picked]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def numbered(found: Column, shift: Column | int = 0) -> Column:
-    """Position and hash of each anchor as one number: sets of structs would be compared pair by pair."""
-    return F.transform(found, lambda x: (x["pos"].cast("long") + shift) * F.lit(1 << 32) + x["hash"])
+    """Position and hash of each anchor mixed to one number: sets of structs would be compared pair by pair."""
+    return F.transform(found, lambda x: F.xxhash64(x["pos"] + shift, x["hash"]))
 
 
 def placed(a_numbers: Column, b: Column, tried: Column) -> Column:
@@ -201,18 +237,20 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
 
     Added: edited_text, fingerprint, edited_fingerprint, near_edited, near_next,
     placed_edited, placed_next (positional matching), and the anchors of the
-    text with their positions in letters.
+    text with their positions.
     """
     out = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     names = {"text": "a", "edited_text": "e", "next_text": "n"}
     for source, c in names.items():
         out = out.withColumn(f"{c}_words", words(F.col(source)))
     for c in names.values():
-        out = out.withColumn(f"{c}_hashes", word_hashes(F.col(f"{c}_words")))
+        out = out.withColumn(f"{c}_hashes", word_hashes(F.col(f"{c}_words.middle")))
+    for c in names.values():
+        out = out.withColumn(f"{c}_letters", letters(F.col(f"{c}_words"), F.col(f"{c}_hashes"))).drop(f"{c}_words", f"{c}_hashes")
     for c in names.values():
-        out = out.withColumn(f"{c}_letters", letter_hashes(F.col(f"{c}_words"), F.col(f"{c}_hashes"))).drop(f"{c}_words", f"{c}_hashes")
+        out = out.withColumn(f"{c}_hashes", F.col(f"{c}_letters.h"))
     for c in names.values():
-        out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_letters"), k)).drop(f"{c}_letters")
+        out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_letters"), F.col(f"{c}_hashes"), k)).drop(f"{c}_letters", f"{c}_hashes")
     for c in names.values():
         out = out.withColumn(f"{c}_hash", F.col(f"{c}_anchors.hash"))
     for c in names.values():

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from quayside.llm.common import stored
+from quayside.llm.common import named, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -93,4 +93,4 @@ def replace_text(docs: DataFrame, text_col: str = "text", **options) -> DataFram
     """``docs`` with the same columns, ``text_col`` holding the kept lines."""
     new = "__line_dedup_cleaned"
     out = dedup_lines(docs, text_col=text_col, into=new, **options)
-    return out.select(*[F.col(f"{new}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"{new}.text").alias(c) if c == text_col else named(c) for c in docs.columns])

@@ -44,7 +44,8 @@ MIN_ENTROPY = 3.5
 _USER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.A | re.I)
 _WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 _SHORT_KEY = re.compile(r"\b(?:pwd|pass|password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([^\s\"']{4,})", re.A | re.I)
-_HOST = re.compile(r"\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{4,})", re.A | re.I)
+_NAMED_HOST = r"(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?"
+_HOST = re.compile(rf"\b(?:(?:{_NAMED_HOST})?[a-z][a-z0-9+.-]{{1,20}}://[^\s\"'<>]{{4,}}|{_NAMED_HOST}[A-Za-z0-9.:/_@?=&%+-]{{4,}})", re.A | re.I)
 _HINTS = (b"user", b"login", b"account", b"client", b"access", b"pwd", b"pass", b"secret", b"token", b"api", b"host", b"endpoint", b"server", b"url", b"://")
 #: A login as prose writes it: letters only, after a colon and a space.
 _PROSE = re.compile(r"[a-z_-]+:\x20+[a-z]+\Z", re.A | re.I)

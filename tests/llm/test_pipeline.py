@@ -82,6 +82,18 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     assert 0 < len({d for d, *_ in got}) < len(rows)
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, docs, tmp_path):
+    names = ["a.b", "tick`ed", "a b", "copies", "component_id"]
+    frame = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.char_length("text").cast("long").alias("n_chars"), *[F.lit(n).alias(n) for n in names])
+    now = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == frame.columns
+    assert {tuple(r) for r in now.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names]).distinct().collect()} == {tuple(names)}
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None), (1, "", "s"), (None, None, "s")]])
 def test_pipeline_of_nothing(spark, tmp_path, rows):
     frame = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
