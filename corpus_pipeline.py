@@ -5,7 +5,8 @@ written as Parquet and read again as the next stage's docs.
 
 Defined results, for every stage: an empty table gives an empty result; null and
 empty texts fail the quality rules; all columns of the input, whatever they are
-called, are those of the output but for the last stage; rows are told apart by
+called (two underscores at the start are kept for the stages), are those of the
+output but for the last stage; rows are told apart by
 id and text, so repeated ids with other texts are documents of their own.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import line_dedup, mixing, near_dedup, packing, quality
-from quayside.llm.common import forget, new_folder, tokenizer_path, written_so_far
+from quayside.llm.common import forget, named, new_folder, tokenizer_path, written_so_far
 
 #: Words that a document has at least.  Short prose is no junk by itself: lower than the operator's own limit, so that clean short documents stay.
 MIN_WORDS = 5
@@ -46,7 +47,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     times = wanted.groupBy("__mix_id").agg(F.max("copies").alias("__mix_copies"))
     out = docs.join(times, F.col("doc_id") == F.col("__mix_id"), "left")
     copies = F.coalesce(F.greatest(F.col("__mix_copies"), F.lit(1)), F.lit(1)).cast("int")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias("__mix_copy")).drop("__mix_copy")
+    return out.select(*[named(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias("__mix_copy")).drop("__mix_copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
