@@ -33,6 +33,8 @@ their own text; the last row of all is followed by the first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ from quayside.llm.common import WHITE, stored
 
 K = 5
 #: Code points over which a word counts as so many letters, and that are spelled at either end of a text.
-LONG_WORD, ENDS = 16, 96
+LONG_WORD, ENDS = 16, 80
 #: Characters that one task orders, and the most tasks.
 RANGE_CHARS, MOST_RANGES = 8_000_000, 100_000
 _LEAST = -(1 << 63)
@@ -56,17 +58,18 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, rf"[{WHITE}]+", -1), lambda w: w != "")
 
 
-def parts(text: Column) -> Column:
-    """struct<head, rest>: the words that begin within the first ``ENDS`` code points, and what follows them."""
-    head = F.regexp_extract(text, rf"\A(?s:.){{0,{ENDS}}}[^{WHITE}]*", 0)
-    return F.struct(head.alias("head"), F.substring(text, F.char_length(head) + 1, F.char_length(text)).alias("rest"))
-
+def with_words(rows: DataFrame, text: str, c: str) -> DataFrame:
+    """``rows`` with the words of ``text`` as columns ``c``_head, ``c``_middle and ``c``_tail: those that begin within the first ``ENDS`` code points, or end within the last, stand apart.
 
-def words(text: Column) -> Column:
-    """struct<head, middle, tail>: the words of a text, those at either end apart."""
-    cut = parts(F.coalesce(text, F.lit("")))
-    back = parts(F.reverse(cut["rest"]))
-    return F.struct(_split(cut["head"]).alias("head"), _split(F.reverse(back["rest"])).alias("middle"), _split(F.reverse(back["head"])).alias("tail"))
+    Columns and not fields of one struct: expressions that read them would work a struct out anew for every word.
+    """
+    first = rf"\A(?s:.){{0,{ENDS}}}[^{WHITE}]*"
+    rows = rows.withColumn(f"{c}_first", F.regexp_extract(F.coalesce(text, F.lit("")), first, 0))
+    rows = rows.withColumn(f"{c}_rest", F.substring(F.coalesce(text, F.lit("")), F.char_length(f"{c}_first") + 1, F.char_length(text)))
+    rows = rows.withColumn(f"{c}_last", F.reverse(F.regexp_extract(F.reverse(f"{c}_rest"), first, 0)))
+    between = F.substring(F.col(f"{c}_rest"), F.lit(1), F.char_length(f"{c}_rest") - F.char_length(f"{c}_last"))
+    cut = {"head": F.col(f"{c}_first"), "middle": between, "tail": F.col(f"{c}_last")}
+    return rows.withColumns({f"{c}_{k}": _split(v) for k, v in cut.items()}).drop(f"{c}_first", f"{c}_rest", f"{c}_last")
 
 
 def _code_points(w: Column) -> Column:
@@ -78,31 +81,46 @@ def word_hashes(found: Column) -> Column:
     return F.transform(found, lambda w: F.when(F.char_length(w) > LONG_WORD, F.lit(_LEAST)).otherwise(F.xxhash64(w)))
 
 
-def spelled(found: Column, first: Column) -> Column:
-    """array<struct<pos, h>> of the code points of words, the first of which has number ``first``."""
-    return F.flatten(F.transform(found, lambda w, i: F.transform(_code_points(w), lambda c, o: F.struct(((first + i).cast("long") * _PLACES + o).alias("pos"), F.xxhash64(c).alias("h")))))
+def _spelled(found: Column) -> Column:
+    """Hashes of the code points of words."""
+    return F.flatten(F.transform(found, lambda w: F.transform(_code_points(w), lambda c: F.xxhash64(c))))
 
 
-def as_letters(found: Column, hashes: Column, first: Column) -> Column:
-    """array<struct<pos, h>> of words from their hashes, long ones spelled."""
-    number = lambda i: (first + i).cast("long") * _PLACES
-    plain = F.transform(hashes, lambda h, i: F.struct(number(i).alias("pos"), h.alias("h")))
-    each = F.transform(found, lambda w, i: F.when(F.char_length(w) > LONG_WORD, F.transform(_code_points(w), lambda c, o: F.struct((number(i) + o).alias("pos"), F.xxhash64(c).alias("h")))).otherwise(F.array(F.struct(number(i).alias("pos"), F.xxhash64(w).alias("h")))))
-    return F.when(F.array_min(hashes) == _LEAST, F.flatten(each)).otherwise(plain)
+def _places(found: Column, first: Column, only_long: bool = False) -> Column:
+    """Positions of the code points of words, the first of which has number ``first``; of long ones only, others are one letter."""
 
+    def of(w: Column, i: Column) -> Column:
+        number = (first + i).cast("long") * _PLACES
+        each = F.transform(_code_points(w), lambda c, o: number + o)
+        return F.when(F.char_length(w) > LONG_WORD, each).otherwise(F.array(number)) if only_long else each
 
-def letters(found: Column, hashes: Column) -> Column:
-    """The letters of ``words``, given the hashes of the middle ones; both should be columns, as they are read several times."""
-    head, middle, tail = found["head"], found["middle"], found["tail"]
-    return F.concat(spelled(head, F.lit(0)), as_letters(middle, hashes, F.size(head)), spelled(tail, F.size(head) + F.size(middle)))
+    return F.flatten(F.transform(found, of))
+
+
+def with_letters(rows: DataFrame, c: str) -> DataFrame:
+    """``rows`` with ``c``_hashes of all letters of the words in ``c``_head, ``c``_middle and ``c``_tail, and their positions as ``c``_places.
+
+    Most texts have no long word between their ends: there a word's hash is the
+    letter's, and its position follows from its number.
+    """
+    head, middle, tail = (F.col(f"{c}_{k}") for k in ("head", "middle", "tail"))
+    rows = rows.withColumn(f"{c}_plain", word_hashes(middle))
+    long = F.array_min(f"{c}_plain") == _LEAST
+    each = F.flatten(F.transform(middle, lambda w: F.when(F.char_length(w) > LONG_WORD, F.transform(_code_points(w), lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64(w)))))
+    first_of_tail = F.size(head) + F.size(middle)
+    one_each = F.when(F.size(middle) > 0, F.sequence(F.size(head).cast("long") * _PLACES, (first_of_tail - 1).cast("long") * _PLACES, F.lit(_PLACES).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    between = F.when(long, _places(middle, F.size(head), only_long=True)).otherwise(one_each)
+    hashes = F.concat(_spelled(head), F.when(long, each).otherwise(F.col(f"{c}_plain")), _spelled(tail))
+    rows = rows.withColumns({f"{c}_hashes": hashes, f"{c}_places": F.concat(_places(head, F.lit(0)), between, _places(tail, first_of_tail))})
+    return rows.drop(*[f"{c}_{k}" for k in ("head", "middle", "tail", "plain")])
 
 
 def _low(h: Column) -> Column:
     return h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def anchors(found: Column, hashes: Column, k: int = K) -> Column:
-    """array<struct<pos, hash>> of the closed syncmers of an array of letters, in order; hashes: those of the letters, as a column of its own."""
+def anchors(hashes: Column, place: Callable[[Column], Column], k: int = K) -> Column:
+    """array<struct<pos, hash>> of the closed syncmers of letters, in order; hashes: a column; place: position of the i-th letter, from 1."""
     n = F.size(hashes)
     starts = F.when(n >= k, F.sequence(F.lit(1), n - F.lit(k - 1))).otherwise(F.array().cast("array<int>"))
 
@@ -113,7 +131,7 @@ def anchors(found: Column, hashes: Column, k: int = K) -> Column:
         return (F.least(first, last) <= least)
 
     def taken(i: Column) -> Column:
-        return F.struct(F.element_at(found, i)["pos"].alias("pos"), _low(F.xxhash64(*[F.element_at(hashes, i + F.lit(j)) for j in range(k)])).alias("hash"))
+        return F.struct(place(i).alias("pos"), _low(F.xxhash64(*[F.element_at(hashes, i + F.lit(j)) for j in range(k)])).alias("hash"))
 
     short = F.array(F.struct(F.lit(0).cast("long").alias("pos"), _low(F.xxhash64(hashes)).alias("hash")))
     none = F.array().cast("array<struct<pos:bigint,hash:bigint>>")
@@ -242,15 +260,13 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
     out = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     names = {"text": "a", "edited_text": "e", "next_text": "n"}
     for source, c in names.items():
-        out = out.withColumn(f"{c}_words", words(F.col(source)))
-    for c in names.values():
-        out = out.withColumn(f"{c}_hashes", word_hashes(F.col(f"{c}_words.middle")))
-    for c in names.values():
-        out = out.withColumn(f"{c}_letters", letters(F.col(f"{c}_words"), F.col(f"{c}_hashes"))).drop(f"{c}_words", f"{c}_hashes")
+        out = with_words(out, source, c)
     for c in names.values():
-        out = out.withColumn(f"{c}_hashes", F.col(f"{c}_letters.h"))
+        out = with_letters(out, c)
     for c in names.values():
-        out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_letters"), F.col(f"{c}_hashes"), k)).drop(f"{c}_letters", f"{c}_hashes")
+        # The positions are read twice: the optimizer would put a column that is read once into the lambda, which then works it out for every letter.
+        place = lambda i, c=c: F.when(i <= F.size(f"{c}_places"), F.element_at(f"{c}_places", i))
+        out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_hashes"), place, k)).drop(f"{c}_hashes", f"{c}_places")
     for c in names.values():
         out = out.withColumn(f"{c}_hash", F.col(f"{c}_anchors.hash"))
     for c in names.values():
