@@ -386,7 +386,7 @@ def test_no_length_changes_the_alphabet(spark, seed):
     sizes = [*range(100, 161), *range(180, 260, 3), 500, 1000, 3000]
     rows = [(n, prose[:n], prose[: n - 1]) for n in sizes] + [(-n, prose[:n], prose[1:n]) for n in sizes]
     got = {r.doc_id: r.near_next for r in fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string, next_text string")).collect()}
-    assert min(got[n] for n in range(100, 161)) > 0.9 and min(got.values()) > 0.85 and len(got) == len(rows)
+    assert min(got[n] for n in range(100, 161)) > 0.9 and min(got.values()) > 0.8 and len(got) == len(rows)
 
 
 def test_anchor_choice_is_context_free(spark):
