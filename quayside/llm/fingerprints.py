@@ -211,9 +211,20 @@ def _number(bounds: list[int], hot: list[tuple[int | None, int]]) -> Column:
     return whole.cast("long") * F.lit(1 << 32) + parts
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def anchored(rows: DataFrame, text: str, c: str, k: int = K) -> DataFrame:
+    """``rows`` with the anchors of ``text`` as ``c``_anchors."""
+    out = with_letters(with_words(rows, text, c), c)
+    # The positions are read twice: the optimizer would put a column that is read once into the lambda, which then works it out for every letter.
+    place = lambda i: F.when(i <= F.size(f"{c}_places"), F.element_at(f"{c}_places", i))
+    return out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_hashes"), place, k)).drop(f"{c}_hashes", f"{c}_places")
+
+
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_anchors: bool = False) -> DataFrame:
     """(doc_id, text, next_text): the text of the next row by descending id; the last row gets the first's.
 
+    With ``with_anchors`` also a_anchors and n_anchors, those of both texts: each
+    row's are worked out once, where it lies, and its neighbour takes them over.
+
     Rows are dealt into ranges of the id that hold about as many characters, and
     those of an id that fills several ranges are dealt by their tie-break too.
     Each range finds its neighbours alone; what follows a range is the first row
@@ -232,18 +243,25 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds) + sum(n for _, n in hot))
     dealt = rows.withColumn("rng", _number(bounds, hot)).repartition(parts, "rng")
     order = Window.partitionBy("rng").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc())
-    dealt = dealt.withColumn("after", F.lead("text").over(order))
+    own = ["text"]
+    if with_anchors:
+        dealt, own = anchored(dealt, "text", "a"), ["text", "a_anchors"]
+    dealt = dealt.withColumn("after", F.lead(F.struct(*own)).over(order))
     # The first row of each range: ids and ties only, then its text.
     top = rows.withColumn("rng", _number(bounds, hot)).groupBy("rng").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
     heads = stored(top.select("rng", "top.*", F.row_number().over(Window.orderBy(F.col("rng").desc())).alias("i")), "syncmer-ranges")  # one row for each range
     many = heads.count()
     first = heads.select(F.col("i").alias("head"), F.col("doc_id").alias("head_id"), F.col("tie").alias("head_tie"))
-    texts = rows.join(F.broadcast(first), F.col("head_id").eqNullSafe(rows["doc_id"]) & (F.col("head_tie") == rows["tie"])).groupBy("head").agg(F.max("text").alias("head_text"))
-    edge = heads.select(F.col("rng").alias("to_rng"), (F.col("i") % F.lit(many) + 1).alias("head")).join(texts, "head").select("to_rng", "head_text")
+    texts = rows.join(F.broadcast(first), F.col("head_id").eqNullSafe(rows["doc_id"]) & (F.col("head_tie") == rows["tie"])).groupBy("head").agg(F.max("text").alias("text"))
+    if with_anchors:
+        texts = anchored(texts, "text", "a")
+    texts = texts.select("head", F.struct(*own).alias("head_row"))
+    edge = heads.select(F.col("rng").alias("to_rng"), (F.col("i") % F.lit(many) + 1).alias("head")).join(texts, "head").select("to_rng", "head_row")
     out = dealt.join(edge, F.col("rng") == F.col("to_rng"), "left")
-    following = F.coalesce("after", "head_text")
-    out = out.select("doc_id", "text", "copies", following.alias("following"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("i"))
-    return out.select("doc_id", "text", F.when(F.col("i") < F.col("copies"), F.col("text")).otherwise(F.col("following")).alias("next_text"))
+    out = out.select("doc_id", *own, "copies", F.coalesce("after", "head_row").alias("following"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("i"))
+    last = F.col("i") == F.col("copies")
+    new = [F.when(last, F.col(f"following.{c}")).otherwise(F.col(c)).alias(n) for c, n in zip(own, ("next_text", "n_anchors"), strict=False)]
+    return out.select("doc_id", *own, *new)
 
 
 def _longs(values: list[int]) -> Column:
@@ -251,7 +269,7 @@ def _longs(values: list[int]) -> Column:
 
 
 def compare(rows: DataFrame, k: int = K) -> DataFrame:
-    """Adds fingerprints and likenesses to rows of (doc_id, text, next_text).
+    """Adds fingerprints and likenesses to rows of ``with_next``.
 
     Added: edited_text, fingerprint, edited_fingerprint, near_edited, near_next,
     placed_edited, placed_next (positional matching), and the anchors of the
@@ -260,13 +278,8 @@ def compare(rows: DataFrame, k: int = K) -> DataFrame:
     out = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     names = {"text": "a", "edited_text": "e", "next_text": "n"}
     for source, c in names.items():
-        out = with_words(out, source, c)
-    for c in names.values():
-        out = with_letters(out, c)
-    for c in names.values():
-        # The positions are read twice: the optimizer would put a column that is read once into the lambda, which then works it out for every letter.
-        place = lambda i, c=c: F.when(i <= F.size(f"{c}_places"), F.element_at(f"{c}_places", i))
-        out = out.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_hashes"), place, k)).drop(f"{c}_hashes", f"{c}_places")
+        if f"{c}_anchors" not in rows.columns:
+            out = anchored(out, source, c, k)
     for c in names.values():
         out = out.withColumn(f"{c}_hash", F.col(f"{c}_anchors.hash"))
     for c in names.values():

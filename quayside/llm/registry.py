@@ -66,7 +66,7 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprints.compare(fingerprints.with_next(table(spark, sf_dir, "documents")))
+    rows = fingerprints.compare(fingerprints.with_next(table(spark, sf_dir, "documents"), with_anchors=True))
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),

@@ -346,7 +346,7 @@ def test_fingerprints_against_plain_loops(spark, docs, no_docs, monkeypatch):
         monkeypatch.setattr(fingerprints, "REPEATS", repeats)
         assert Counter(tuple(r) for r in fingerprints.with_next(frame).collect()) == want
     assert fingerprints.with_next(no_docs).count() == 0
-    out = fingerprints.compare(fingerprints.with_next(frame)).collect()
+    out = fingerprints.compare(fingerprints.with_next(frame, with_anchors=True)).collect()
     edits = Counter()
     for d, t, nxt in want.elements():
         half = len(t) // 2
