@@ -216,3 +216,54 @@ def page_counts(entries: DataFrame) -> DataFrame:
     return visible(entries).agg(
         count(kind == "decision").alias("decisions"), count(kind == "order").alias("routed"), count(F.col("status") == "rejected").alias("blocked"), count(kind == "fill").alias("fills"), count(kind.isin(*CASE_KINDS) & (F.col("case_id") == 0)).alias("unknown_n")
     )
+
+
+#: The ordered digest: primes just under 2**31 and, for each, the base of its polynomial.
+MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_812_433_253), (2_147_483_587, 1_664_525), (2_147_483_579, 69_069))
+#: Digits of an exponent, in base ``_RADIX``, whose powers are looked up.
+_RADIX, _DIGITS = 1024, 5
+
+
+def _power(base: int, exponent: Column, prime: int) -> Column:
+    """``base ** exponent % prime``: a product of one looked-up power for each digit of the exponent."""
+    out = F.lit(1).cast("long")
+    for d in range(_DIGITS):
+        step = pow(base, _RADIX**d, prime)
+        powers = [1]
+        for _ in range(_RADIX - 1):
+            powers.append(powers[-1] * step % prime)
+        digit = F.shiftrightunsigned(exponent, 10 * d).bitwiseAND(_RADIX - 1).cast("int")
+        out = out * F.get(F.array(*map(F.lit, powers)), digit) % prime if d else F.get(F.array(*map(F.lit, powers)), digit).cast("long")
+    return out
+
+
+def ordered_digest(rows: DataFrame, *, on: list[str], cell: str, order: str, line: Column) -> DataFrame:
+    """(on, n, digest): a digest of each key's lines in order, which no task needs to see together.
+
+    The digest is the fold ``h = (h * base + x) % prime`` over the lines, x being a
+    32-bit part of a line's hash, for four primes.  A line with r lines after it
+    adds ``x * base ** r``, so lines are summed in any order, where they lie, and
+    two stretches join as ``h1 * base ** n2 + h2``.  cell: never falls along
+    ``order``; ranks are counted in cells.
+    """
+    marked = rows.select(*on, cell, order, F.md5(line).alias("__hash"))
+    ranked = running_rank(marked, on=tuple(on), cell=cell, order=[order], into="__rank")
+    sizes = marked.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    met = ranked.join(sizes, on)
+    after = F.col("n") - F.col("__rank")
+    parts = []
+    for i, (prime, base) in enumerate(MODULI):
+        x = F.conv(F.substring("__hash", 8 * i + 1, 8), 16, 10).cast("long") % prime
+        parts.append(F.sum((x * _power(base, after, prime) % prime).cast("decimal(20,0)")).alias(f"p{i}"))
+    summed = met.groupBy(*on, "n").agg(*parts)
+    text = F.concat(*[F.lpad(F.lower(F.hex((F.col(f"p{i}") % prime).cast("long"))), 8, "0") for i, (prime, _) in enumerate(MODULI)])
+    return summed.select(*on, "n", text.alias("digest"))
+
+
+def joined_digest(first: str, second: str, n_second: int) -> str:
+    """The digest of two stretches, one after the other."""
+    out = ""
+    for i, (prime, base) in enumerate(MODULI):
+        a, b = (int(d[8 * i : 8 * i + 8], 16) for d in (first, second))
+        out += f"{(a * pow(base, n_second, prime) + b) % prime:08x}"
+    return out

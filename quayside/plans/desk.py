@@ -285,3 +285,5 @@ ORACLES = {
         s as (select *, least(greatest(case when z = spacing then scroll else first_index + anchor * width / spacing - anchor * width / z - bars + width / z end, -bars), 6.0) as moved from f)
         select seq, cast(least(greatest(floor(first_index), 0), least(greatest(ceil(bars + scroll), 0), bars)) as bigint) as first_slot, cast(least(greatest(ceil(bars + scroll), 0), bars) as bigint) as end_slot, round(z, 6) as zoomed_spacing, round(moved, 6) as zoomed_scroll, true as in_order from s""",
 }
+#: A stream in turns gives what the whole history does.
+ORACLES["streamed_office"] = ORACLES["macro_office"]

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quayside.operators import joins, levels, nodes, structure
 from quayside.plans import tables
 from quayside.plans.views import view
 from quayside.sources import shared
-from quayside.streaming import bars
+from quayside.streaming import bars, ledger, office
 from quayside.streaming import structure as live
 
 HOUR = 3_600_000_000_000
@@ -106,19 +108,62 @@ def live_equals_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(whole, bars.KEY, "full").where(~F.col("live").eqNullSafe(F.col("replay"))).select(*bars.KEY)
 
 
+def in_turns(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame, str], StreamingQuery], label: str) -> str:
+    """The folder of a stream that gets ``rows`` by their column turn; in each, ``start`` goes on from the state that the last one left."""
+    folder = os.path.join(shared.folder(spark), f"{label}-{uuid.uuid4().hex}")
+    rows.write.partitionBy("turn").parquet(f"{folder}/all")
+    every = spark.read.parquet(f"{folder}/all")
+    for (n,) in every.select("turn").distinct().orderBy("turn").collect():
+        every.where(F.col("turn") == n).drop("turn").write.parquet(f"{folder}/in/turn={n}")
+        start(spark.readStream.schema(rows.drop("turn").schema).parquet(f"{folder}/in/*"), folder).awaitTermination()
+    return folder
+
+
+OFFICE = "select office, ordinal, sequence, kind, receipt, source, stream, received_ns, case kind when 'observation' then source * 3 + stream else source end as name, day % 23 as period, received_ns % 1000 as a, ordinal % 700 as b, @div(ordinal * 3, (select max(ordinal) + 1 from office_events)) as turn from office_events"
+
+
+def _office_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = in_turns(spark, view(spark, sf_dir, OFFICE), lambda stream, at: office.stream_office(stream, at, weeks=12), "office")
+    return spark.read.parquet(f"{folder}/emitted")
+
+
+def streamed_office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the offices add up to after the last turn of their stream."""
+    return office.latest(_office_stream(spark, sf_dir))
+
+
+def streamed_office_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest vintages and the last reports that the offices hold after the last turn."""
+    return office.points(_office_stream(spark, sf_dir))
+
+
+COMMANDS = """
+    select entry_id as ordinal, case_id * 15 + entry_id % 5 * 3 + case policy when 'none' then 0 when 'existing' then 1 else 2 end as source_key, policy, case_id, correlation, case when entry_id % 4 = 0 then @div(entry_id, 40) end as epoch,
+           case when entry_id % 61 = 0 then 'missing identity' end as problem, day as cell, @div(entry_id * 3, (select max(seq) + 1 from ticks)) as turn from drafts"""
+
+
+def ledger_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each command that was appended to the ledger, batch by batch, outside epochs."""
+    commands = view(spark, sf_dir, COMMANDS).withColumn("epoch", F.lit(None).cast("bigint")).withColumn("cell", F.expr("ordinal div 512"))
+    folder = in_turns(spark, commands, ledger.stream_ledger, "ledger")
+    return ledger.snapshot(spark, folder, "outcomes").drop("batch")
+
+
+def epoch_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with epochs, each of which is appended whole or not at all: what the ledger holds in the end."""
+    commands = view(spark, sf_dir, COMMANDS).where("policy = 'none'").withColumn("cell", F.expr("ordinal div 512")).withColumn("source_key", F.col("ordinal"))
+    folder = in_turns(spark, commands, ledger.stream_ledger, "epochs")
+    return ledger.snapshot(spark, folder).select("entry_id", "ordinal", "epoch")
+
+
 #: Days whose bars and prices a turn of the structural stream brings.
 TURN = 12
 
 
 def _structure_stream(spark: SparkSession, sf_dir: str, prices: bool) -> DataFrame:
     """What the structural stream emits, given its bars (and prices) in turns; each turn goes on from the state that the last one left."""
-    folder = os.path.join(shared.folder(spark), f"structure-{uuid.uuid4().hex}")
     every = live.moves(_m4(spark, sf_dir), view(spark, sf_dir, "select inst, seq, ts_ns, px from ticks") if prices else None)
-    every.withColumn("turn", F.expr(f"at_ns div {24 * HOUR} div {TURN}")).write.partitionBy("turn").parquet(f"{folder}/moves")
-    turns = [r[0] for r in spark.read.parquet(f"{folder}/moves").select("turn").distinct().orderBy("turn").collect()]
-    for turn in turns:
-        spark.read.parquet(f"{folder}/moves").where(F.col("turn") == turn).drop("turn").write.parquet(f"{folder}/in/turn={turn}")
-        live.stream_structure(spark.readStream.schema(live.INPUT).parquet(f"{folder}/in/*"), folder).awaitTermination()
+    folder = in_turns(spark, every.withColumn("turn", F.expr(f"at_ns div {24 * HOUR} div {TURN}")), live.stream_structure, "structure")
     return spark.read.parquet(f"{folder}/emitted")
 
 
@@ -138,9 +183,30 @@ def streamed_price_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.placed_prices(_structure_stream(spark, sf_dir, True)).drop("late")
 
 
-QUERIES = {f.__name__: f for f in (streamed_structure_levels, streamed_structure_nodes, streamed_price_places, interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars, live_equals_replay)}
+QUERIES = {f.__name__: f for f in (ledger_appends, epoch_appends, streamed_office, streamed_office_points, streamed_structure_levels, streamed_structure_nodes, streamed_price_places, interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars, live_equals_replay)}
 
 ORACLES = {
+    "ledger_appends": f"""
+        , commands as ({COMMANDS}), first_of as (select * from commands where problem is null qualify row_number() over (partition by source_key order by ordinal) = 1),
+        firsts as (select correlation, min(ordinal) as first_at, arg_min(policy, ordinal) as how, arg_min(case_id, ordinal) as asked from first_of where policy <> 'none' and correlation <> 0 group by correlation),
+        opened as (select correlation, 999999 + row_number() over (order by first_at) as fresh from firsts where how = 'correlate'),
+        cases as (select f.correlation, case when how = 'existing' then asked else fresh end as c from firsts f left join opened o on f.correlation = o.correlation),
+        judged as (select f.*, cast(case policy when 'none' then 0 when 'existing' then case when c is null or c = case_id then case_id end else c end as bigint) as assigned from first_of f left join cases s on f.correlation = s.correlation),
+        taken as (select source_key, ordinal as at, assigned, row_number() over (order by ordinal) as entry_id from judged where assigned is not null)
+        select ordinal, case when t.at is null or ordinal < t.at then 'refused' when ordinal = t.at then 'appended' else 'existing' end as outcome,
+        case when ordinal >= t.at then t.entry_id end as entry_id, case when ordinal >= t.at then t.assigned end as assigned
+        from commands c left join taken t on c.source_key = t.source_key""",
+    "epoch_appends": f"""
+        , commands as (select ordinal, epoch, problem from ({COMMANDS}) c where policy = 'none'), bad as (select distinct epoch from commands where problem is not null and epoch is not null),
+        taken as (select ordinal, epoch from commands where problem is null and (epoch is null or epoch not in (select epoch from bad)))
+        select row_number() over (order by ordinal) as entry_id, ordinal, epoch from taken""",
+    "streamed_office_points": f"""
+        , rows_ as ({OFFICE}), mine as (select * from rows_ where kind in ('observation', 'positioning', 'release', 'document')),
+        risen as (select *, max(sequence) over (partition by office order by ordinal rows between unbounded preceding and 1 preceding) as before from mine),
+        stops as (select office, min(ordinal) as stop from risen where sequence <= coalesce(before, 0) group by office),
+        taken as (select m.* from mine m left join stops s on m.office = s.office where s.stop is null or m.ordinal < s.stop),
+        held as (select office, kind, name, period, arg_max(a, sequence) as a, arg_max(b, sequence) as b, max(sequence) as sequence from taken where kind in ('observation', 'positioning') group by office, kind, name, period)
+        select office, kind, name, period, a, b, sequence from held qualify kind = 'observation' or row_number() over (partition by office, kind, name order by period desc) <= 12""",
     "interval_join_cells": "select seq, inst, ts_ns, s_open as open_ns, s_close as close_ns from in_session",
     "asof_quotes": """
         select t.seq, t.inst, t.ts_ns, t.px, max_by(q.bid, @order(q.ts_ns, q.bid, q.ask)) as asof_bid, max_by(q.ask, @order(q.ts_ns, q.bid, q.ask)) as asof_ask

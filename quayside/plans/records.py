@@ -52,6 +52,13 @@ def replay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.replay_reports(events, F.lit(1_705_500_000_000_000_000))
 
 
+def replay_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of the events that each instrument's replay passes on, in order; an instrument's events meet in no task."""
+    events = view(spark, sf_dir, "select inst, seq as sequence, recv_ns as effective_ns, px as value from ticks where k % 11 <> 0 and recv_ns <= 1705500000000000000")
+    line = F.concat_ws(":", "sequence", "effective_ns", "value")
+    return journal.ordered_digest(events.withColumn("cell", F.expr("sequence div 512")), on=["inst"], cell="cell", order="sequence", line=line)
+
+
 TYPED = "select seq as source_event_id, case seq % 7 when 0 then 'index' when 1 then 'quote' when 2 then 'bar' when 3 then 'observation' when 4 then 'positioning' when 5 then 'release' else 'note' end as kind, k % 6 as quality, ts_ns as event_ns, recv_ns - 5000000000 as received_ns, px as a, px + k - 3 as b, case when seq % 5 = 0 then null else px - k + 90 end as c, px + 2 as d, case when seq % 7 = 2 then ts_ns - (k - 1) * 60000000000 else k - 1 end as e, k % 9 as f from ticks"
 
 
@@ -217,12 +224,16 @@ def location_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        receipt_integrity, journal_integrity, appended_batches, committed_events, replay_report, typed_events, availability, complete_refreshes, bound_titles, venue_contracts, tick_tier_asof, slot_bars, material_batches, export_manifest,
+        replay_hash, receipt_integrity, journal_integrity, appended_batches, committed_events, replay_report, typed_events, availability, complete_refreshes, bound_titles, venue_contracts, tick_tier_asof, slot_bars, material_batches, export_manifest,
         opened_positions, epoch_transactions, ledger_counts, ledger_kpis, all_orders, scalar_functions, keys_and_formats, period_labels, price_location, reconciled_positions, level_violations, location_distances,
     )
 }
 
 ORACLES = {
+    # The fold itself, line by line.
+    "replay_hash": """
+        , lines as (select inst, list(md5(seq || ':' || recv_ns || ':' || px) order by seq) as ls from ticks where k % 11 <> 0 and recv_ns <= 1705500000000000000 group by inst)
+        select inst, len(ls) as n, lpad(lower(to_hex(list_reduce(list_transform(ls, lambda m: cast(cast('0x' || substr(m, 1, 8) as bigint) as hugeint) % 2147483647), lambda h, x: (h * 1103515245 + x) % 2147483647, cast(0 as hugeint)))), 8, '0') || lpad(lower(to_hex(list_reduce(list_transform(ls, lambda m: cast(cast('0x' || substr(m, 9, 8) as bigint) as hugeint) % 2147483629), lambda h, x: (h * 1812433253 + x) % 2147483629, cast(0 as hugeint)))), 8, '0') || lpad(lower(to_hex(list_reduce(list_transform(ls, lambda m: cast(cast('0x' || substr(m, 17, 8) as bigint) as hugeint) % 2147483587), lambda h, x: (h * 1664525 + x) % 2147483587, cast(0 as hugeint)))), 8, '0') || lpad(lower(to_hex(list_reduce(list_transform(ls, lambda m: cast(cast('0x' || substr(m, 25, 8) as bigint) as hugeint) % 2147483579), lambda h, x: (h * 69069 + x) % 2147483579, cast(0 as hugeint)))), 8, '0') as digest from lines""",
     "receipt_integrity": """
         , s as (select doc_id, case when doc_id % 31 = 0 then doc_id - 1 else doc_id end as rid, doc_id * 10 + case when doc_id % 37 = 0 then -5 else 5 end as received, case when doc_id % 43 = 0 then '00' else sha256(text) end as digest from documents),
         n as (select *, row_number() over (partition by rid order by received, digest) as nth from s)

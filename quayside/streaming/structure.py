@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from quayside.operators import nodes
 from quayside.operators.nodes import CENTER, LOWER, NEUTRAL, UPPER
 from quayside.operators.structure import ATR_BARS, FRACTIONS, LOOKBACK, OPENING, OPENING_NS, PROJECTION, RETAINED, SESSION
+from quayside.streaming.keyed import start
 
 BAR, PRICE, REFUSED = 0, 1, 2
 INPUT = "inst bigint, kind int, at_ns bigint, seq bigint, s_open bigint, s_close bigint, open_ns bigint, o bigint, h bigint, l bigint, c bigint, px bigint"
@@ -235,16 +236,7 @@ def moves(bars: DataFrame | None = None, prices: DataFrame | None = None) -> Dat
 
 def stream_structure(rows: DataFrame, folder: str, *, query_name: str | None = None) -> StreamingQuery:
     """Start the stream over what is available of ``rows`` (``INPUT``); emissions (``OUTPUT``) are stored in ``folder``/emitted."""
-    spark = rows.sparkSession
-    setting, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(setting)
-    found = rows.groupBy("inst").transformWithState(StructureProcessor(), OUTPUT, "Append", "None")
-    writer = found.writeStream.format("parquet").option("path", f"{folder}/emitted").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    spark.conf.set(setting, rocks)  # keyed state of several kinds needs it; a query keeps what it was started with
-    try:
-        return (writer.queryName(query_name) if query_name else writer).start()
-    finally:
-        spark.conf.set(setting, before)
+    return start(rows, "inst", StructureProcessor(), OUTPUT, folder, query_name)
 
 
 def level_versions(emitted: DataFrame) -> DataFrame:
