@@ -212,7 +212,7 @@ def level_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def location_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where ticks stand against the nodes of the session ranges of their day, and how far, in prices and in millionths of the range of an average bar."""
-    ticks = view(spark, sf_dir, "select seq, inst, day, px from ticks where seq % 3 = 0")
+    ticks = view(spark, sf_dir, "select seq, inst, day, px from ticks")
     m4 = view(spark, sf_dir, f"select inst, @div(s_open, {DAY}) as day, minutes, max(h) as high, min(l) as low, cast(count(*) as bigint) as n, cast(sum(h - l) as bigint) as total from bars where minutes >= 120 group by inst, @div(s_open, {DAY}), minutes")
     node = F.struct(F.col("minutes").alias("node"), F.col("low").alias("low"), (F.col("low") + F.expr("(high - low) div (minutes div 60)")).alias("high"), (F.col("low") + F.expr("(high - low) div (2 * (minutes div 60))")).alias("center"))
     known = m4.groupBy("inst", "day").agg(F.sort_array(F.collect_list(F.struct(node["center"].alias("k"), node.alias("x")))).alias("all"), F.max(F.when(F.col("minutes") == 120, F.expr("total div n"))).alias("atr"))
@@ -319,7 +319,7 @@ ORACLES = {
     "location_distances": f"""
         , r as (select inst, s_open // {DAY} as day, minutes, max(h) as hi, min(l) as lo, cast(sum(h - l) as bigint) // count(*) as mean from bars where minutes >= 120 group by 1, 2, 3),
         nd as (select inst, day, minutes as node, lo as low, lo + (hi - lo) // (minutes // 60) as high, lo + (hi - lo) // (2 * (minutes // 60)) as center from r), a as (select inst, day, mean as atr from r where minutes = 120),
-        t as (select k.seq, k.inst, k.day, k.px, a.atr from ticks k join a on k.inst = a.inst and k.day = a.day where k.seq % 3 = 0),
+        t as (select k.seq, k.inst, k.day, k.px, a.atr from ticks k join a on k.inst = a.inst and k.day = a.day),
         inside as (select seq, arg_min(node, (high - low) * 1000 + node) as node, min(high - low) as w from t join nd on t.inst = nd.inst and t.day = nd.day and px between low and high group by seq),
         under as (select seq, arg_max(node, (center, low, node)) as node from t join nd on t.inst = nd.inst and t.day = nd.day and center < px group by seq),
         over_ as (select seq, arg_min(node, (center, low, node)) as node from t join nd on t.inst = nd.inst and t.day = nd.day and center >= px group by seq),

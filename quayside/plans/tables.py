@@ -331,7 +331,7 @@ def regional_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("family")).distinct()
-    grid = table(spark, sf_dir, "region").crossJoin(F.broadcast(families.limit(64)))  # regions by the few families there are
+    grid = table(spark, sf_dir, "region").crossJoin(families)  # a row for each region and family
     seen = regional_orders(spark, sf_dir).groupBy("n_regionkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("latest"))
     out = grid.join(seen, (F.col("r_regionkey") == F.col("n_regionkey")) & (F.col("family") == F.col("o_orderpriority")), "left")
     return out.select(F.col("r_name").alias("region"), "family", F.coalesce("n", F.lit(0)).alias("n"), "latest")

@@ -111,3 +111,16 @@ def test_ordered_digest_is_the_fold_and_joins(spark):
     got = {r.batch: (r.n, r.digest) for r in journal.ordered_digest(frame, on=["batch"], cell="cell", order="sequence", line=F.col("line")).collect()}
     assert got == {1: (1500, fold(lines)), 2: (1, fold(["alone"]))}
     assert journal.joined_digest(fold(lines[:400]), fold(lines[400:]), 1100) == fold(lines) != fold(lines[1:] + lines[:1])
+
+
+def test_intermediate_folders_can_be_removed(spark):
+    import os
+
+    from quayside.sources import shared
+
+    mark = shared.written_so_far()
+    kept = shared.written(spark.range(3), "forget-one")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and shared.written_so_far() == mark + 1
+    shared.forget(spark, mark)
+    assert not os.path.exists(path) and shared.written_so_far() == mark
