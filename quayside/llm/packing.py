@@ -37,6 +37,8 @@ MAX_LEN = 1024
 #: Chunks remembered by one Python worker (about 150 bytes each).
 MEMO_CHUNKS = 400_000
 
+#: Fixed value: how byte-level tokenizer files cut a text before they merge bytes.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNEVEN_SPACE = re.compile(r" \s|\s ")
 
 
@@ -80,9 +82,10 @@ class TokenBytes:
         added = {t["id"] for t in spec["added_tokens"]}
         byte_of = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if i not in added}
-        import public_tokenizers
-
-        coder = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        cut = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or spec["model"]["type"] != "BPE" or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
+            raise ValueError(f"{tokenizer_path}: only byte-level BPE without a normaliser, a prefix space or a pattern of its own")
+        coder = tiktoken.Encoding("corpus", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> bytes:
             return np.array(coder.encode_ordinary(text), dtype="<u4").tobytes()

@@ -503,3 +503,13 @@ def test_mixing_meets_the_target_entropy(spark):
 
 def test_hash_of_lines_counts_code_points():
     assert line_dedup.line_hashes("é" * 19 + "\n" + "é" * 20, 20) == [None, hashlib.md5(("é" * 20).encode()).digest()]
+
+
+def test_other_kinds_of_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        json.dump(spec | change, open(tmp_path / "t.json", "w", encoding="utf-8"))
+        with pytest.raises(ValueError, match="byte-level"):
+            packing.TokenBytes(str(tmp_path / "t.json"))
