@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quayside.operators import joins, levels, nodes, structure
 from quayside.plans import tables
 from quayside.plans.views import view
-from quayside.sources import shared
+from quayside.sources import series_store, shared
 from quayside.streaming import bars, ledger, office
 from quayside.streaming import structure as live
 
@@ -156,8 +156,24 @@ def epoch_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.snapshot(spark, folder).select("entry_id", "ordinal", "epoch")
 
 
+UPSERTS = [
+    "select inst, minutes, open_ns, close_ns, o, h, l, c, n, last_seq as version from bars where minutes >= 20 and open_ns % 7 <> 0",
+    "select inst, minutes, open_ns, close_ns, o, h, l, case when n > 1 then c + 1 else c end as c, n, last_seq as version from bars where minutes >= 20 and @div(open_ns, 86400000000000) % 3 = 0",
+]
+
+
+def series_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second of two upserts into stored series changes, with the bars as they are then."""
+    folder = os.path.join(shared.folder(spark), f"series-{uuid.uuid4().hex}")
+    for text in UPSERTS:
+        changes = series_store.upsert(spark, folder, view(spark, sf_dir, text))
+    now = series_store.bars(spark, folder)
+    told = changes.select("inst", "minutes", "open_ns", "kind")
+    return now.join(told, ["inst", "minutes", "open_ns"], "left").select("inst", "minutes", "open_ns", "c", "n", F.coalesce("kind", F.lit("kept")).alias("kind"))
+
+
 #: Days whose bars and prices a turn of the structural stream brings.
-TURN = 12
+TURN = 16
 
 
 def _structure_stream(spark: SparkSession, sf_dir: str, prices: bool) -> DataFrame:
@@ -183,9 +199,14 @@ def streamed_price_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.placed_prices(_structure_stream(spark, sf_dir, True)).drop("late")
 
 
-QUERIES = {f.__name__: f for f in (ledger_appends, epoch_appends, streamed_office, streamed_office_points, streamed_structure_levels, streamed_structure_nodes, streamed_price_places, interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars, live_equals_replay)}
+QUERIES = {f.__name__: f for f in (series_upserts, ledger_appends, epoch_appends, streamed_office, streamed_office_points, streamed_structure_levels, streamed_structure_nodes, streamed_price_places, interval_join_cells, asof_quotes, overlapping_orders, structure_levels, structure_nodes, node_genealogy, node_corridors, price_in_structure, streamed_bars, live_equals_replay)}
 
 ORACLES = {
+    "series_upserts": f"""
+        , first_ as ({UPSERTS[0]}), second_ as ({UPSERTS[1]})
+        select coalesce(s.inst, f.inst) as inst, coalesce(s.minutes, f.minutes) as minutes, coalesce(s.open_ns, f.open_ns) as open_ns, coalesce(s.c, f.c) as c, coalesce(s.n, f.n) as n,
+        case when f.inst is null then 'insert' when s.inst is null then 'kept' when f.c = s.c then 'none' else 'replace' end as kind
+        from first_ f full join second_ s on f.inst = s.inst and f.minutes = s.minutes and f.open_ns = s.open_ns""",
     "ledger_appends": f"""
         , commands as ({COMMANDS}), first_of as (select * from commands where problem is null qualify row_number() over (partition by source_key order by ordinal) = 1),
         firsts as (select correlation, min(ordinal) as first_at, arg_min(policy, ordinal) as how, arg_min(case_id, ordinal) as asked from first_of where policy <> 'none' and correlation <> 0 group by correlation),
