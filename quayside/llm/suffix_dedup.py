@@ -210,7 +210,8 @@ def _places(texts: DataFrame, buckets: int) -> DataFrame:
                     if (out := flushed()) is not None:
                         yield out
                     size = 0
-            hashed(parts) if parts else None
+            if parts:
+                hashed(parts)
             size, parts, length = size + length, [], 0
         if (out := flushed()) is not None:
             yield out
