@@ -61,8 +61,7 @@ def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    limits = quality.limits_for(spark, docs, sf_dir)
-    return docs.select("doc_id", quality.quality(F.col("text"), F.col("lang"), limits).alias("q")).select("doc_id", "q.*")
+    return quality.judged(docs, quality.labels_in(spark, sf_dir), ["doc_id"]).select("doc_id", "__quality.*")
 
 
 def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

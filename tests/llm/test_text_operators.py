@@ -236,6 +236,54 @@ def test_calibrated_bands_decide(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_all_rows_labelled_good_set_the_bands(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(900)]
+    n = 10_001  # one more than was read at most; the one that was left out is unlike the others
+    last = spark.range(n).orderBy(F.xxhash64("id").desc()).first().id
+    noise = lambda: " ".join("".join(chr(rng.randrange(48, 123)) for _ in range(5)) for _ in range(72))
+    rows = [(i, noise() if i == last else " ".join(rng.choice(stems) for _ in range(60)), "en") for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in registry.op7_compression_bands(spark, str(tmp_path)).collect()}
+    assert len(got) == n and not any(r.base_failed for r in got.values()) and all(r.kept for r in got.values())
+    assert got[last].ratio > max(r.ratio for i, r in got.items() if i != last) + 0.05
+    kept = corpus_pipeline.good_quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == n
+
+
+def test_calibration_against_brute_force(spark):
+    import random
+
+    import zstandard
+
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(stems) for _ in range(rng.choice((60, 200, 210, 380, 700)))), rng.choice(("en", "fr", None))) for i in range(400)]
+    rows += [(500, None, "en"), (501, "", "en"), (502, "too short", "en"), (4, rows[3][1] + " again", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = [(i, int(i % 3 != 0), 0) for i in range(300)] + [(4, 1, 1), (500, 1, 0), (501, 1, 0), (502, 1, 0), (None, 1, 0)]
+    squeezed = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+    good, cells = {i for i, q, _ in labels if q and i is not None and i < 500}, {}
+    for i, t, lang in rows:
+        if i in good:
+            raw, at = t.encode(), 0
+            seen = [(False, len(raw), squeezed(raw))]
+            for k in quality.chunk_sizes(len(raw)):
+                seen.append((True, k, squeezed(raw[at : at + k])))
+                at += k
+            for c, k, x in seen:
+                cells.setdefault((c, lang, sum(e < k for e in quality.EDGES)), []).append(x)
+    made = docs.select("doc_id", "lang", quality.measures(F.col("text")).alias("measures"))
+    got = quality.calibrate(made, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for c, limits, generic in zip((False, True), got, quality.GENERIC, strict=True):
+        want = quality.limits_of([(lang, b, len(x), min(x), max(x)) for (k, lang, b), x in cells.items() if k == c], generic)
+        assert limits.keys() == want.keys()
+        assert all((limits[k][j] == want[k][j]).all() for k in want for j in (0, 1))
+
+
 def test_chunks_cover_the_text():
     import random
 
