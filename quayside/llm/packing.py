@@ -11,9 +11,9 @@ reads a bucket at a time with a batch size that keeps tokens a batch constant.
 
 Token ids are those of the byte-level BPE in the given ``tokenizers`` file.  A
 single space between two visible characters always ends a pre-token of this
-vocabulary, so texts are cut there and the ids of each chunk are remembered;
-texts with other runs of white space, or with the special token's own string,
-take the tokenizer as a whole.
+vocabulary, so texts are cut there.  The distinct chunks of many texts are encoded
+once, as one text, and each text takes its ids by chunk; texts with other runs of
+white space, or with the special token's own string, take the tokenizer as a whole.
 
 Defined results: a null text counts as empty (its only id is the separator);
 repeated rows, repeated and null ids are packed once per row; an empty table gives an
@@ -23,23 +23,22 @@ empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LEN = 1024
-#: Chunks remembered by one Python worker (about 150 bytes each).
-MEMO_CHUNKS = 400_000
+#: Bytes of the texts that are cut into chunks together.
+RUN_BYTES = 8_000_000
 
 #: Fixed value: how byte-level tokenizer files cut a text before they merge bytes.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNEVEN_SPACE = re.compile(r" \s|\s ")
 
 
 def binary_lengths(total: int, max_len: int = MAX_LEN) -> list[int]:
@@ -54,20 +53,6 @@ def binary_lengths(total: int, max_len: int = MAX_LEN) -> list[int]:
     return out
 
 
-class _Memo(dict):
-    """Ids (little-endian uint32 bytes) of chunks, filled on first use."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(self.lead + chunk)
-        if len(self) < MEMO_CHUNKS:
-            self[chunk] = ids
-        return ids
-
-
 class TokenBytes:
     """Texts to ids as little-endian uint32 bytes."""
 
@@ -82,23 +67,75 @@ class TokenBytes:
         added = {t["id"] for t in spec["added_tokens"]}
         byte_of = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if i not in added}
+        self.id_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.id_bytes[list(ranks.values())] = [len(piece) for piece in ranks]
         cut = spec.get("pre_tokenizer") or {}
         if spec.get("normalizer") or spec["model"]["type"] != "BPE" or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
             raise ValueError(f"{tokenizer_path}: only byte-level BPE without a normaliser, a prefix space or a pattern of its own")
         coder = tiktoken.Encoding("corpus", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        def encode(text: str) -> bytes:
-            return np.array(coder.encode_ordinary(text), dtype="<u4").tobytes()
+        self.encode_ids = coder.encode_to_numpy
 
-        self.encode, self.first, self.later = encode, _Memo(encode, ""), _Memo(encode, " ")
+    def encode(self, text: str) -> bytes:
+        return self.encode_ids(text).astype("<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _UNEVEN_SPACE.search(text):
-            return self.encode(text)
-        head, *tail = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, tail))
+        return self.encode(text)
+
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        texts = pc.fill_null(texts, "")
+        run = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // RUN_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        for start, stop in zip(bounds, bounds[1:], strict=False):
+            if start < stop:
+                yield from self._run(texts[start:stop])
+
+    def _run(self, texts: pa.Array) -> Iterator[bytes]:
+        cut = pc.split_pattern(texts, " ")
+        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(), dtype=np.int64)))
+        first, last = bounds[:-1], bounds[1:] - 1
+        coded = cut.flatten().dictionary_encode()
+        chunks, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        full = pc.greater(pc.binary_length(chunks), 0)
+        opens, closes = (pc.and_(full, pc.equal(trim(chunks), chunks)).to_numpy(zero_copy_only=False) for trim in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace))
+        # Each space needs visible characters on both sides; the ends of a text do not.
+        uneven_open, uneven_close = ~opens[codes], ~closes[codes]
+        ragged = np.flatnonzero(uneven_close[last] & (first < last))
+        uneven_open[first] = uneven_close[last] = False
+        odd = np.logical_or.reduceat(uneven_open | uneven_close, first)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+
+        ids, sizes = self._chunk_ids(chunks, opens & closes)
+        own = [b"" if o else self.encode(chunks[c].as_py()) for o, c in zip(odd.tolist(), codes[first].tolist(), strict=True)]
+        own += [b"" if odd[d] else self.encode(" " + chunks[codes[last[d]]].as_py()) for d in ragged.tolist()]
+        codes[first] = len(sizes) + np.arange(len(first))
+        codes[last[ragged]] = len(sizes) + len(first) + np.arange(len(ragged))
+        ids = np.concatenate((ids, np.frombuffer(b"".join(own), dtype="<u4")))
+        sizes = np.concatenate((sizes, np.array([len(x) // 4 for x in own], dtype=np.int64)))
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))), ids)
+        flat = lists.take(pa.array(codes)).flatten().to_numpy()
+        at = np.concatenate(([0], np.cumsum(sizes[codes])))[bounds].tolist()
+        for d, o in enumerate(odd.tolist()):
+            yield self(texts[d].as_py()) if o else flat[at[d] : at[d + 1]].tobytes()
+
+    def _chunk_ids(self, chunks: pa.Array, even: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks after a space, in order, and how many each has: none where a chunk is not ``even``, as it begins or ends in white space, or is empty."""
+        sizes = np.zeros(len(chunks), dtype=np.int64)
+        if not even.any():
+            return np.zeros(0, dtype="<u4"), sizes
+        whole = chunks.filter(pa.array(even))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(whole)], whole), " ")[0].as_py()
+        ids = self.encode_ids(" " + joined).astype("<u4")
+        reached, ends = np.cumsum(self.id_bytes[ids]), np.cumsum(pc.binary_length(whole).to_numpy() + 1, dtype=np.int64)
+        stops = np.searchsorted(reached, ends)
+        if not (reached[stops] == ends).all():
+            raise ValueError("an id crosses a space between visible characters")
+        sizes[even] = np.diff(stops, prepend=-1)
+        return ids, sizes
 
 
 def _byte_letters() -> dict[int, str]:
@@ -135,8 +172,8 @@ def pack_power_of_two(
         for batch in batches:
             keep, rows = [], [[] for _ in range(4 + with_ids)]
             size = 0
-            for row, text in enumerate(batch.column(1)):
-                ids = coder(text.as_py() or "") + end
+            for row, ids in enumerate(coder.many(batch.column(1))):
+                ids += end
                 total, at = len(ids) // 4, 0
                 for n in binary_lengths(total, max_len):
                     piece = ids[4 * at : 4 * (at + n)]

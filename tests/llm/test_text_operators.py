@@ -337,6 +337,29 @@ def test_packing_round_trip(docs, no_docs):
     assert packing.pack_power_of_two(no_docs, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("together", [8_000_000, 500, 1])
+def test_chunks_are_encoded_once_for_many_texts(texts, monkeypatch, together):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "RUN_BYTES", together)
+    rng = random.Random(11)
+    odd = ["<|endoftext|>", "a <|endoftext|> b", "a <|endoftext|>", " ", "  ", "   ", "\n", " \n", "\n ", "a ", " a", "a  b", "a \n", "a\n", "\na", "a \nb", "a\n b", "b a\n", "b a\n\n", "b a\n b", "\u3000a b", "a \u3000b", "a\x1c b", "a \x85"]
+    odd += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 30))) for pieces in (["a", "é", " ", "'s", "1", "\n"], ["it's", "x ", " y", "\t", "\xa0", "日", "\U0001f600", "\x1c", "\u2009"]) for _ in range(400)]
+    every = pa.array([*texts, *odd])
+    whole, coder = Tokenizer.from_file(tokenizer_path()), packing.TokenBytes(tokenizer_path())
+    want = [struct.pack(f"<{len(ids)}I", *ids) for ids in (whole.encode(t or "", add_special_tokens=False).ids for t in every.to_pylist())]
+    assert list(coder.many(every)) == want
+    assert list(coder.many(every[5:60])) == want[5:60] and list(coder.many(every[:0])) == []
+    if together > 500:
+        words, seen, encode = ["stone", "rivers,", "Über"], [], coder.encode_ids
+        coder.encode_ids = lambda t: (seen.append(t), encode(t))[1]
+        list(coder.many(pa.array([" ".join(rng.choice(words) for _ in range(300)) for _ in range(50)])))
+        assert sum(map(len, seen)) <= 51 * len(" stone rivers, Über")
+
+
 def neighbours(spark, rows):
     """(doc_id, text, next text) by plain loops, in the documented order."""
     tie = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
