@@ -71,12 +71,12 @@ def _accounts(rows: DataFrame) -> DataFrame:
 
 def _cube(rows: DataFrame) -> DataFrame:
     """A cube cannot bring a period twice or a word; those receipts name another version and another class."""
-    whole = F.filter("xs", lambda x: x["v"] != "oops")
-    keys = F.transform(whole, lambda x: F.concat(x["y"].cast("string"), F.lit("-"), _two(x["m"])))
-    index = F.map_from_arrays(F.array_distinct(keys), F.sequence(F.lit(0), F.size(F.array_distinct(keys)) - 1))
-    ordinals = F.transform(F.sequence(F.lit(0), F.size(F.array_distinct(keys)) - 1), lambda i: i.cast("string"))
-    pairs = F.filter(F.arrays_zip(ordinals.alias("i"), F.slice(whole, F.lit(1), F.size(F.array_distinct(keys))).alias("x")), lambda p: ~((F.col("fault") == 2) & (p["x"]["m"] == 1)))
-    n = F.size(F.array_distinct(keys))
+    key = lambda x: F.concat(x["y"].cast("string"), F.lit("-"), _two(x["m"]))
+    rows = rows.withColumn("whole", F.filter("xs", lambda x: x["v"] != "oops")).withColumn("keys", F.array_distinct(F.transform("whole", key)))
+    n = F.size("keys")
+    index = F.map_from_entries(F.transform("keys", lambda k, i: F.struct(k, i)))
+    numbered = F.transform(F.slice("whole", F.lit(1), n), lambda x, i: F.struct(i.cast("string").alias("i"), x.alias("x")))
+    pairs = F.filter(numbered, lambda p: ~((F.col("fault") == 2) & (p["x"]["m"] == 1)))
     cube = F.struct(
         F.when(F.col("fault") == 0, "1.0").otherwise("2.0").alias("version"), F.when(F.col("fault") == 1, "collection").otherwise("dataset").alias("class"), F.array(F.lit("geo"), F.lit("time")).alias("id"),
         F.array(F.when(F.col("fault") == 3, 2).otherwise(1), n).alias("size"), F.struct(F.struct(F.struct(index.alias("index")).alias("category")).alias("time")).alias("dimension"),

@@ -27,9 +27,10 @@ PARTICIPANTS = (
 
 def _spread_out(receipts: DataFrame, rows: Column, sound: Column, ok: Callable[[Column], Column], unique: Callable[[Column], Column]) -> DataFrame:
     """(receipt_id, fields of ``rows``) of the receipts whose rows are all ``ok`` and unique."""
-    read = receipts.withColumn("__rows", rows).where(sound)
+    read = receipts.withColumn("__rows", rows).withColumn("__sound", sound)
     whole = F.forall("__rows", lambda r: F.coalesce(ok(r), F.lit(False))) & (F.size(F.array_distinct(F.transform("__rows", unique))) == F.size("__rows"))
-    return read.where(whole & (F.size("__rows") > 0)).select("receipt_id", F.inline("__rows"))
+    # Not a filter: pushed down to where the payload is read, it would parse it again for each of its terms.
+    return read.select("receipt_id", F.inline(F.when(F.col("__sound") & whole, F.col("__rows"))))
 
 
 def _lines(payload: Column) -> Column:
