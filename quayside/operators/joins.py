@@ -26,9 +26,14 @@ def interval_join(events: DataFrame, spans: DataFrame, *, on: list[str], at: str
     return placed.join(listed, condition, how).select(*[placed[c] for c in events.columns], *[listed[c] for c in spans.columns if c not in on])
 
 
-def overlaps(spans: DataFrame, *, on: list[str], start: str, end: str) -> DataFrame:
-    """Spans that begin before an earlier span of their key has ended."""
-    w = Window.partitionBy(*on).orderBy(start, end)
+def overlaps(spans: DataFrame, *, on: list[str], start: str, end: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Spans that begin before an earlier span of their key has ended.
+
+    Spans are taken by start, then by end, unknown ones last.  Which of several
+    with the same start and end comes first shows in ``prior_end``; columns
+    ``by`` decide it, without which it is open.
+    """
+    w = Window.partitionBy(*on).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end), *map(F.asc_nulls_last, by))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("prior_end", before).where(F.col("prior_end") > F.col(start))
 

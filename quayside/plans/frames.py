@@ -34,7 +34,7 @@ def asof_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = view(spark, sf_dir, "select o_custkey, o_orderkey, @micros(o_orderdate) as from_us, @micros(o_orderdate) + o_orderkey % 90 * 86400000000 as to_us from @table(orders)")
-    return joins.overlaps(spans, on=["o_custkey"], start="from_us", end="to_us")
+    return joins.overlaps(spans, on=["o_custkey"], start="from_us", end="to_us", by=("o_orderkey",))
 
 
 def _m4(spark: SparkSession, sf_dir: str) -> DataFrame:

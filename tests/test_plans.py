@@ -39,3 +39,14 @@ def test_a_cube_without_months_is_no_error(both):
     # Every customer has one month; that of a spoilt one leaves nothing.
     got, want = both("decoded_cube", orders=(ORDERS, [order(i, i, i) for i in range(40)]))
     assert got == want and len(got) == 25
+
+
+def test_spans_that_tie_are_taken_by_their_key(spark, both):
+    rows = [(1, 9, 0, 5), (1, 4, 0, 5), (1, 7, 3, 5), (1, 2, 3, None), (2, 3, None, 9), (2, 1, 1, 5)]
+    frame = spark.createDataFrame(rows, "k long, id long, f long, t long")
+    for spans in (frame.coalesce(1), frame.orderBy("id").coalesce(1)):
+        got = joins.overlaps(spans, on=["k"], start="f", end="t", by=("id",)).collect()
+        assert sorted((r.id, r.prior_end) for r in got) == [(2, 5), (7, 5), (9, 5)]
+    # Unknown ends come last in the SQL, too: the order without a key meets the end of the one beside it.
+    got, want = both("overlapping_orders", orders=(ORDERS, [order(5, 1, 0), (None, 1, "O", 1.0, order(5, 1, 0)[4], "5-LOW"), order(50, 2, 0), order(45, 2, 7)]))
+    assert got == want and len(got) == 2
