@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quayside.operators import joins
+from quayside.operators import joins, levels
 from quayside.plans import registry
 
 
@@ -50,3 +50,19 @@ def test_spans_that_tie_are_taken_by_their_key(spark, both):
     # Unknown ends come last in the SQL, too: the order without a key meets the end of the one beside it.
     got, want = both("overlapping_orders", orders=(ORDERS, [order(5, 1, 0), (None, 1, "O", 1.0, order(5, 1, 0)[4], "5-LOW"), order(50, 2, 0), order(45, 2, 7)]))
     assert got == want and len(got) == 2
+
+
+def test_rounds_do_not_grow_with_chains_of_refusals(spark, monkeypatch):
+    rounds, plain = [], levels.violations
+    monkeypatch.setattr(levels, "violations", lambda *a: (rounds.append(1), plain(*a))[1])
+    monkeypatch.setattr(levels, "CELL", 16)
+    # Every generation creates a level of the one before and one of the next: it is refused if the one before is not.
+    rows = [(1, g, i, "created", 1000 * i + (g + i) // 2, 1, 1, 1, 0, 0, 1) for g in range(2, 100) for i in (1, 2)]
+    rows += [(2, g, 1, None if g == 40 else "updated" if g % 9 else "created", 5, 1, 1, 1, 0, None if g == 30 else 0, g // 60) for g in range(1, 100)]
+    frame = spark.createDataFrame(rows, "inst long, generation long, ordinal int, kind string, level_id long, lower long, upper long, price long, group_id long, side int, family int")
+    got = sorted({(r.inst, r.generation) for r in levels.applied(frame.repartition(4)).collect()})
+    book = set(range(9, 60)) - {18, 27, 36, 45, 54}
+    # The mutation without a kind breaks no rule and leaves a level without a state, which the next creation begins.
+    book = {g for g in book if g <= 40 or g >= 45} | {45}
+    assert got == [(1, g) for g in range(2, 100, 2)] + [(2, g) for g in sorted(book)]
+    assert len(rounds) == 2
