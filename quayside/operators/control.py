@@ -95,12 +95,14 @@ def selected_account(accounts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     accounts: account, number; wanted: request, account, number (either may be null).
     """
-    asks = wanted.select("request", F.inline(F.array(F.struct(F.lit("account").alias("by"), F.col("account").alias("value")), F.struct(F.lit("number").alias("by"), F.col("number").alias("value")))))
-    has = accounts.select(F.col("account").alias("__account"), F.inline(F.array(F.struct(F.lit("account").alias("__by"), F.col("account").alias("__value")), F.struct(F.lit("number").alias("__by"), F.col("number").alias("__value")))))
-    met = asks.join(has, (F.col("by") == F.col("__by")) & (F.col("value") == F.col("__value"))).groupBy("request").agg(F.count_distinct("__account").alias("n"), F.min("__account").alias("__one"))
-    out = wanted.join(met, "request", "left")
-    n = F.coalesce("n", F.lit(0))
-    return out.select("request", F.when(n == 1, F.col("__one")).alias("account"), F.when(n == 0, "not found").when(n > 1, "ambiguous").alias("problem"))
+    by = lambda account, number: F.inline(F.array(*[F.struct(F.lit(n).alias("by"), F.col(c).alias("value")) for n, c in (("account", account), ("number", number))]))
+    # Whether a value has one account or several shows in the least and the largest: accounts of one number are not spread over all that ask for it.
+    held = accounts.select("account", "number").withColumn("__account", F.col("account")).select("__account", by("account", "number")).where(F.col("value").isNotNull())
+    held = held.groupBy("by", "value").agg(F.min("__account").alias("__least"), F.max("__account").alias("__most"))
+    met = wanted.select("request", by("account", "number")).join(held, ["by", "value"]).groupBy("request").agg(F.min("__least").alias("__one"), F.max("__most").alias("__other"))
+    out = wanted.select("request").join(met, "request", "left")
+    one = F.col("__one") == F.col("__other")
+    return out.select("request", F.when(one, F.col("__one")).alias("account"), F.when(F.col("__one").isNull(), "not found").when(~one, "ambiguous").alias("problem"))
 
 
 #: Widths that a bar of the chart can have, and how far it scrolls past the last bar.

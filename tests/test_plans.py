@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quayside.operators import joins, levels
+from quayside.operators import control, joins, levels
 from quayside.plans import registry
 
 
@@ -28,6 +28,19 @@ def both(spark, tmp_path):
     return run
 
 
+def plan_rows(df):
+    """Name and rows made of each node of the plan that ran when ``df`` was collected."""
+    df._jdf.collectToPython()
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        found = node.metrics().get("numOutputRows")
+        out.append((node.nodeName(), found.get().value() if found.isDefined() else 0))
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        todo += inner + [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus varchar, o_totalprice double, o_orderdate timestamp, o_orderpriority varchar"
 
 
@@ -66,3 +79,15 @@ def test_rounds_do_not_grow_with_chains_of_refusals(spark, monkeypatch):
     book = {g for g in book if g <= 40 or g >= 45} | {45}
     assert got == [(1, g) for g in range(2, 100, 2)] + [(2, g) for g in sorted(book)]
     assert len(rounds) == 2
+
+
+def test_accounts_are_not_spread_over_those_that_ask_for_their_number(spark):
+    accounts = [(i, 7) for i in range(300)] + [(300, 8), (301, 9), (301, 9), (None, 10), (302, 300), (303, None)]
+    wanted = [(i, None, 7) for i in range(200)] + [(200, 300, 8), (201, None, 9), (202, 301, 8), (203, None, 10), (204, 300, None), (205, 5, 6), (206, None, None), (207, 999, 8), (208, 5, 7), (209, 300, None), (209, 301, None)]
+    out = control.selected_account(spark.createDataFrame(accounts, "account long, number long"), spark.createDataFrame(wanted, "request long, account long, number long"))
+    got = sorted((r.request, r.account, r.problem) for r in out.collect())
+    several, none = "ambiguous", "not found"
+    last = [(200, 300, None), (201, 301, None), (202, None, several), (203, None, none), (204, 300, None), (205, 5, None), (206, None, none), (207, 300, None), (208, None, several), (209, None, several), (209, None, several)]
+    assert got == [(i, None, several) for i in range(200)] + last
+    joined = [n for n in plan_rows(out) if n[0].endswith("Join")]
+    assert joined and max(rows for _, rows in joined) < 1_000  # 60,000 pairs of an account and a request
