@@ -7,13 +7,17 @@ the history.  ``Engine`` is one bar's step over that state; its rules are those
 of ``operators.structure``, which works the same levels out of a whole history
 by windows, and its nodes are made by the same clusters and chain.
 
-A micro-batch's rows of an instrument are taken by time, bars at their close and
-before prices of the same moment.  Each bar that changes a level emits one row:
-the levels it changed, the nodes now and what became of the last ones.  A bar
-that does not open after the last one is refused, which is a row as well; it
-changes nothing.  A price emits the nodes it met: those after the last bar closed
-by then.  A price that comes after a later bar was taken meets the present nodes
-and is marked as late.
+A micro-batch's bars of an instrument are taken by time.  Each bar that changes a
+level emits one row: the levels it changed, the nodes now and what became of the
+last ones.  A bar that does not open after the last one is refused, which is a
+row as well; it changes nothing.
+
+A price changes no state, so it does not go through the state's tasks, where the
+rows of an instrument meet: it is emitted as it came, with the number of its
+micro-batch.  It meets the nodes after the last bar closed by then, which
+``placed_prices`` finds by a join; bars of the same micro-batch count before
+prices of the same moment.  A price that comes after a later bar was taken meets
+the nodes that stood before its micro-batch and is marked as late.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from quayside.operators import nodes
+from quayside.operators import joins, nodes
 from quayside.operators.nodes import CENTER, LOWER, NEUTRAL, UPPER
 from quayside.operators.structure import ATR_BARS, FRACTIONS, LOOKBACK, OPENING, OPENING_NS, PROJECTION, RETAINED, SESSION
 from quayside.streaming.keyed import start
@@ -34,7 +38,7 @@ INPUT = "inst bigint, kind int, at_ns bigint, seq bigint, s_open bigint, s_close
 _LEVEL = "level_id:bigint,state:string,lower:bigint,upper:bigint,price:bigint,group_id:bigint,side:int,family:int,age:bigint"
 OUTPUT = (
     "kind int, inst bigint, generation bigint, bar_ns bigint, at_ns bigint, atr bigint, "
-    f"levels array<struct<{_LEVEL}>>, nodes array<struct<{nodes.NODE}>>, events array<struct<{nodes.EVENT}>>, seq bigint, px bigint, late boolean"
+    f"levels array<struct<{_LEVEL}>>, nodes array<struct<{nodes.NODE}>>, events array<struct<{nodes.EVENT}>>, seq bigint, px bigint"
 )
 #: What is remembered beside levels and nodes; all null before the first bar.
 DESK = (
@@ -179,13 +183,9 @@ class Engine:
     def in_order(self) -> list[dict]:
         return sorted(self.nodes, key=lambda n: (n["center"], n["low"], n["high"], n["node"]))
 
-    def on_price(self, p: dict) -> dict:
-        d = self.d
-        return {"kind": PRICE, "seq": p["seq"], "at_ns": p["at_ns"], "px": p["px"], "generation": d["generation"] or None, "nodes": self.in_order(), "late": bool(d["at_ns"] and d["at_ns"] > p["at_ns"])}
-
 
 class StructureProcessor(StatefulProcessor):
-    """Loads an instrument's state, runs its engine over the rows of a micro-batch and stores what changed."""
+    """Loads an instrument's state, runs its engine over the bars of a micro-batch and stores what changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.desk = handle.getValueState("desk", DESK)
@@ -201,9 +201,8 @@ class StructureProcessor(StatefulProcessor):
         held = [{"node": k[0]} | dict(zip(_NODES, v, strict=True)) for k, v in self.nodes.iterator()]
         engine = Engine(key[0], desk, dict(levels), [n | {"sides": list(n["sides"]), "members": list(n["members"])} for n in held])
         out = []
-        for r in sorted((r.asDict() for r in rows), key=lambda r: (r["at_ns"], r["kind"], r["open_ns"] or 0, r["seq"] or 0)):
-            found = engine.on_bar(r) if r["kind"] == BAR else engine.on_price(r)
-            if found:
+        for r in sorted((r.asDict() for r in rows), key=lambda r: (r["at_ns"], r["open_ns"])):
+            if found := engine.on_bar(r):
                 out.append(found)
         self.desk.update(tuple(engine.d[f] for f in _DESK))
         for k in levels.keys() - engine.levels.keys():
@@ -235,8 +234,9 @@ def moves(bars: DataFrame | None = None, prices: DataFrame | None = None) -> Dat
 
 
 def stream_structure(rows: DataFrame, folder: str, *, query_name: str | None = None) -> StreamingQuery:
-    """Start the stream over what is available of ``rows`` (``INPUT``); emissions (``OUTPUT``) are stored in ``folder``/emitted."""
-    return start(rows, "inst", StructureProcessor(), OUTPUT, folder, query_name)
+    """Start the stream over what is available of ``rows`` (``INPUT``); emissions (``OUTPUT`` and batch) are stored in ``folder``/emitted."""
+    prices = rows.where(F.col("kind") == PRICE).select("kind", "inst", "at_ns", "seq", "px")
+    return start(rows.where(F.col("kind") == BAR), "inst", StructureProcessor(), OUTPUT, folder, query_name, beside=prices)
 
 
 def level_versions(emitted: DataFrame) -> DataFrame:
@@ -246,7 +246,24 @@ def level_versions(emitted: DataFrame) -> DataFrame:
     return each.withColumn("to_generation", ends).where(F.col("state") != "ended")
 
 
+#: Time whose prices of an instrument are sorted together.
+CELL = 3_600_000_000_000
+
+
 def placed_prices(emitted: DataFrame) -> DataFrame:
-    """Where each price stands among the nodes it met."""
-    prices = emitted.where(F.col("kind") == PRICE).select("seq", "inst", F.col("at_ns").alias("ts_ns"), "px", F.col("generation").alias("asof_generation"), "late", "nodes")
-    return nodes.locate(prices).drop("nodes")
+    """Where each price stands among the nodes it met, from the emissions of all micro-batches.
+
+    Only numbers of generations are carried along the prices; the nodes of one
+    are joined to those that met it.
+    """
+    bars = emitted.where(F.col("kind") == BAR)
+    prices = emitted.where(F.col("kind") == PRICE).select("seq", "inst", F.col("at_ns").alias("ts_ns"), "px", "batch")
+    # What stood before a micro-batch counts from its first row on.
+    each = emitted.where(F.col("kind") != REFUSED).groupBy("inst", "batch").agg(F.min("at_ns").alias("at_ns"), F.max("generation").alias("newest"))
+    stood = F.max("newest").over(Window.partitionBy("inst").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
+    standing = each.select("inst", "batch", "at_ns", stood.alias("generation")).where(F.col("generation").isNotNull())
+    known = bars.select("inst", "batch", "at_ns", "generation").unionByName(standing)
+    met = joins.asof_join(prices, known, on=["inst", "batch"], left_at="ts_ns", right_at="at_ns", take=["generation"], cell=CELL).drop("batch")
+    of = bars.select("inst", F.col("generation").alias("asof_generation"), F.col("at_ns").alias("__at"), "nodes")
+    out = met.join(of, ["inst", "asof_generation"], "left").withColumn("late", F.coalesce(F.col("__at") > F.col("ts_ns"), F.lit(False)))
+    return nodes.locate(out.select("seq", "inst", "ts_ns", "px", "asof_generation", "late", "nodes")).drop("nodes")
